@@ -126,35 +126,43 @@ def clean_amount(c: Column | str) -> Column:
     return F.format_string("%.2f", amount_value(c))
 
 
-# Accepted date layouts, tried in this order.
-DATE_LAYOUTS = (
-    "M/d/yyyy", "M-d-yyyy", "yyyy-M-d", "yyyy/M/d", "M/d/yy", "M-d-yy", "d/M/yyyy", "d-M-yyyy",
-    "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM d yyyy", "MMM d yyyy",
+# Accepted date layouts, rewritten to year-month-day. Two-digit years from 69 on are of the last century.
+MONTH_FIRST = r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4})$"
+NUMERIC_LAYOUTS = (
+    (MONTH_FIRST, "$4-$1-$3"),
+    (r"^(\d{4})([/-])(\d{1,2})\2(\d{1,2})$", "$1-$3-$4"),
+    (r"^(\d{1,2})([/-])(\d{1,2})\2(69|[7-9]\d)$", "19$4-$1-$3"),
+    (r"^(\d{1,2})([/-])(\d{1,2})\2([0-5]\d|6[0-8])$", "20$4-$1-$3"),
+)
+MONTH_WORD = (
+    "(jan)(?:uary)?|(feb)(?:ruary)?|(mar)(?:ch)?|(apr)(?:il)?|(may)|(jun)e?|(jul)y?|(aug)(?:ust)?|(sep)(?:tember)?"
+    "|(oct)(?:ober)?|(nov)(?:ember)?|(dec)(?:ember)?"
+)
+_MONTH_PLAIN = MONTH_WORD.replace("(?:", "(").replace("(", "(?:")
+NAMED_LAYOUTS = (
+    (rf"(?i)^({_MONTH_PLAIN}) (\d{{1,2}}),? (\d{{4}})$", "$3-$1-$2"),
+    (rf"(?i)^(\d{{1,2}}) ({_MONTH_PLAIN}) (\d{{4}})$", "$3-$2-$1"),
 )
-_LAYOUT_GUARDS = {"yyyy": r"\d{4}", "yy": r"\d{2}", "MMMM": "[A-Za-z]+", "MMM": "[A-Za-z]{3}", "M": r"\d{1,2}", "d": r"\d{1,2}"}
-
-
-def _layout_guard(layout: str) -> str:
-    parts = re.split(r"(yyyy|yy|MMMM|MMM|M|d)", layout)
-    return "^" + "".join(_LAYOUT_GUARDS.get(p, re.escape(p)) for p in parts) + "$"
 
 
 def parse_date(c: Column | str) -> Column:
     """Date from free text: fixed layouts first, then eight digits as year-first, then month-first."""
     text = squash(strip(blank(c)))
-    titled = F.initcap(F.lower(text))
-    attempts = []
-    for layout in DATE_LAYOUTS:
-        source = titled if "MMM" in layout else text
-        parsed = F.try_to_date(F.when(source.rlike(_layout_guard(layout)), source), layout)
-        if re.search(r"(?<!y)yy(?!y)", layout):
-            # two-digit years from 69 on belong to the last century
-            parsed = F.when(F.year(parsed) >= 2069, F.add_months(parsed, -1200)).otherwise(parsed)
-        attempts.append(parsed)
+    numeric, named = text, text
+    for pattern, iso in NUMERIC_LAYOUTS:
+        numeric = F.regexp_replace(numeric, pattern, iso)
+    for pattern, iso in NAMED_LAYOUTS:
+        named = F.regexp_replace(named, pattern, iso)
+    named = F.initcap(F.regexp_replace(F.replace(named, F.lit("-"), F.lit(" ")), r"^(\d{4} [A-Za-z]{3})[a-z]*", "$1"))
     digits = F.regexp_replace(text, r"\D", "")
     eight = F.when(F.length(digits) == 8, digits)
-    attempts += [F.try_to_date(eight, "yyyyMMdd"), F.try_to_date(eight, "MMddyyyy")]
-    return F.coalesce(*attempts)
+    return F.coalesce(
+        F.try_to_date(numeric, "yyyy-M-d"),
+        F.try_to_date(F.regexp_replace(text, MONTH_FIRST, "$4-$3-$1"), "yyyy-M-d"),
+        F.try_to_date(named, "yyyy MMM d"),
+        F.try_to_date(eight, "yyyyMMdd"),
+        F.try_to_date(eight, "MMddyyyy"),
+    )
 
 
 def norm_key(c: Column | str) -> Column:
@@ -177,7 +185,7 @@ def cell_signature(fields: Iterable[str]) -> Column:
 
 
 def first_words(c: Column | str, n: int) -> Column:
-    words = F.regexp_extract_all(blank(c), F.lit(r"(?U)(\w+)"), 1)
+    words = F.regexp_extract_all(blank(c), F.lit(r"([A-Za-z0-9][A-Za-z0-9/&().,#:%-]*)"), 1)
     return F.array_join(F.slice(words, 1, n), " ")
 
 
@@ -332,11 +340,25 @@ def period_end(payload: Column | str) -> Column:
 
 
 def humanise(c: Column | str) -> Column:
-    """Readable label from a technical form field name."""
-    last = F.regexp_replace(F.substring_index(col(c), ".", -1), r"\[\d+\]", "")
-    bare = F.regexp_replace(last, r"_[A-Z]$", "")
-    spaced = F.regexp_replace(F.regexp_replace(bare, r"([a-z0-9])([A-Z])", "$1 $2"), r"[_\s]+", " ")
-    return strip(spaced)
+    """Readable label from a technical field name; '' when it says no more than the name itself."""
+    last = strip(F.regexp_replace(F.substring_index(col(c), ".", -1), r"(?:\[\d+\])+$", ""))
+    bare = F.regexp_replace(last, r"_[A-Z]\d?$", "")
+    pieces = F.split(F.regexp_replace(bare, r"([a-z0-9])(?=[A-Z])", "$1_"), "_")
+    words = F.filter(F.transform(pieces, strip), lambda p: p != "")
+    label = F.array_join(F.transform(words, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), p.substr(F.lit(2), F.length(p)))), " ")
+    return F.when(F.lower(label) == F.lower(col(c)), F.lit("")).otherwise(label)
+
+
+def capacity_class(width: Column | str, height: Column | str) -> Column:
+    """Room in a text field: tiny, narrow, multi_line or normal; '' when unknown."""
+    w, h = F.coalesce(col(width), F.lit(0)), F.coalesce(col(height), F.lit(0))
+    return (
+        F.when((w <= 0) | (h <= 0), F.lit(""))
+        .when((w <= 30) & (h <= 18), F.lit("tiny"))
+        .when((w <= 80) & (h <= 18), F.lit("narrow"))
+        .when(h >= 36, F.lit("multi_line"))
+        .otherwise(F.lit("normal"))
+    )
 
 
 def natural_key(c: Column | str, width: int = 20) -> Column:

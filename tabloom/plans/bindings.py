@@ -90,3 +90,87 @@ SELECT 'S' || CAST(o_custkey % 24 AS STRING) AS scope_id, o_orderkey AS row_ord,
 FROM {orders}
 """.replace("`Loc #`", "loc_no").replace("`Location Name`", "loc_name"))
 ENTITY_FIELDS = ["asset_id", "street_address", "city", "listed_on", "amount", "segment", "serial", "loc_no", "loc_name"]
+
+# Baseline table and newly extracted rows of the same customers.
+UPSERT_FIELDS = ["location_number", "street_address", "city", "state", "zip", "building_values"]
+_PLACE = """
+  CAST(c_custkey % 500 AS STRING) || ' Main St.' AS street_address, 'City ' || CAST(c_nationkey AS STRING) AS city,
+  CASE WHEN c_custkey % 30 = 0 THEN '' ELSE 'ST' || CAST(c_nationkey % 7 AS STRING) END AS state,
+  CASE WHEN c_custkey % 20 = 0 OR c_custkey % 30 = 0 THEN 'n/a' ELSE lpad(CAST(c_custkey % 100000 AS STRING), 5, '0') END AS zip,"""
+binding("base", f"""
+SELECT 'S' || CAST(c_nationkey AS STRING) AS scope_id, c_custkey AS row_ord, 'old.csv' AS source_file,
+  CASE WHEN c_custkey % 10 = 0 THEN 'unknown' WHEN c_custkey % 17 = 0 THEN 'twin ' || CAST(c_custkey % 5 AS STRING)
+    ELSE 'L-' || CAST(c_custkey AS STRING) END AS location_number, {_PLACE}
+  printf('%.2f', c_acctbal) AS building_values, c_mktsegment AS owner_note,
+  CASE WHEN c_custkey % 13 = 0 THEN 'checked' END AS record_status
+FROM {{customer}}
+""")
+binding("fresh", f"""
+SELECT 'S' || CAST(c_nationkey AS STRING) AS scope_id, c_custkey * 4 + copy_no AS row_ord,
+  CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE 'new_' || CAST(c_custkey % 4 AS STRING) || '.pdf' END AS source_file,
+  CASE WHEN c_nationkey = 5 OR c_custkey % 41 = 0 THEN 'failed' END AS error,
+  CASE WHEN c_custkey % 10 = 0 THEN '' WHEN c_custkey % 17 = 0 THEN 'twin ' || CAST(c_custkey % 5 AS STRING)
+    WHEN copy_no = 3 THEN 'L-' || CAST(c_custkey + 100000000 AS STRING)
+    ELSE ' l ' || CAST(c_custkey AS STRING) || ' ' END AS location_number, {_PLACE}
+  CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE printf('%.2f', c_acctbal + 10 + copy_no) END AS building_values
+FROM {{customer}}, (SELECT 0 AS copy_no UNION ALL SELECT 1 AS copy_no UNION ALL SELECT 3 AS copy_no) c
+WHERE c_custkey % 3 <> 0 AND c_nationkey <> 4 AND NOT (copy_no = 1 AND c_custkey % 8 <> 1) AND NOT (copy_no = 3 AND c_custkey % 15 <> 2)
+""")
+
+# Field sets: eight parts make one set, the field name follows from the part.
+FIELD_NAMES = (
+    "Location #", "Street Address", "City", "State", "Zip Code", "Total Value", "# of Units", "Phone No",
+    "Vehicle Type", "VIN", "Invoice Number", "Date", "Amount", "Source File", " ", "Policy ID", "Site",
+    "Square Ft", "County", "St.", "Number of Stories", "Vendor Name", "Premium",
+)
+binding("fieldsets", "SELECT p_partkey / 8 AS set_id_raw, CAST(floor(p_partkey / 8.0) AS BIGINT) AS set_id, "
+    "CAST(p_partkey % 8 AS INTEGER) AS field_ord, CASE CAST((p_partkey * 7 + p_size) % " + str(len(FIELD_NAMES)) + " AS INTEGER) "
+    + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(FIELD_NAMES)) + " END AS field FROM {part}")
+BINDINGS["fieldsets"] = BINDINGS["fieldsets"].replace("p_partkey / 8 AS set_id_raw, ", "")
+
+# Bookkeeping rows with dates and amounts in many notations.
+binding("ledger", """
+SELECT 'A' || CAST(o_custkey % 50 AS STRING) AS scope_id, o_orderkey AS row_ord, CASE WHEN o_orderkey % 61 = 0 THEN 'failed' END AS error,
+  CASE CAST(o_orderkey % 9 AS INTEGER) WHEN 0 THEN m || '/' || d || '/' || y WHEN 1 THEN y || '-' || m || '-' || d
+    WHEN 2 THEN m || '/' || d || '/' || right(y, 2) WHEN 3 THEN d || ' March ' || y WHEN 4 THEN 'Mar ' || d || ', ' || y
+    WHEN 5 THEN y || lpad(m, 2, '0') || lpad(d, 2, '0') WHEN 6 THEN 'no date' WHEN 7 THEN ' ' || m || '-' || d || '-' || y || ' '
+    ELSE lpad(d, 2, '0') || '/' || lpad(m, 2, '0') || '/' || y END AS Date,
+  CASE WHEN o_orderkey % 12 = 0 THEN ' ' ELSE 'Payment, ref ' || CAST(o_orderkey AS STRING) || ', ' || o_orderpriority || repeat(' x', CAST(o_orderkey % 200 AS INTEGER)) END AS Description,
+  CASE WHEN o_orderkey % 11 = 0 THEN '($' || printf('%.2f', o_totalprice) || ')' WHEN o_orderkey % 14 = 0 THEN 'see note'
+    WHEN o_orderkey % 5 = 0 THEN '$1,' || lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0') || '.5' ELSE printf('%.2f', o_totalprice) END AS Amount
+FROM (SELECT *, CAST(month(o_orderdate) AS STRING) AS m, CAST(day(o_orderdate) AS STRING) AS d, CAST(year(o_orderdate) AS STRING) AS y FROM {orders}) o
+""")
+
+# Detected tables of documents: customers are documents, their orders are grids.
+binding("doc_tables", """
+SELECT 'D' || CAST(o_custkey AS STRING) AS doc_id, CAST(o_orderkey AS INTEGER) AS table_ord, CAST(o_orderkey % 7 + 1 AS INTEGER) AS page_num,
+  CAST(o_orderkey % 9 + 1 AS INTEGER) AS row_count, CAST(CASE WHEN o_orderkey % 3 = 2 THEN 9 WHEN o_orderkey % 3 = 1 THEN 4 ELSE 2 END AS INTEGER) AS col_count,
+  CASE WHEN o_orderkey % 3 = 2 THEN '| Loc  # | Street Address | City | St | Zip | Yr  Blt | Bldg Val: | BI | $ TIV |' || chr(10) || '| --- | --- | --- | --- | --- | --- | --- | --- | --- |'
+      || repeat(chr(10) || '| ' || CAST(o_orderkey % 40 AS STRING) || ' | 5 Main St | Rome | IT | 00100 | 1999 | 5 | 6 | 7 |', CAST(o_orderkey % 9 AS INTEGER))
+    WHEN o_orderkey % 3 = 1 THEN '| Coverage | Limit | Valuation | Deductible |' || chr(10) || '| --- | --- | --- | --- |'
+      || repeat(chr(10) || '| Business  Income: | $' || CAST(o_orderkey % 7 AS STRING) || ' | RCV | 5 |' || chr(10) || '| note: see $ | 1 | 2 | 3 |', CAST(o_orderkey % 9 AS INTEGER))
+    ELSE 'Premium summary' || chr(10) || '| ' || o_orderpriority || ' | ' || o_orderstatus || ' |' END AS markdown
+FROM {orders}
+""")
+
+# Pages: forty documents make one long document. Titles, totals and units are worked in at fixed places.
+binding("doc_pages", """
+SELECT 'P' || CAST(CAST(floor(doc_id / 40.0) AS BIGINT) AS STRING) AS doc_id, CAST(doc_id % 40 + 1 AS INTEGER) AS page_num,
+  CASE WHEN doc_id % 37 = 5 THEN 'Consolidated Balance Sheets' || chr(10) || 'Total assets and revenue, in thousands' || chr(10)
+    WHEN doc_id % 31 = 7 THEN 'Table of Contents' || chr(10) WHEN doc_id % 29 = 3 THEN 'Income Statement' || chr(10) || 'Total Vehicles: ' || CAST(doc_id % 50 AS STRING) || chr(10)
+    WHEN doc_id % 23 = 2 THEN 'Name: value' || chr(10) || ' City: Rome' || chr(10) || 'Paid on 03/04/2021: $1,200.50' || chr(10)
+    WHEN doc_id % 19 = 4 THEN 'Amounts (In Millions of US Dollars, except shares)' || chr(10) || 'record 3 of ' || CAST(doc_id % 30 AS STRING) || chr(10)
+    ELSE '' END || text AS text,
+  CAST(doc_id % 3 AS INTEGER) AS image_count, CASE WHEN doc_id % 4 = 0 THEN 'Header ' || source END AS header,
+  CASE WHEN doc_id % 6 = 0 THEN 'Footer ' || lang END AS footer, CAST(NULL AS STRING) AS tables_markdown
+FROM {documents}
+""")
+binding("page_tables", """
+SELECT doc_id, page_num AS table_ord, page_num, CAST(page_num % 12 AS INTEGER) AS row_count, CAST(page_num % 10 + 1 AS INTEGER) AS col_count,
+  '| Loc # | City ' || CAST(page_num % 2 AS STRING) || ' |' || chr(10) || '| --- | --- |' || repeat(chr(10) || '| 1 | Rome |', CAST(page_num % 12 AS INTEGER)) AS markdown
+FROM {doc_pages} WHERE page_num % 5 = 0 AND doc_id <> 'P1'
+""")
+binding("doc_files", """
+SELECT doc_id, doc_id || '.pdf' AS filename, CAST(count(*) * 1024 * 90 * (1 + max(length(doc_id)) % 3) AS BIGINT) AS size_bytes,
+  CAST(count(*) AS INTEGER) AS page_count FROM {doc_pages} GROUP BY doc_id
+""")

@@ -66,7 +66,7 @@ CALLS_TYPE = T.StructType.fromDDL(
 USAGE_TYPE = T.StructType.fromDDL("event_id bigint, user_id bigint, ts timestamp, kind string, pages bigint, tier string")
 RUN_LOG_TYPE = T.StructType.fromDDL(
     "run_id string, started string, completed string, discovered int, generated int, "
-    "generation_failures array<struct<slug:string,error:string>>, "
+    "generation_failures array<string>, "
     "publish_results struct<"
     "published_index:array<struct<slug:string>>,published_noindex:array<struct<slug:string>>,"
     "drafted:array<struct<slug:string,reason:string>>,rejected:array<struct<slug:string,reason:string>>>"
