@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from tabloom.schema import DATE_WORDS, MARKERS_CORE, NUMERIC_WORDS
 
-# Unicode aware: the same characters that count as white space for text stripping.
-WS = r"[\s\u0085   -     　\u001C-\u001F]"
+# All characters that count as white space, as a trim set and as a pattern class.
+SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
+WS = r"[\s\x1C-\x1F\x85\xA0  -     　]"
 
 
 def col(c: Column | str) -> Column:
@@ -34,7 +35,7 @@ def count_true(conditions: Iterable[Column]) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Drop leading and trailing white space of any kind (`trim` only drops blanks)."""
-    return F.regexp_replace(col(c), f"^{WS}+|{WS}+$", "")
+    return F.btrim(col(c), F.lit(SPACES))
 
 
 def squash(c: Column | str) -> Column:

@@ -17,42 +17,43 @@ def attach_stats(df: DataFrame, keys: list[str], **stats: Column) -> DataFrame:
     return df.join(per_key, keys, "left")
 
 
-def running_total(
+def running(
     df: DataFrame,
     keys: list[str],
     chunk: Column,
     order: list[Column | str],
-    totals: dict[str, Column],
+    values: dict[str, tuple[str, Column]],
 ) -> DataFrame:
-    """Inclusive running sums per key in `order`.
+    """Inclusive running sum, min or max per key in `order`: values maps a name to ('sum' | 'min' | 'max', column).
 
-    `chunk` must grow with `order` (an hour, or position // n). Each (key, chunk) is summed first, the chunk sums are
+    `chunk` must grow with `order` (an hour, or position // n). Each (key, chunk) is folded first, the chunk results are
     accumulated per key, and only rows of one chunk share a task, so a hot key is spread over its chunks.
     """
+    fold = {"sum": F.sum, "min": F.min, "max": F.max}
     tagged = df.withColumn("_chunk", chunk)
-    sums = tagged.groupBy(*keys, "_chunk").agg(*[F.sum(v).alias(f"_s_{n}") for n, v in totals.items()])
+    folded = tagged.groupBy(*keys, "_chunk").agg(*[fold[how](v).alias(f"_s_{n}") for n, (how, v) in values.items()])
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        *keys, "_chunk", *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in totals]
+    offsets = folded.select(
+        *keys, "_chunk", *[fold[how](f"_s_{n}").over(before).alias(f"_o_{n}") for n, (how, _) in values.items()]
     )
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = tagged.select("*", *[F.sum(v).over(inside).alias(f"_l_{n}") for n, v in totals.items()])
+    local = tagged.select("*", *[fold[how](v).over(inside).alias(f"_l_{n}") for n, (how, v) in values.items()])
+
+    def join_up(n: str, how: str) -> Column:
+        prior, own = F.col(f"_o_{n}"), F.col(f"_l_{n}")
+        if how == "sum":
+            return F.coalesce(prior, F.lit(0)) + F.coalesce(own, F.lit(0))
+        return F.least(prior, own) if how == "min" else F.greatest(prior, own)
+
     joined = local.join(offsets, [*keys, "_chunk"])
-    return joined.select(*df.columns, *[(F.col(f"_o_{n}") + F.col(f"_l_{n}")).alias(n) for n in totals])
+    return joined.select(*df.columns, *[join_up(n, how).alias(n) for n, (how, _) in values.items()])
 
 
-def running_min(
-    df: DataFrame, keys: list[str], chunk: Column, order: list[Column | str], value: Column, name: str
+def running_total(
+    df: DataFrame, keys: list[str], chunk: Column, order: list[Column | str], totals: dict[str, Column]
 ) -> DataFrame:
-    """Inclusive running minimum per key, on two levels like `running_total`."""
-    tagged = df.withColumn("_chunk", chunk)
-    lows = tagged.groupBy(*keys, "_chunk").agg(F.min(value).alias("_m"))
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = lows.select(*keys, "_chunk", F.min("_m").over(before).alias("_o"))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = tagged.withColumn("_l", F.min(value).over(inside))
-    joined = local.join(offsets, [*keys, "_chunk"])
-    return joined.select(*df.columns, F.least("_l", "_o").alias(name))
+    """Inclusive running sums per key."""
+    return running(df, keys, chunk, order, {n: ("sum", v) for n, v in totals.items()})
 
 
 def number_rows(df: DataFrame, keys: list[str], chunk: Column, order: list[Column | str], name: str) -> DataFrame:

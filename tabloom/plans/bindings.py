@@ -174,3 +174,66 @@ binding("doc_files", """
 SELECT doc_id, doc_id || '.pdf' AS filename, CAST(count(*) * 1024 * 90 * (1 + max(length(doc_id)) % 3) AS BIGINT) AS size_bytes,
   CAST(count(*) AS INTEGER) AS page_count FROM {doc_pages} GROUP BY doc_id
 """)
+
+# People: customers with a mail address, a plan and counters.
+binding("users", """
+SELECT c_custkey AS user_id, 'Cust_' || CAST(c_custkey AS STRING) AS customer,
+  'User' || CAST(c_custkey AS STRING) || '@' || CASE WHEN c_custkey % 3 = 0 THEN 'gmail.com' ELSE 'Corp' || CAST(c_custkey % 40 AS STRING) || '.com' END AS email,
+  c_custkey * 37 % 1000 AS created_at, CASE CAST(c_custkey % 5 AS INTEGER) WHEN 0 THEN 'free' WHEN 1 THEN 'starter' WHEN 2 THEN 'pro' WHEN 3 THEN 'business' ELSE 'legacy' END AS subscription_tier,
+  CAST(floor(c_acctbal / 10) AS BIGINT) + 100 AS pages_used, CAST(c_custkey % 30 AS BIGINT) AS overage_pages, 'sub_' || CAST(c_custkey AS STRING) AS sub_id,
+  c_custkey % 4 = 1 AS auto_renew, 20.0 + c_custkey % 5 AS threshold, 50.0 + c_custkey % 7 AS refill, c_custkey % 200 * 1.0 AS balance,
+  CASE WHEN c_custkey % 6 <> 0 THEN CAST('2024-01-01 00:00:00' AS TIMESTAMP) + INTERVAL 1 DAY * CAST(c_custkey % 30 AS INTEGER) END AS usage_reset_at,
+  CASE WHEN c_custkey % 4 <> 0 THEN CAST('2024-01-10 00:00:00' AS TIMESTAMP) + INTERVAL 1 DAY * CAST(c_custkey % 25 AS INTEGER) END AS current_period_end
+FROM {customer}
+""")
+
+# Messages: events as inbound mail; some message ids and files repeat.
+binding("mails", """
+SELECT event_id AS arrival_id, 'm' || CAST(CASE WHEN event_id % 10 = 1 THEN event_id - 1 ELSE event_id END AS STRING) AS message_id, ts,
+  CASE WHEN event_id % 10 = 1 OR event_id % 3 > 0 THEN ' User' || CAST(user_id AS STRING) || '@' || CASE WHEN user_id % 3 = 0 THEN 'Gmail.com' ELSE 'corp' || CAST(user_id % 40 AS STRING) || '.com' END
+    ELSE 'stranger' || CAST(event_id % 50 AS STRING) || '@elsewhere.net' END AS sender,
+  'Re: ' || event_type AS subject, event_id % 4 <> 0 AS is_read_not, event_id % 5 <> 0 AS has_attachments, event_id % 4 = 0 AS is_read,
+  CASE WHEN event_id % 6 = 0 THEN 'Docs <docs+intake-K' || CAST(user_id AS STRING) || '@example.org>' END AS delivered_to,
+  CASE WHEN event_id % 6 = 1 THEN 'docs+team_k' || CAST(user_id + 1 AS STRING) || '@example.org, docs+K' || CAST(user_id AS STRING) || '@example.org' WHEN event_id % 6 = 2 THEN 'docs@example.org' END AS "to",
+  CASE WHEN event_id % 6 < 3 THEN 'x+k' || CAST(user_id + 2 AS STRING) || '@example.org' END AS cc,
+  CAST(NULL AS STRING) AS x_original_to, CASE WHEN event_id % 7 = 0 THEN 'docs+k999999999@example.org' END AS envelope_to
+FROM {events}
+""".replace('AS "to"', 'AS to_addr').replace(" event_id % 4 <> 0 AS is_read_not,", ""))
+binding("mail_keys", "SELECT 'K' || CAST(c_custkey AS STRING) AS address_key, c_custkey AS user_id FROM {customer} WHERE c_custkey % 2 = 0")
+binding("mail_files", """
+SELECT arrival_id, CAST(arrival_id % 97 AS BIGINT) AS user_id, message_id, lower(trim(sender)) AS sender, 'file_' || CAST((arrival_id * 7) % 400 AS STRING) || '.pdf' AS filename,
+  CAST(1000 + arrival_id % 3 AS BIGINT) AS file_size, part FROM {mails}, (SELECT 0 AS part UNION ALL SELECT 1 AS part) p WHERE NOT (part = 1 AND arrival_id % 9 <> 0)
+""".replace("CAST(arrival_id % 97 AS BIGINT) AS user_id", "CAST((arrival_id - CASE WHEN arrival_id % 10 = 1 THEN 1 ELSE 0 END) % 97 AS BIGINT) AS user_id"))
+binding("stored_files", """
+SELECT event_id AS doc_id, CAST(event_id % 97 AS BIGINT) AS user_id, CASE WHEN event_id % 20 = 3 THEN 'm' || CAST(event_id AS STRING) ELSE 'old' || CAST(event_id AS STRING) END AS message_id,
+  'user' || CAST(user_id AS STRING) || '@' || CASE WHEN user_id % 3 = 0 THEN 'gmail.com' ELSE 'corp' || CAST(user_id % 40 AS STRING) || '.com' END AS sender,
+  'file_' || CAST((event_id * 7) % 400 AS STRING) || '.pdf' AS filename, CAST(1000 + event_id % 3 AS BIGINT) AS file_size,
+  CASE WHEN event_id % 4 = 0 THEN 'J' || CAST(event_id AS STRING) END AS job_id, ts AS created_at, ts + INTERVAL 7 DAY AS expires_at
+FROM {events} WHERE event_id % 3 = 0 OR event_id % 20 = 3
+""")
+
+# Page requests, charges and subscription events: events seen as metering.
+binding("requests", """
+SELECT event_id, user_id, CAST(floor(day(ts) / 10.0) AS BIGINT) AS period, ts, event_type AS kind, CAST(1 + event_id % 23 AS BIGINT) AS pages,
+  CASE CAST(user_id % 5 AS INTEGER) WHEN 0 THEN 'free' WHEN 1 THEN 'starter' WHEN 2 THEN 'pro' WHEN 3 THEN 'free' ELSE 'legacy' END AS tier FROM {events}
+""")
+binding("refunds", "SELECT event_id, user_id, period, ts, CASE WHEN kind IN ('error', 'click') THEN -2 * pages ELSE pages END AS pages FROM {requests}")
+binding("charges", "SELECT event_id, user_id, ts, CAST(round(value / 4, 2) AS DOUBLE) AS cost FROM {events}")
+binding("sub_events", """
+SELECT event_id, 'Cust_' || CAST(user_id AS STRING) AS customer, ts, CASE event_type WHEN 'signup' THEN 'created' WHEN 'view' THEN 'updated' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'paid' ELSE 'deleted' END AS event_type,
+  'sub_' || CAST(user_id AS STRING) || '_' || CAST(event_id % 2 AS STRING) AS sub_id,
+  CASE CAST(event_id % 5 AS INTEGER) WHEN 0 THEN 'pro' WHEN 1 THEN 'starter' WHEN 2 THEN 'business' END AS tier,
+  CASE WHEN event_id % 7 = 0 THEN 'trialing' WHEN event_id % 11 <> 0 THEN 'active' END AS status, event_id % 13 = 0 AS cancel,
+  CASE WHEN event_id % 4 <> 0 THEN CAST('2024-02-01 00:00:00' AS TIMESTAMP) + INTERVAL 1 DAY * CAST(event_id % 50 AS INTEGER) END AS period_end
+FROM {events}
+""")
+binding("calls", """
+SELECT 'J' || CAST(l_orderkey AS STRING) AS job_id, lower(p_type) || '-' || p_brand AS model, CAST(l_quantity AS BIGINT) * 100 AS prompt_tokens,
+  CAST(l_quantity AS BIGINT) * CAST(l_linenumber AS BIGINT) * 20 AS cached_tokens, CAST(l_quantity AS BIGINT) * 7 AS completion_tokens,
+  CAST(l_linenumber % 3 AS BIGINT) AS ocr_pages, CAST(l_linenumber AS BIGINT) * 5 - 10 AS removed_tokens
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
+""")
+binding("prices", """
+SELECT p_brand AS model_key, (1 + max(p_size) % 5) * 1.37171937e-6 AS input_price, (1 + max(p_size) % 5) * 1.17317e-7 AS cached_price, 4.0171937e-6 AS output_price FROM {part} WHERE p_brand LIKE '%1%' GROUP BY p_brand
+UNION ALL SELECT lower(p_type), 3.0719371e-6, 5.17317e-7, max(p_size) * 1.0137193e-6 FROM {part} WHERE p_type <> 'SMALL' GROUP BY p_type
+""")

@@ -50,21 +50,22 @@ def records_type(fields: list[str]) -> T.StructType:
     return T.StructType(keys + [T.StructField(f, T.StringType()) for f in fields])
 
 
-PAGES_TYPE = T.StructType.fromDDL(
+# Layouts as DDL text: usable without a running session.
+PAGES_TYPE = (
     "doc_id string, page_num int, text string, image_count int, header string, footer string, tables_markdown string"
 )
-TABLES_TYPE = T.StructType.fromDDL(
+TABLES_TYPE = (
     "doc_id string, table_ord int, page_num int, row_count int, col_count int, markdown string"
 )
-FILES_TYPE = T.StructType.fromDDL(
+FILES_TYPE = (
     "doc_id string, filename string, size_bytes bigint, page_count int, is_scanned boolean, doc_type_hint string"
 )
-CALLS_TYPE = T.StructType.fromDDL(
+CALLS_TYPE = (
     "job_id string, model string, prompt_tokens bigint, cached_tokens bigint, completion_tokens bigint, "
     "ocr_pages bigint, removed_tokens bigint"
 )
-USAGE_TYPE = T.StructType.fromDDL("event_id bigint, user_id bigint, ts timestamp, kind string, pages bigint, tier string")
-RUN_LOG_TYPE = T.StructType.fromDDL(
+USAGE_TYPE = ("event_id bigint, user_id bigint, ts timestamp, kind string, pages bigint, tier string")
+RUN_LOG_TYPE = (
     "run_id string, started string, completed string, discovered int, generated int, "
     "generation_failures array<string>, "
     "publish_results struct<"
@@ -81,7 +82,7 @@ TEXT_FIELDS = (
     "slug", "title", "metaTitle", "metaDescription", "h1", "primaryKeyword", "searchIntent", "templateType",
     "indexationStatus", "canonicalUrl", "summary",
 )
-RESOURCE_TYPE = T.StructType.fromDDL(
+RESOURCE_TYPE = (
     ", ".join(f"{c} string" for c in TEXT_FIELDS)
     + ", "
     + ", ".join(f"{c} array<string>" for c in LIST_FIELDS)

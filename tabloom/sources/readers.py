@@ -7,7 +7,6 @@ import html
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabloom.functions import expr as X
 from tabloom.schema import RESOURCE_TYPE, RUN_LOG_TYPE
@@ -38,7 +37,7 @@ def read_baseline_non_blank(df: DataFrame, fields: list[str]) -> DataFrame:
 
 def read_resources(spark: SparkSession, path: str) -> DataFrame:
     """Folder of nested JSON documents, one per file; files that do not parse are skipped."""
-    layout = T.StructType([*RESOURCE_TYPE.fields, T.StructField("_corrupt_record", T.StringType())])
+    layout = RESOURCE_TYPE + ", _corrupt_record string"
     df = spark.read.schema(layout).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     return df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
