@@ -1,7 +1,7 @@
 """The tables the queries work on, derived from the given parquet tables.
 
 A binding is one SELECT that Spark and the checking database both understand, so both sides read the same rows.
-`{name}` stands for a given table or another binding.
+`{name}` stands for a given table or another binding, STR_LIST(text, mark) for splitting at a plain mark.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def _names(text: str) -> list[str]:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, or a binding over given tables."""
     if name in BINDINGS:
-        text = BINDINGS[name]
+        text = BINDINGS[name].replace("STR_LIST(", "split(")
         return spark.sql(text, **{n: table(spark, sf_dir, n) for n in _names(text)})
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,7 +47,7 @@ def with_clause(*names: str) -> str:
     for name in names:
         visit(name)
     # named tables are read by name; materialised so that the checking database computes each binding once
-    parts = [f"{n} AS MATERIALIZED ({re.sub(r'[{](\w+)[}]', r'\1', BINDINGS[n])})" for n in ordered]
+    parts = [f"{n} AS MATERIALIZED ({re.sub(r'[{](\w+)[}]', r'\1', BINDINGS[n]).replace('STR_LIST(', 'string_split(')})" for n in ordered]
     return "WITH " + ",\n".join(parts)
 
 
@@ -218,7 +218,7 @@ SELECT event_id, user_id, CAST(floor(day(ts) / 10.0) AS BIGINT) AS period, ts, e
   CASE CAST(user_id % 5 AS INTEGER) WHEN 0 THEN 'free' WHEN 1 THEN 'starter' WHEN 2 THEN 'pro' WHEN 3 THEN 'free' ELSE 'legacy' END AS tier FROM {events}
 """)
 binding("refunds", "SELECT event_id, user_id, period, ts, CASE WHEN kind IN ('error', 'click') THEN -2 * pages ELSE pages END AS pages FROM {requests}")
-binding("charges", "SELECT event_id, user_id, ts, CAST(round(value / 4, 2) AS DOUBLE) AS cost FROM {events}")
+binding("charges", "SELECT event_id, user_id, ts, value * CAST(0.25 AS DOUBLE) AS cost FROM {events}")
 binding("sub_events", """
 SELECT event_id, 'Cust_' || CAST(user_id AS STRING) AS customer, ts, CASE event_type WHEN 'signup' THEN 'created' WHEN 'view' THEN 'updated' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'paid' ELSE 'deleted' END AS event_type,
   'sub_' || CAST(user_id AS STRING) || '_' || CAST(event_id % 2 AS STRING) AS sub_id,
@@ -237,3 +237,31 @@ binding("prices", """
 SELECT p_brand AS model_key, (1 + max(p_size) % 5) * 1.37171937e-6 AS input_price, (1 + max(p_size) % 5) * 1.17317e-7 AS cached_price, 4.0171937e-6 AS output_price FROM {part} WHERE p_brand LIKE '%1%' GROUP BY p_brand
 UNION ALL SELECT lower(p_type), 3.0719371e-6, 5.17317e-7, max(p_size) * 1.0137193e-6 FROM {part} WHERE p_type <> 'SMALL' GROUP BY p_type
 """)
+
+
+# Content resources: documents with titles and keywords from their own words, lists and sections of varying size.
+LONG = "Enough words to make this item a long one ~"
+binding("res", """
+SELECT doc_id, 'doc-' || CAST(doc_id AS STRING) || CASE WHEN doc_id % 41 = 0 THEN '-' ELSE '' END AS slug,
+  substring(flat, 1, CAST(8 + doc_id % 90 AS INTEGER)) AS title, substring(flat, 1, 40) AS metaTitle,
+  CASE WHEN doc_id % 50 = 7 THEN NULL ELSE substring(flat, 1, CAST(45 + doc_id % 120 AS INTEGER)) END AS metaDescription, substring(flat, 1, 60) AS h1,
+  lower(split_part(flat, ' ', 1) || ' ' || split_part(flat, ' ', 2) || ' ' || split_part(flat, ' ', 3) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' ' || split_part(flat, ' ', 4) || ' ' || lang END) AS primaryKeyword,
+  CASE CAST(doc_id % 5 AS INTEGER) WHEN 0 THEN 'informational' WHEN 1 THEN 'transactional' WHEN 2 THEN 'commercial' WHEN 3 THEN 'navigational' ELSE 'other' END AS searchIntent,
+  CASE CAST(doc_id % 9 AS INTEGER) WHEN 0 THEN 'file_conversion' WHEN 1 THEN 'document_type' WHEN 2 THEN 'workflow' WHEN 3 THEN 'use_case' WHEN 4 THEN 'comparison'
+    WHEN 5 THEN 'support_education' WHEN 6 THEN 'guide' WHEN 7 THEN 'industry_insight' ELSE 'misc' END AS templateType,
+  CASE CAST(doc_id % 4 AS INTEGER) WHEN 0 THEN 'published' WHEN 1 THEN 'noindex' WHEN 2 THEN 'draft' ELSE 'rejected' END AS indexationStatus,
+  'https://example.org/resources/' || CAST(doc_id AS STRING) AS canonicalUrl,
+  CASE WHEN doc_id % 13 = 0 THEN 'A game changer, world-class. ' ELSE '' END || CASE WHEN doc_id % 17 = 0 THEN 'Never fails; studies show it. ' ELSE '' END || substring(flat, 1, CAST(60 + doc_id % 300 AS INTEGER)) AS summary,
+  STR_LIST(repeat('kw~', CAST(doc_id % 3 AS INTEGER)), '~') AS secondaryKeywords,
+  CASE WHEN doc_id % 8 = 1 THEN NULL ELSE STR_LIST('Buyers~' || repeat('Sellers of things~', CAST(doc_id % 2 AS INTEGER)), '~') END AS whoItsFor,
+  STR_LIST('now~later', '~') AS whenThisIsRelevant, STR_LIST(repeat('in~', CAST(doc_id % 4 AS INTEGER)), '~') AS supportedInputs, STR_LIST('out~put', '~') AS expectedOutputs,
+  STR_LIST(repeat('Short one~', CAST(doc_id % 4 AS INTEGER)), '~') AS commonChallenges, STR_LIST(repeat('@LONG', CAST(doc_id % 6 AS INTEGER)), '~') AS howItWorksSteps,
+  STR_LIST('Good fit~' || repeat('@LONG', CAST(doc_id % 3 AS INTEGER)), '~') AS whyItFits,
+  CASE WHEN doc_id % 6 = 5 THEN NULL ELSE STR_LIST('Only some~' || repeat('Not others~', CAST(doc_id % 3 AS INTEGER)), '~') END AS limitations,
+  CASE WHEN doc_id % 5 = 3 THEN NULL ELSE STR_LIST('a~b', '~') END AS relatedResources, STR_LIST(repeat('trust~', CAST(doc_id % 3 AS INTEGER)), '~') AS trustSignals, STR_LIST('one~two', '~') AS exampleUseCases,
+  STR_LIST('What?~Why?~' || repeat('Who?~', CAST(doc_id % 2 AS INTEGER)), '~') AS faq_q, STR_LIST('@LONG@LONG~short~' || repeat('@LONG', CAST(doc_id % 2 AS INTEGER)), '~') AS faq_a,
+  CASE WHEN doc_id % 3 <> 2 THEN STR_LIST(text, chr(10)) END AS sec_b,
+  '2024-01-' || lpad(CAST(1 + doc_id % 28 AS STRING), 2, '0') || 'T08:00:00' AS publishedAt,
+  CASE WHEN doc_id % 4 = 0 THEN '2024-02-' || lpad(CAST(1 + doc_id % 28 AS STRING), 2, '0') || 'T09:00:00' END AS updatedAt
+FROM (SELECT *, replace(text, chr(10), ' ') AS flat FROM {documents}) d
+""".replace("@LONG", LONG))

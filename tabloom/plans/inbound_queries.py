@@ -61,23 +61,23 @@ S_CAND = " || ".join(f"coalesce(regexp_extract_all(lower(coalesce({c}, '')), '\\
     segs AS (SELECT arrival_id, i, unnest([tag] || string_split_regex(tag, '[-_]')) AS c, unnest(range(len([tag] || string_split_regex(tag, '[-_]')))) AS j FROM tags),
     hits AS (SELECT arrival_id, first(k.user_id ORDER BY i, j) AS key_user FROM segs JOIN mail_keys k ON lower(address_key) = c GROUP BY 1),
     boxes AS (SELECT lower(email) AS email, min(user_id) AS mail_user FROM users GROUP BY 1)
-    SELECT arrival_id, coalesce(key_user, mail_user) AS user_id, CASE WHEN key_user IS NOT NULL THEN 'address_key' WHEN mail_user IS NOT NULL THEN 'from_email' ELSE 'none' END AS matched_via
+    SELECT arrival_id, CAST(coalesce(key_user, mail_user) AS VARCHAR) AS user_id, CASE WHEN key_user IS NOT NULL THEN 'address_key' WHEN mail_user IS NOT NULL THEN 'from_email' ELSE 'none' END AS matched_via
     FROM mails LEFT JOIN hits USING (arrival_id) LEFT JOIN boxes ON lower(trim(sender)) = boxes.email""",
 )
 def _(spark, sf):
     out = I.route_mail(table(spark, sf, "mails"), table(spark, sf, "mail_keys"), table(spark, sf, "users"))
-    return out.select("arrival_id", "user_id", "matched_via")
+    return out.select("arrival_id", F.col("user_id").cast("string"), "matched_via")
 
 
 @query(
     "route_by_domain",
     f"""{with_clause('mails', 'users')}, s AS (SELECT arrival_id, lower(trim(sender)) AS s, split_part(lower(trim(sender)), '@', 2) AS d FROM mails)
-    SELECT arrival_id, CASE WHEN d IN ({', '.join(map(q, X.PUBLIC_DOMAINS))}) THEN e.user_id ELSE f.user_id END AS user_id FROM s
+    SELECT arrival_id, CASE WHEN d IN ({', '.join(map(q, X.PUBLIC_DOMAINS))}) THEN CAST(e.user_id AS VARCHAR) ELSE CAST(f.user_id AS VARCHAR) END AS user_id FROM s
     LEFT JOIN (SELECT lower(email) AS email, min(user_id) AS user_id FROM users GROUP BY 1) e ON e.email = s
     LEFT JOIN (SELECT split_part(lower(email), '@', 2) AS dom, first(user_id ORDER BY created_at, user_id) AS user_id FROM users GROUP BY 1) f ON f.dom = d""",
 )
 def _(spark, sf):
-    return I.route_by_domain(table(spark, sf, "mails"), table(spark, sf, "users")).select("arrival_id", "user_id")
+    return I.route_by_domain(table(spark, sf, "mails"), table(spark, sf, "users")).select("arrival_id", F.col("user_id").cast("string"))
 
 
 @query(
@@ -131,7 +131,7 @@ def _(spark, sf):
     f"{with_clause('mails')} SELECT arrival_id, subject, row_number() OVER (PARTITION BY subject ORDER BY ts DESC, arrival_id DESC) AS rank FROM mails QUALIFY rank <= 20",
 )
 def _(spark, sf):
-    return I.cap_recent(table(spark, sf, "mails"), ["subject"]).select("arrival_id", "subject", "rank")
+    return I.cap_recent(table(spark, sf, "mails"), ["subject"]).select("arrival_id", "subject", F.col("rank").cast("bigint"))
 
 
 RUNS = "SELECT user_id AS pipeline_id, event_id AS run_id, ts AS started FROM {events}"
@@ -159,11 +159,11 @@ def _jobs(spark, sf):
 
 @query(
     "job_history",
-    f"""WITH {S_JOBPAGE}, docs AS ({JOB_DOCS.replace('{lineitem}', 'lineitem')}) SELECT user_id, total_jobs, job_rank, job_id, status, doc_ord, filename FROM page LEFT JOIN docs USING (job_id)""",
+    f"""WITH {S_JOBPAGE}, docs AS ({JOB_DOCS.replace('{lineitem}', 'lineitem')}) SELECT user_id, total_jobs, job_rank, job_id, status, CAST(doc_ord AS VARCHAR) AS doc_ord, filename FROM page LEFT JOIN docs USING (job_id)""",
 )
 def _(spark, sf):
     jobs, docs = _jobs(spark, sf)
-    return I.job_history(jobs, docs, 2, 5).select("user_id", "total_jobs", "job_rank", "job_id", "status", "doc_ord", "filename")
+    return I.job_history(jobs, docs, 2, 5).select("user_id", "total_jobs", F.col("job_rank").cast("bigint"), "job_id", "status", F.col("doc_ord").cast("string"), "filename")
 
 
 @query(
@@ -340,12 +340,13 @@ def _(spark, sf):
       nullif(arg_max(CASE WHEN event_type = 'deleted' THEN '' ELSE strftime(period_end, '%Y-%m-%d') END, n) FILTER (WHERE event_type = 'deleted' OR (event_type IN ('created', 'updated', 'paid') AND period_end IS NOT NULL)), '') AS period_end,
       nullif(arg_max(CASE WHEN event_type = 'deleted' THEN '' ELSE sub_id END, n) FILTER (WHERE event_type IN ('created', 'deleted')), '') AS sub_id,
       strftime(max(ts) FILTER (WHERE event_type IN ('created', 'deleted', 'paid')), '%Y-%m-%d %H:%M:%S') AS counters_reset_at FROM live GROUP BY 1)
-    SELECT customer, coalesce(tier, subscription_tier) AS tier, status, cancel_at_period_end, period_end, st.sub_id, counters_reset_at FROM users LEFT JOIN st USING (customer)""",
+    SELECT customer, coalesce(tier, subscription_tier) AS tier, status, CAST(cancel_at_period_end AS VARCHAR) AS cancel_at_period_end, period_end, st.sub_id, counters_reset_at FROM users LEFT JOIN st USING (customer)""",
 )
 def _(spark, sf):
     users = table(spark, sf, "users").select("customer", F.col("subscription_tier").alias("tier"))
     out = G.subscription_state(table(spark, sf, "sub_events"), users)
     return out.withColumns({
+        "cancel_at_period_end": F.col("cancel_at_period_end").cast("string"),
         "period_end": F.date_format("period_end", "yyyy-MM-dd"),
         "counters_reset_at": F.date_format("counters_reset_at", "yyyy-MM-dd HH:mm:ss"),
     })

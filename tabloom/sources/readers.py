@@ -35,10 +35,10 @@ def read_baseline_non_blank(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.filter(X.any_of(X.blank(f) != "" for f in fields))
 
 
-def read_resources(spark: SparkSession, path: str) -> DataFrame:
-    """Folder of nested JSON documents, one per file; files that do not parse are skipped."""
+def read_resources(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Folder of nested JSON documents, one per file (or one per line); what does not parse is skipped."""
     layout = RESOURCE_TYPE + ", _corrupt_record string"
-    df = spark.read.schema(layout).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    df = spark.read.schema(layout).option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     return df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
@@ -48,17 +48,12 @@ OUTCOMES = ("published_index", "published_noindex", "drafted", "rejected")
 def read_run_logs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Run logs flattened to one row per (run, outcome, slug); runs without outcome keep one row with nulls."""
     logs = spark.read.schema(RUN_LOG_TYPE).option("multiLine", multi_line).json(path)
-    tagged = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.coalesce(F.col(f"publish_results.{o}.slug"), F.array().cast("array<string>")),
-                    lambda s, o=o: F.struct(F.lit(o).alias("outcome"), s.alias("slug")),
-                )
-                for o in OUTCOMES
-            ]
-        )
-    )
+
+    def outcome(name: str) -> Column:
+        slugs = F.coalesce(F.col(f"publish_results.{name}.slug"), F.array().cast("array<string>"))
+        return F.transform(slugs, lambda s: F.struct(F.lit(name).alias("outcome"), s.alias("slug")))
+
+    tagged = F.flatten(F.array(*[outcome(name) for name in OUTCOMES]))
     flat = logs.select(
         "run_id", "started", "completed", "discovered", "generated",
         F.greatest(F.size("generation_failures"), F.lit(0)).alias("failures"), F.explode_outer(tagged).alias("o"),
