@@ -23,7 +23,13 @@ def binding(name: str, text: str) -> None:
 
 
 def _names(text: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
+    return list(dict.fromkeys(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", text)))
+
+
+def _plain(text: str) -> str:
+    """Text for the checking database."""
+    text = re.sub(r"(?<!\{)\{(\w+)\}(?!\})", r"\1", text).replace("STR_LIST(", "string_split(")
+    return text.replace("{{", "{").replace("}}", "}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +53,7 @@ def with_clause(*names: str) -> str:
     for name in names:
         visit(name)
     # named tables are read by name; materialised so that the checking database computes each binding once
-    parts = [f"{n} AS MATERIALIZED ({re.sub(r'[{](\w+)[}]', r'\1', BINDINGS[n]).replace('STR_LIST(', 'string_split(')})" for n in ordered]
+    parts = [f"{n} AS MATERIALIZED ({_plain(BINDINGS[n])})" for n in ordered]
     return "WITH " + ",\n".join(parts)
 
 
@@ -265,3 +271,35 @@ SELECT doc_id, 'doc-' || CAST(doc_id AS STRING) || CASE WHEN doc_id % 41 = 0 THE
   CASE WHEN doc_id % 4 = 0 THEN '2024-02-' || lpad(CAST(1 + doc_id % 28 AS STRING), 2, '0') || 'T09:00:00' END AS updatedAt
 FROM (SELECT *, replace(text, chr(10), ' ') AS flat FROM {documents}) d
 """.replace("@LONG", LONG))
+
+# Form fields: twelve orders make one form.
+binding("form_fields", """
+SELECT CAST(floor(o_orderkey / 12.0) AS BIGINT) AS form_id, CAST(o_orderkey % 12 AS INTEGER) AS ord,
+  CASE CAST(o_orderkey % 12 AS INTEGER) WHEN 0 THEN 'Page1[0].FullName_A[0]' WHEN 1 THEN 'Policy_Status_EffectiveDate_A' WHEN 2 THEN 'SignatureOwner' WHEN 3 THEN 'Owner_Title'
+    WHEN 4 THEN 'Agree_True' WHEN 5 THEN 'Agree_False' WHEN 6 THEN 'f.OfficeUseOnly' WHEN 7 THEN 'City' WHEN 8 THEN 'PrintName' WHEN 9 THEN 'Pick' WHEN 10 THEN 'Witness_sig_2' ELSE 'SignDate' END AS name,
+  CASE CAST(o_orderkey % 12 AS INTEGER) WHEN 4 THEN 'Do you agree ' || CAST(o_custkey % 2 AS STRING) || '? — True' WHEN 5 THEN CASE WHEN o_orderkey % 36 = 5 THEN 'Other - No' ELSE 'Do you agree ' || CAST(o_custkey % 2 AS STRING) || '? - false' END
+    WHEN 7 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'For Office Use Only: city' ELSE 'City' END END AS label,
+  CASE CAST(o_orderkey % 12 AS INTEGER) WHEN 4 THEN 'checkbox' WHEN 5 THEN 'checkbox' WHEN 9 THEN CASE WHEN o_orderkey % 24 = 9 THEN 'dropdown' ELSE 'radio' END ELSE 'text' END AS type,
+  CASE CAST(o_orderkey % 12 AS INTEGER) WHEN 2 THEN CASE WHEN o_orderkey % 5 < 3 THEN ' ' ELSE 'J. Doe' END WHEN 4 THEN CASE WHEN o_orderkey % 3 = 0 THEN ' Yes' ELSE 'no' END WHEN 5 THEN o_orderstatus
+    WHEN 9 THEN CASE CAST(o_orderkey % 7 AS INTEGER) WHEN 0 THEN 'red' WHEN 1 THEN 'Green' WHEN 2 THEN 'GREEN' WHEN 3 THEN 'none such' ELSE NULL END
+    WHEN 10 THEN CASE WHEN o_orderkey % 4 = 0 THEN 'W' ELSE 'N/A' END
+    ELSE CASE WHEN o_orderkey % 8 = 0 THEN 'Please Select...' WHEN o_orderkey % 8 = 1 THEN NULL WHEN o_orderkey % 8 = 2 THEN 'A very long text that does not fit' ELSE o_orderpriority END END AS value,
+  CAST(o_orderkey % 5 * 30 AS DOUBLE) AS width, CAST(10 + o_orderkey % 4 * 10 AS DOUBLE) AS height,
+  CASE WHEN o_orderkey % 2 = 0 THEN '/On' END AS checked, CAST(NULL AS STRING) AS unchecked
+FROM {orders}
+""")
+binding("form_options", """
+SELECT form_id, name, option_text AS "option", option_ord FROM {form_fields}, (SELECT 'Red' AS option_text, 0 AS option_ord UNION ALL SELECT 'Green' AS option_text, 1 AS option_ord UNION ALL SELECT 'green' AS option_text, 2 AS option_ord) o
+WHERE type IN ('dropdown', 'radio') AND form_id % 10 <> 0
+""".replace('AS "option"', "AS option"))
+
+# Response texts: JSON, fenced JSON with stray commas, JSON inside prose, and none.
+binding("model_texts", """
+SELECT o_orderkey, CASE CAST(o_orderkey % 7 AS INTEGER)
+    WHEN 0 THEN '@{"records": [@{"id": "' || CAST(o_orderkey AS STRING) || '", "st": "' || o_orderstatus || '"@}, @{"id": "x"@}, 5]@}'
+    WHEN 1 THEN 'Here it is:' || chr(10) || '```json' || chr(10) || '@{"n": 1, "rows": [@{"id": "' || CAST(o_orderkey AS STRING) || '",@},]@}' || chr(10) || '```'
+    WHEN 2 THEN 'The result @{"id": "' || CAST(o_orderkey AS STRING) || '", "st": "a@}b"@} as asked'
+    WHEN 3 THEN 'no data' WHEN 4 THEN '@{"id": "' || CAST(o_orderkey AS STRING) || '", "st": null@}' WHEN 5 THEN '@{"records": []@}' ELSE '' END AS response
+FROM {orders}
+""")
+BINDINGS["model_texts"] = BINDINGS["model_texts"].replace("@{", "{{").replace("@}", "}}")
