@@ -35,7 +35,7 @@ def count_true(conditions: Iterable[Column]) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Drop leading and trailing white space of any kind (`trim` only drops blanks)."""
-    return F.btrim(col(c), F.lit(SPACES))
+    return F.expr(f"btrim(`{c}`, '{SPACES}')") if isinstance(c, str) else F.btrim(c, F.lit(SPACES))
 
 
 def squash(c: Column | str) -> Column:
@@ -45,11 +45,17 @@ def squash(c: Column | str) -> Column:
 
 def blank(c: Column | str) -> Column:
     """Null-safe text: null becomes ''."""
-    return F.coalesce(col(c), F.lit(""))
+    return F.expr(f"coalesce(`{c}`, '')") if isinstance(c, str) else F.coalesce(c, F.lit(""))
 
 
 def is_filled(c: Column | str, markers: Iterable[str] = MARKERS_CORE) -> Column:
-    """True iff a value is present and is not one of the empty markers."""
+    """True iff a value is present and is not one of the empty markers.
+
+    Named columns take the text form: it builds in one call, which matters for wide field lists.
+    """
+    if isinstance(c, str):
+        listed = ", ".join(f"'{m}'" for m in markers)
+        return F.expr(f"lower(btrim(coalesce(`{c}`, ''), '{SPACES}')) NOT IN ({listed})")
     return ~F.lower(strip(blank(c))).isin(*markers)
 
 

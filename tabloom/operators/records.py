@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabloom.functions import expr as X
 from tabloom.operators.quality import key_columns
 from tabloom.operators.skew import attach_stats
-from tabloom.schema import ERROR, MARKERS_CORE, MARKERS_SHORT, ORD, RECORD_KEYS, SCOPE
+from tabloom.schema import MARKERS_SHORT, ORD, RECORD_KEYS, SCOPE
 from tabloom.session import cut_lineage
 
 
@@ -78,47 +78,56 @@ def as_path(order: str, df: DataFrame) -> Column:
     return F.col(order) if df.schema[order].dataType.typeName() == "array" else F.array(F.col(order).cast("bigint"))
 
 
-def _first_filled(fields: list[str], rank: Column) -> list[Column]:
-    """Per field: the first filled value in `rank` order, else what the first row holds."""
-    return [
-        F.coalesce(
-            F.min_by(F.when(X.is_filled(f), X.col(f)), F.when(X.is_filled(f), rank)), F.min_by(X.col(f), rank)
-        ).alias(f)
-        for f in fields
-    ]
+def with_values(df: DataFrame, fields: list[str]) -> DataFrame:
+    """Adds `_v` (field values), `_f` (is it filled) and `_filled` (their number) as arrays in field order.
 
+    They come out of a generator, so that later expressions refer to them instead of repeating the test per field.
+    """
+    values = F.array(*[X.col(f) for f in fields])
+    flags = F.array(*[X.is_filled(f) for f in fields])
+    row = F.struct(values.alias("_v"), flags.alias("_f"), X.filled_count(fields).alias("_filled"))
+    return df.select("*", F.inline(F.array(row)))
 
-def _passengers(df: DataFrame, fields: list[str], rank: Column, by: list[str]) -> list[Column]:
-    """Columns beside the fields come from the base row."""
-    return [F.min_by(X.col(c), rank).alias(c) for c in df.columns if c not in fields and c not in by and c != ORD]
+
+def place_of(fields: list[str], key: str) -> Column:
+    """Position of the column named by `key` in `_v` and `_f`; null when there is none."""
+    return F.nullif(F.array_position(F.array(*[F.lit(f) for f in fields]), F.col(key)), F.lit(0)).cast("int")
 
 
 def merge_groups(df: DataFrame, fields: list[str], group: list[str], rank: Column) -> DataFrame:
-    """One row per group: base row first in `rank`, gaps filled from the others in that order."""
-    return df.groupBy(*group).agg(
-        F.min(ORD).alias(ORD), *_first_filled(fields, rank), *_passengers(df, fields, rank, group)
+    """One row per group: base row first in `rank`, gaps filled from the others in that order.
+
+    Needs the arrays of `with_values`. Columns beside the fields come from the base row.
+    """
+    extra = [c for c in df.columns if c not in fields and c not in group and c not in (ORD, "_v", "_f", "_filled")]
+    best = [
+        F.min_by(F.element_at("_v", i + 1), F.when(F.element_at("_f", i + 1), rank)).alias(f"_b{i}") for i in range(len(fields))
+    ]
+    base = F.min_by(F.struct("_v", *extra), rank).alias("_base")
+    merged = df.groupBy(*group).agg(F.min(ORD).alias(ORD), base, *best)
+    return merged.select(
+        *group, ORD, *[F.coalesce(f"_b{i}", F.element_at("_base._v", i + 1)).alias(f) for i, f in enumerate(fields)],
+        *[F.col(f"_base.{c}").alias(c) for c in extra],
     )
 
 
-def merge_keys(df: DataFrame, fields: list[str]) -> Column:
+def merge_keys() -> Column:
     """Merge key of a row: id token, address start, and a distinguishing value when the id is missing. Null: none."""
-    def text(key: str) -> Column:
-        return F.lower(X.strip(X.blank(key_value(fields, key))))
+    def low(place: Column) -> Column:
+        return F.lower(X.strip(F.element_at("_v", place)))
 
-    id_here, address_here = key_filled(fields, "id_field"), key_filled(fields, "address_field")
-    spare = F.coalesce(
-        *[
-            F.when(F.array_contains("distinguishers", f) & X.is_filled(f), F.substring(F.lower(X.strip(f)), 1, 40))
-            for f in fields
-        ]
-    )
+    def here(place: Column) -> Column:
+        return F.coalesce(F.element_at("_f", place), F.lit(False))
+
+    ident, address = F.col("_id"), F.col("_address")
+    spare = F.get(F.filter("_apart_by", lambda i: F.element_at("_f", i)), F.lit(0))
     parts = F.array(
-        F.when(id_here, X.id_token(text("id_field"))),
-        F.when(address_here, F.substring(text("address_field"), 1, 40)),
-        F.when(~id_here & address_here, spare),
+        F.when(here(ident), X.id_token(low(ident))),
+        F.when(here(address), F.substring(low(address), 1, 40)),
+        F.when(~here(ident) & here(address), F.substring(low(spare), 1, 40)),
     )
     known = F.filter(parts, lambda p: p.isNotNull())
-    return F.when(F.col("id_field").isNotNull() & (F.size(known) > 0), F.array_join(known, "|"))
+    return F.when(ident.isNotNull() & (F.size(known) > 0), F.array_join(known, "|"))
 
 
 def merge_by_identifier(df: DataFrame, fields: list[str], keys: DataFrame | None = None) -> DataFrame:
@@ -127,30 +136,38 @@ def merge_by_identifier(df: DataFrame, fields: list[str], keys: DataFrame | None
     `row_ord` becomes a position list [unkeyed, first position of the group, own position].
     """
     keys = keys if keys is not None else key_columns(df, fields)
+    names = F.array(*[F.lit(f) for f in fields])
+    places = keys.select(
+        SCOPE, place_of(fields, "id_field").alias("_id"), place_of(fields, "address_field").alias("_address"),
+        F.array_sort(F.transform("distinguishers", lambda d: F.array_position(names, d).cast("int"))).alias("_apart_by"),
+    )
     keyed = (
-        df.join(keys.select(SCOPE, "id_field", "address_field", "distinguishers"), SCOPE, "left")
-        .withColumn("_key", merge_keys(df, fields))
-        .withColumn(ORD, as_path(ORD, df))
-        .withColumn("_filled", X.filled_count(fields))
+        with_values(df.withColumn(ORD, as_path(ORD, df)), fields)
+        .join(places, SCOPE, "left")
+        .withColumn("_key", merge_keys())
     )
     keyed = cut_lineage(keyed)
     lone = keyed.filter(F.col("_key").isNull())
     grouped = keyed.filter(F.col("_key").isNotNull())
 
-    def varies(f: str) -> Column:
-        value = F.when(X.is_filled(f) & F.array_contains("distinguishers", f), F.lower(X.strip(f)))
-        return F.coalesce(F.min(value) != F.max(value), F.lit(False))
-
-    verdict = grouped.groupBy(SCOPE, "_key").agg(
-        F.min(ORD).alias("_first"), X.any_of(varies(f) for f in fields).alias("_apart")
+    # filled values of the distinguishing fields only; two different ones in a group keep it apart
+    shown = F.transform(
+        F.sequence(F.lit(1), F.lit(len(fields))),
+        lambda i: F.when(F.array_contains("_apart_by", i) & F.element_at("_f", i), F.lower(X.strip(F.element_at("_v", i)))),
+    )
+    shown_rows = grouped.select(SCOPE, "_key", ORD, F.inline(F.array(F.struct(shown.alias("_d")))))
+    varies = X.any_of(
+        F.coalesce(F.min(F.element_at("_d", i + 1)) != F.max(F.element_at("_d", i + 1)), F.lit(False)) for i in range(len(fields))
     )
+    verdict = shown_rows.groupBy(SCOPE, "_key").agg(F.min(ORD).alias("_first"), varies.alias("_apart"))
     judged = grouped.join(verdict, [SCOPE, "_key"])
-    apart = judged.filter("_apart").withColumn(ORD, F.concat(F.array(F.lit(0).cast("bigint")), "_first", ORD))
+    zero = F.array(F.lit(0).cast("bigint"))
+    apart = judged.filter("_apart").withColumn(ORD, F.concat(zero, "_first", ORD))
     rank = F.struct(-F.col("_filled"), F.col(ORD))
-    united = merge_groups(judged.filter("not _apart").drop("_first", "_apart"), fields, [SCOPE, "_key"], rank)
-    united = united.withColumn(ORD, F.concat(F.array(F.lit(0).cast("bigint")), ORD, ORD))
+    together = judged.filter("not _apart").drop("_first", "_apart", "_id", "_address", "_apart_by")
+    united = merge_groups(together, fields, [SCOPE, "_key"], rank).withColumn(ORD, F.concat(zero, ORD, ORD))
     # scopes without an id column keep their order; elsewhere unkeyed rows go last
-    tier = F.when(F.col("id_field").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("bigint")
+    tier = F.when(F.col("_id").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("bigint")
     lone = lone.withColumn(ORD, F.concat(F.array(tier), ORD, ORD))
     return apart.select(df.columns).unionByName(united.select(df.columns)).unionByName(lone.select(df.columns))
 
@@ -158,14 +175,12 @@ def merge_by_identifier(df: DataFrame, fields: list[str], keys: DataFrame | None
 def merge_across_documents(df: DataFrame, fields: list[str], id_field: str) -> DataFrame:
     """Merge on the id alone, leading zeros ignored; the fullest row is the base, first filled value wins."""
     ident = F.regexp_replace(F.lower(X.strip(id_field)), r"^0*(\d+.*)$", "$1")
-    tagged = (
-        df.withColumn("_key", F.when(X.is_filled(id_field), F.concat(F.lit("k"), ident)))
-        .withColumn(ORD, as_path(ORD, df))
-        .withColumn("_filled", X.filled_count(fields))
-    )
+    placed = df.withColumn(ORD, as_path(ORD, df))
     # an unkeyed row is its own group, so they do not pile up under one null key
-    tagged = tagged.withColumn("_late", F.col("_key").isNull().cast("bigint")).withColumn(
-        "_key", F.coalesce("_key", F.concat(F.lit("r"), F.array_join(F.transform(ORD, lambda x: x.cast("string")), ".")))
+    own = F.concat(F.lit("r"), F.array_join(F.transform(ORD, lambda x: x.cast("string")), "."))
+    keyed = X.is_filled(id_field)
+    tagged = with_values(placed, fields).select(
+        "*", F.when(keyed, F.concat(F.lit("k"), ident)).otherwise(own).alias("_key"), (~keyed).cast("bigint").alias("_late")
     )
     rank = F.struct(-F.col("_filled"), F.col(ORD))
     merged = merge_groups(tagged, fields, [SCOPE, "_key", "_late"], rank)
@@ -173,19 +188,22 @@ def merge_across_documents(df: DataFrame, fields: list[str], id_field: str) -> D
 
 
 def bucket_merge(df: DataFrame, fields: list[str]) -> DataFrame:
-    """Merge rows that share id token and address; needs `id_field`/`address_field` columns. Rows without id stay."""
-    def text(key: str, n: int) -> Column:
-        return F.substring(X.strip(key_value(fields, key)), 1, n)
+    """Merge rows that share id token and address; needs `_id`/`_address` places. Rows without id stay."""
+    def text(key: str) -> Column:
+        return X.strip(F.element_at("_v", F.col(key)))
 
-    tokens = F.regexp_extract_all(X.strip(X.blank(key_value(fields, "id_field"))), F.lit(r"([A-Za-z0-9#/_-]+)"), 1)
+    def here(key: str) -> Column:
+        return F.coalesce(F.element_at("_f", F.col(key)), F.lit(False))
+
+    tokens = F.regexp_extract_all(text("_id"), F.lit(r"([A-Za-z0-9#/_-]+)"), 1)
     coded = F.get(F.filter(tokens, lambda t: t.rlike(r"\d")), F.lit(0))
-    loc = F.when(key_filled(fields, "id_field"), F.lower(F.coalesce(coded, text("id_field", 24))))
-    address = F.when(key_filled(fields, "address_field"), X.squash(F.lower(text("address_field", 80)))).otherwise("")
+    loc = F.when(here("_id"), F.lower(F.coalesce(coded, F.substring(text("_id"), 1, 24))))
+    address = F.when(here("_address"), X.squash(F.lower(F.substring(text("_address"), 1, 80)))).otherwise("")
     own = F.concat(F.lit("row:"), F.array_join(F.transform(ORD, lambda x: x.cast("string")), "."))
     shared = F.concat(F.lit("loc:"), loc, F.lit("\x00"), address)
     bucket = F.when(X.has_error() | loc.isNull(), own).otherwise(shared)
-    tagged = df.withColumn("_bucket", bucket)
-    return merge_groups(tagged, fields, [SCOPE, "_bucket"], F.col(ORD)).select(df.columns)
+    tagged = df.withColumn("_bucket", bucket).drop("_id", "_address")
+    return merge_groups(tagged, fields, [SCOPE, "_bucket"], F.col(ORD))
 
 
 def drop_duplicate_records(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -205,13 +223,14 @@ def finalise_records(df: DataFrame, fields: list[str]) -> DataFrame:
     profile = cut_lineage(profile)
     all_keys = infer_key_fields(profile, fields, rows="data_rows")
     merge_by = infer_key_fields(profile, fields, rows="nonblank_rows")
-    merged = merge_by_identifier(drop_blank_records(df, fields), fields, merge_by)
-    marked = merged.join(all_keys.select(SCOPE, "id_field", "address_field"), SCOPE, "left").withColumn(
-        "_keep", X.has_error() | key_filled(fields, "id_field") | key_filled(fields, "address_field")
+    merged = with_values(merge_by_identifier(drop_blank_records(df, fields), fields, merge_by), fields)
+    places = all_keys.select(
+        SCOPE, place_of(fields, "id_field").alias("_id"), place_of(fields, "address_field").alias("_address")
     )
-    marked = cut_lineage(marked)
-    kept = marked.filter("_keep").drop("_keep")
-    done = drop_duplicate_records(bucket_merge(kept, fields).drop("id_field", "address_field"), fields)
+    found = F.coalesce(F.element_at("_f", F.col("_id")), F.lit(False)) | F.coalesce(F.element_at("_f", F.col("_address")), F.lit(False))
+    marked = merged.join(places, SCOPE, "left").withColumn("_keep", X.has_error() | found)
+    kept = cut_lineage(marked.filter("_keep").drop("_keep"))
+    done = drop_duplicate_records(bucket_merge(kept, fields).select(df.columns), fields)
     # scopes without survivors come back unchanged
     alive = kept.select(SCOPE).distinct()
     untouched = df.join(alive, SCOPE, "left_anti").withColumn(ORD, as_path(ORD, df))

@@ -288,46 +288,58 @@ def balance_events(charges: DataFrame, users: DataFrame) -> DataFrame:
                 put(max(start, lo), True, value - cost)
         return out
 
-    def summarise(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        """How one hour of a user changes the balance."""
-        pieces = [(0.0, True, 0.0)]
-        for row in pdf.sort_values(["ts", "event_id"]).itertuples():
-            pieces = compose(pieces, row.cost, bool(row.auto_renew), row.threshold, row.refill)
-        return pd.DataFrame(
-            {"user_id": key[0], "_hour": key[1], "lo": [p[0] for p in pieces], "moves": [p[1] for p in pieces], "value": [p[2] for p in pieces]}
-        )
-
-    def replay(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        balance, after, renewed = float(pdf["start"].iloc[0]), [], []
-        for row in pdf.itertuples():
-            balance = max(0.0, balance - row.cost)
-            again = bool(row.auto_renew) and balance < row.threshold
-            balance += row.refill if again else 0.0
-            after.append(balance)
-            renewed.append(row.refill if again else 0.0)
-        return pd.DataFrame({"event_id": pdf["event_id"], "user_id": pdf["user_id"], "balance_after": after, "renewal": renewed})
+    def summarise(batches):
+        """How each hour of a user changes the balance; the rows of an hour lie together, in order."""
+        key, pieces = None, []
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                if (row.user_id, row.hour) != key:
+                    out += [(*key, *p) for p in pieces] if key else []
+                    key, pieces = (row.user_id, row.hour), [(0.0, True, 0.0)]
+                pieces = compose(pieces, row.cost, bool(row.auto_renew), row.threshold, row.refill)
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame([(*key, *p) for p in pieces] if key else [], columns=names)
+
+    def replay(batches):
+        key, balance = None, 0.0
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                if (row.user_id, row.hour) != key:
+                    key, balance = (row.user_id, row.hour), row.start
+                balance = max(0.0, balance - row.cost)
+                again = bool(row.auto_renew) and balance < row.threshold
+                balance += row.refill if again else 0.0
+                out.append((row.event_id, row.user_id, balance, row.refill if again else 0.0))
+            yield pd.DataFrame(out, columns=["event_id", "user_id", "balance_after", "renewal"])
 
     rules = users.select("user_id", F.col("balance").cast("double"), "auto_renew", "threshold", "refill")
-    rows = charges.join(rules, "user_id").withColumn("_hour", hour_of())
-    shape = "user_id bigint, _hour timestamp, lo double, moves boolean, value double"
-    pieces = rows.groupBy("user_id", "_hour").applyInPandas(summarise, shape)
-    hours = pieces.groupBy("user_id", "_hour").agg(F.array_sort(F.collect_list(F.struct("lo", "moves", "value"))).alias("p"))
-    chain = hours.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("_hour", "p"))).alias("h")).join(rules, "user_id")
+    names = ["user_id", "hour", "lo", "moves", "value"]
+    used = ["user_id", "hour", "event_id", "ts", "cost", "auto_renew", "threshold", "refill"]
+    rows = charges.join(rules, "user_id").withColumn("hour", F.unix_seconds(hour_of().cast("timestamp"))).select(*used, "balance")
+
+    def by_hour(df: DataFrame) -> DataFrame:
+        # the hours of a hot user go to different tasks; inside a task rows stream by, nothing is gathered
+        return df.repartition("user_id", "hour").sortWithinPartitions("user_id", "hour", "ts", "event_id")
+
+    pieces = by_hour(rows.select(*used)).mapInPandas(summarise, "user_id bigint, hour bigint, lo double, moves boolean, value double")
+    hours = pieces.groupBy("user_id", "hour").agg(F.array_sort(F.collect_list(F.struct("lo", "moves", "value"))).alias("p"))
+    chain = hours.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("hour", "p"))).alias("h")).join(rules, "user_id")
 
     def move(balance: Column, h: Column) -> Column:
         piece = F.element_at(F.filter(h["p"], lambda q: q["lo"] <= balance), -1)
         return F.when(piece["moves"], balance + piece["value"]).otherwise(piece["value"])
 
-    begun = F.struct(F.col("balance").alias("b"), F.array().cast("array<struct<_hour:timestamp,start:double>>").alias("out"))
+    begun = F.struct(F.col("balance").alias("b"), F.array().cast("array<struct<hour:bigint,start:double>>").alias("out"))
     walked = F.aggregate(
         "h", begun,
         lambda a, h: F.struct(
-            move(a["b"], h).alias("b"), F.concat(a["out"], F.array(F.struct(h["_hour"].alias("_hour"), a["b"].alias("start")))).alias("out")
+            move(a["b"], h).alias("b"), F.concat(a["out"], F.array(F.struct(h["hour"].alias("hour"), a["b"].alias("start")))).alias("out")
         ),
     )
     opened = chain.select("user_id", F.inline(walked["out"]))
-    replayed = rows.join(opened, ["user_id", "_hour"]).groupBy("user_id", "_hour").applyInPandas(
+    replayed = by_hour(rows.select(*used).join(opened, ["user_id", "hour"])).mapInPandas(
         replay, "event_id bigint, user_id bigint, balance_after double, renewal double"
     )
     return charges.join(replayed, ["event_id", "user_id"])

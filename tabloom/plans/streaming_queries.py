@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 
 from tabloom.operators import usage as G
 from tabloom.plans.bindings import table, with_clause
-from tabloom.plans.catalog import query
+from tabloom.plans.catalog import ORACLES, query
 from tabloom.plans.inbound_queries import ARRIVALS, PROGRESS, s_admit
-from tabloom.session import scratch_path
+from tabloom.session import cut_lineage, scratch_path
 from tabloom.streaming import jobs
 
 
 def as_stream(df: DataFrame, name: str, order: str, slices: int = 3) -> DataFrame:
-    """Write a table as files in `order` and read them back as a stream, one file group per trigger."""
+    """Write a table as files in `order`, one slice after the other, and read them back as a stream in that order."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    ranged = df.repartitionByRange(slices, order).sortWithinPartitions(order)
-    ranged.write.parquet(path)
-    return spark.readStream.schema(ranged.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    sliced = cut_lineage(df.repartitionByRange(slices, order).withColumn("_slice", F.spark_partition_id()))
+    for i in range(slices):
+        sliced.filter(F.col("_slice") == i).drop("_slice").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -103,7 +104,11 @@ MAIL_STREAM = """SELECT m.arrival_id, m.message_id, m.ts, m.sender, delivered_to
 
 @query(
     "ingest_messages",
-    None,
+    f"""WITH r AS ({ORACLES['route_mail']}), f AS (SELECT a.arrival_id, CAST(user_id AS BIGINT) AS user_id, message_id, sender, filename, file_size FROM (
+      {with_clause('mails', 'mail_files')} SELECT m.arrival_id, m.message_id, lower(trim(m.sender)) AS sender, filename, file_size FROM mails m JOIN mail_files f ON m.arrival_id = f.arrival_id) a
+      JOIN r ON r.arrival_id = a.arrival_id WHERE user_id IS NOT NULL),
+    o AS (SELECT * FROM f QUALIFY arrival_id = min(arrival_id) OVER (PARTITION BY user_id, message_id))
+    SELECT arrival_id, user_id, message_id, filename, file_size FROM o QUALIFY arrival_id = min(arrival_id) OVER (PARTITION BY user_id, sender, filename, file_size)""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.sql(MAIL_STREAM, mails=table(spark, sf, "mails"), mail_files=table(spark, sf, "mail_files"))
