@@ -67,12 +67,13 @@ def has_error(c: Column | str = "error") -> Column:
     return blank(c) != ""
 
 
-def clean_money(c: Column | str) -> Column:
+def clean_money(c: Column | str, stripped: bool = False) -> Column:
     """Drop a trailing magnitude word, but only behind a comma-grouped number."""
-    pattern = rf"(?is)^(.*?){WS}+(?:million|billion|thousand)s?$"
-    text = strip(c)
-    base = strip(F.regexp_extract(text, pattern, 1))
-    return F.when(text.rlike(pattern) & base.rlike(r"\d{1,3}(?:,\d{3})+"), base).otherwise(col(c))
+    text = col(c) if stripped else strip(c)
+    # a cheap look at the end of the value decides whether it is taken apart
+    word_last = text.rlike(r"(?i)(?:million|billion|thousand)s?$")
+    base = strip(F.regexp_extract(text, rf"(?is)^(.*?){WS}+(?:million|billion|thousand)s?$", 1))
+    return F.when(word_last & base.rlike(r"\d{1,3}(?:,\d{3})+"), base).otherwise(col(c))
 
 
 FLOAT_GRAMMAR = (
@@ -201,8 +202,15 @@ def word_list(c: Column | str) -> Column:
     return F.filter(F.split(blank(c), f"{WS}+"), lambda w: w != "")
 
 
+RARE_SPACES = SPACES[6:]
+
+
 def word_count(c: Column | str) -> Column:
-    return F.size(word_list(c))
+    """Number of white-space separated words. Texts with rare kinds of space are brought to plain ones first."""
+    text = blank(c)
+    plain = F.translate(text, RARE_SPACES, " " * len(RARE_SPACES))
+    rare = text.rlike(f"[{RARE_SPACES}]")
+    return F.when(rare, F.regexp_count(plain, F.lit(r"\S+"))).otherwise(F.regexp_count(text, F.lit(r"\S+")))
 
 
 def table_header_text(markdown: Column | str) -> Column:

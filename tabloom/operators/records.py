@@ -17,7 +17,7 @@ def normalise_records(raw: DataFrame, fields: list[str]) -> DataFrame:
     present = set(raw.columns)
     keys = [c for c in RECORD_KEYS if c in present]
     cells = [
-        F.when(X.is_filled(f), X.clean_money(X.strip(f))).alias(f) if f in present else F.lit(None).cast("string").alias(f)
+        F.when(X.is_filled(f), X.clean_money(X.strip(f), stripped=True)).alias(f) if f in present else F.lit(None).cast("string").alias(f)
         for f in fields
     ]
     return raw.select(*keys, *cells)
