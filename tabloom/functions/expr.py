@@ -14,6 +14,7 @@ from tabloom.schema import DATE_WORDS, MARKERS_CORE, NUMERIC_WORDS
 
 # All characters that count as white space, as a trim set and as a pattern class.
 SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
+RARE_SPACES = SPACES[6:]
 WS = r"[\s\x1C-\x1F\x85\xA0  -     　]"
 
 
@@ -38,9 +39,14 @@ def strip(c: Column | str) -> Column:
     return F.expr(f"btrim(`{c}`, '{SPACES}')") if isinstance(c, str) else F.btrim(c, F.lit(SPACES))
 
 
+def plain_spaces(c: Column | str) -> Column:
+    """Rare kinds of space as blanks; then the short pattern for white space is enough, and much quicker."""
+    return F.translate(col(c), RARE_SPACES, " " * len(RARE_SPACES))
+
+
 def squash(c: Column | str) -> Column:
     """Collapse runs of white space to one blank."""
-    return F.regexp_replace(col(c), f"{WS}+", " ")
+    return F.regexp_replace(plain_spaces(c), r"\s+", " ")
 
 
 def blank(c: Column | str) -> Column:
@@ -199,18 +205,14 @@ def first_words(c: Column | str, n: int) -> Column:
 
 def word_list(c: Column | str) -> Column:
     """White-space separated words."""
-    return F.filter(F.split(blank(c), f"{WS}+"), lambda w: w != "")
-
-
-RARE_SPACES = SPACES[6:]
+    return F.filter(F.split(plain_spaces(blank(c)), r"\s+"), lambda w: w != "")
 
 
 def word_count(c: Column | str) -> Column:
     """Number of white-space separated words. Texts with rare kinds of space are brought to plain ones first."""
     text = blank(c)
-    plain = F.translate(text, RARE_SPACES, " " * len(RARE_SPACES))
     rare = text.rlike(f"[{RARE_SPACES}]")
-    return F.when(rare, F.regexp_count(plain, F.lit(r"\S+"))).otherwise(F.regexp_count(text, F.lit(r"\S+")))
+    return F.when(rare, F.regexp_count(plain_spaces(text), F.lit(r"\S+"))).otherwise(F.regexp_count(text, F.lit(r"\S+")))
 
 
 def table_header_text(markdown: Column | str) -> Column:

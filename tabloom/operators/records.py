@@ -313,7 +313,8 @@ def duplicate_column_pairs(df: DataFrame, fields: list[str]) -> DataFrame:
             for i, a in enumerate(ordered) for b in ordered[i + 1:]
         ]
     )
-    equal = df.select(SCOPE, F.explode(F.filter(pairs, lambda p: (p["a"] != "") & (p["a"] == p["b"]))).alias("p"))
+    # the outer explode: the plain one adds a filter that works out all pairs once more
+    equal = df.select(SCOPE, F.explode_outer(F.filter(pairs, lambda p: (p["a"] != "") & (p["a"] == p["b"]))).alias("p")).filter("p is not null")
     tally = equal.groupBy(SCOPE, "p.field_a", "p.field_b", F.col("p.a").alias("value")).agg(F.count("*").alias("n"))
     matching = tally.groupBy(SCOPE, "field_a", "field_b").agg(F.sum("n").alias("matching"), F.max("n").alias("top"))
     possible = matching.filter("matching >= 2 and top * 80 <= matching * 65")
@@ -321,14 +322,14 @@ def duplicate_column_pairs(df: DataFrame, fields: list[str]) -> DataFrame:
     wanted = possible.groupBy(SCOPE).agg(F.collect_set(F.struct("field_a", "field_b")).alias("_wanted"))
     both = df.join(wanted, SCOPE).select(
         SCOPE,
-        F.explode(
+        F.explode_outer(
             F.filter(
                 pairs,
                 lambda p: (p["a"] != "") & (p["b"] != "")
                 & F.array_contains("_wanted", F.struct(p["field_a"].alias("field_a"), p["field_b"].alias("field_b"))),
             )
         ).alias("p"),
-    )
+    ).filter("p is not null")
     filled = both.groupBy(SCOPE, "p.field_a", "p.field_b").agg(F.count("*").alias("filled"))
     return possible.join(filled, [SCOPE, "field_a", "field_b"]).filter(
         "filled >= 2 and matching * 10 >= filled * 8 and top * 100 <= filled * 65"
