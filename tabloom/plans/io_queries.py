@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tabloom.functions import expr as X
 from tabloom.operators import upsert as U
 from tabloom.plans.bindings import RECORD_FIELDS, UPSERT_FIELDS, table, with_clause
-from tabloom.plans.catalog import query
+from tabloom.plans.catalog import ORACLES, query
 from tabloom.plans.sqltext import q, s_any, s_blank, s_filled, s_squash, s_strip
 from tabloom.schema import MARKERS_UPSERT
 from tabloom.session import scratch_path
@@ -275,10 +275,29 @@ def _(spark, sf):
     return sinks.statement_totals(table(spark, sf, "ledger"))
 
 
-@query("export_statement")
+def s_lines(lines) -> str:
+    """Frame lines with the figures filled in, as a SQL list."""
+    def text(line):
+        out = q(line.replace("{now}", STATEMENT_NOW))
+        for name, column in (("start", "date_start"), ("end", "date_end"), ("balance", "printf('%.2f', balance)")):
+            out = out.replace("{" + name + "}", f"' || {column} || '")
+        return out
+
+    return "[" + ", ".join(text(line) for line in lines) + "]"
+
+
+STATEMENT_NOW = "20240101000000"
+
+
+@query(
+    "export_statement",
+    f"""WITH e AS ({ORACLES['statement_entries']}), t AS ({ORACLES['statement_totals']})
+    SELECT scope_id, unnest(['<STMTTRN>', '<TRNTYPE>' || entry_type, '<DTPOSTED>' || posted, '<TRNAMT>' || amount, '<FITID>' || entry_id, '<NAME>' || name, '</STMTTRN>']) AS value FROM e
+    UNION ALL SELECT scope_id, unnest({s_lines(sinks.STATEMENT_HEAD)} || {s_lines(sinks.STATEMENT_FOOT)}) FROM t""",
+)
 def _(spark, sf):
     path = scratch_path(spark, "statement")
-    sinks.export_statement(table(spark, sf, "ledger"), path, "20240101000000")
+    sinks.export_statement(table(spark, sf, "ledger"), path, STATEMENT_NOW)
     return spark.read.text(path)
 
 
