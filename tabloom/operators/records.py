@@ -94,6 +94,11 @@ def place_of(fields: list[str], key: str) -> Column:
     return F.nullif(F.array_position(F.array(*[F.lit(f) for f in fields]), F.col(key)), F.lit(0)).cast("int")
 
 
+def at_place(array: str, place: Column) -> Column:
+    """Element at a place that may be null; `element_at` overlooks a null index under ANSI rules, `get` does not."""
+    return F.get(array, place - 1)
+
+
 def merge_groups(df: DataFrame, fields: list[str], group: list[str], rank: Column) -> DataFrame:
     """One row per group: base row first in `rank`, gaps filled from the others in that order.
 
@@ -114,13 +119,13 @@ def merge_groups(df: DataFrame, fields: list[str], group: list[str], rank: Colum
 def merge_keys() -> Column:
     """Merge key of a row: id token, address start, and a distinguishing value when the id is missing. Null: none."""
     def low(place: Column) -> Column:
-        return F.lower(X.strip(F.element_at("_v", place)))
+        return F.lower(X.strip(at_place("_v", place)))
 
     def here(place: Column) -> Column:
-        return F.coalesce(F.element_at("_f", place), F.lit(False))
+        return F.coalesce(at_place("_f", place), F.lit(False))
 
     ident, address = F.col("_id"), F.col("_address")
-    spare = F.get(F.filter("_apart_by", lambda i: F.element_at("_f", i)), F.lit(0))
+    spare = F.get(F.filter("_apart_by", lambda i: at_place("_f", i)), F.lit(0))
     parts = F.array(
         F.when(here(ident), X.id_token(low(ident))),
         F.when(here(address), F.substring(low(address), 1, 40)),
@@ -153,7 +158,7 @@ def merge_by_identifier(df: DataFrame, fields: list[str], keys: DataFrame | None
     # filled values of the distinguishing fields only; two different ones in a group keep it apart
     shown = F.transform(
         F.sequence(F.lit(1), F.lit(len(fields))),
-        lambda i: F.when(F.array_contains("_apart_by", i) & F.element_at("_f", i), F.lower(X.strip(F.element_at("_v", i)))),
+        lambda i: F.when(F.array_contains("_apart_by", i) & at_place("_f", i), F.lower(X.strip(at_place("_v", i)))),
     )
     shown_rows = grouped.select(SCOPE, "_key", ORD, F.inline(F.array(F.struct(shown.alias("_d")))))
     varies = X.any_of(
@@ -190,10 +195,10 @@ def merge_across_documents(df: DataFrame, fields: list[str], id_field: str) -> D
 def bucket_merge(df: DataFrame, fields: list[str]) -> DataFrame:
     """Merge rows that share id token and address; needs `_id`/`_address` places. Rows without id stay."""
     def text(key: str) -> Column:
-        return X.strip(F.element_at("_v", F.col(key)))
+        return X.strip(at_place("_v", F.col(key)))
 
     def here(key: str) -> Column:
-        return F.coalesce(F.element_at("_f", F.col(key)), F.lit(False))
+        return F.coalesce(at_place("_f", F.col(key)), F.lit(False))
 
     tokens = F.regexp_extract_all(text("_id"), F.lit(r"([A-Za-z0-9#/_-]+)"), 1)
     coded = F.get(F.filter(tokens, lambda t: t.rlike(r"\d")), F.lit(0))
@@ -227,7 +232,7 @@ def finalise_records(df: DataFrame, fields: list[str]) -> DataFrame:
     places = all_keys.select(
         SCOPE, place_of(fields, "id_field").alias("_id"), place_of(fields, "address_field").alias("_address")
     )
-    found = F.coalesce(F.element_at("_f", F.col("_id")), F.lit(False)) | F.coalesce(F.element_at("_f", F.col("_address")), F.lit(False))
+    found = F.coalesce(at_place("_f", F.col("_id")), F.lit(False)) | F.coalesce(at_place("_f", F.col("_address")), F.lit(False))
     marked = merged.join(places, SCOPE, "left").withColumn("_keep", X.has_error() | found)
     kept = cut_lineage(marked.filter("_keep").drop("_keep"))
     done = drop_duplicate_records(bucket_merge(kept, fields).select(df.columns), fields)
