@@ -1,7 +1,8 @@
 """The tables the queries work on, derived from the given parquet tables.
 
 A binding is one SELECT that Spark and the checking database both understand, so both sides read the same rows.
-`{name}` stands for a given table or another binding, STR_LIST(text, mark) for splitting at a plain mark.
+`{name}` stands for a given table or another binding, STR_LIST(text, mark) for splitting at a plain mark,
+EACH(a, b, ...) for one row per value.
 """
 
 from __future__ import annotations
@@ -26,16 +27,22 @@ def _names(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", text)))
 
 
-def _plain(text: str) -> str:
+def plain(text: str) -> str:
     """Text for the checking database."""
     text = re.sub(r"(?<!\{)\{(\w+)\}(?!\})", r"\1", text).replace("STR_LIST(", "string_split(")
+    text = re.sub(r"EACH\(([^()]*)\)", r"unnest([\1])", text)
     return text.replace("{{", "{").replace("}}", "}")
 
 
+def spark_text(text: str) -> str:
+    """Text for Spark."""
+    return re.sub(r"EACH\(([^()]*)\)", r"explode(array(\1))", text).replace("STR_LIST(", "split(")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, or a binding over given tables."""
     if name in BINDINGS:
-        text = BINDINGS[name].replace("STR_LIST(", "split(")
+        text = spark_text(BINDINGS[name])
         return spark.sql(text, **{n: table(spark, sf_dir, n) for n in _names(text)})
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,7 +60,7 @@ def with_clause(*names: str) -> str:
     for name in names:
         visit(name)
     # named tables are read by name; materialised so that the checking database computes each binding once
-    parts = [f"{n} AS MATERIALIZED ({_plain(BINDINGS[n])})" for n in ordered]
+    parts = [f"{n} AS MATERIALIZED ({plain(BINDINGS[n])})" for n in ordered]
     return "WITH " + ",\n".join(parts)
 
 
@@ -119,7 +126,7 @@ SELECT 'S' || CAST(c_nationkey AS STRING) AS scope_id, c_custkey * 4 + copy_no A
     WHEN copy_no = 3 THEN 'L-' || CAST(c_custkey + 100000000 AS STRING)
     ELSE ' l ' || CAST(c_custkey AS STRING) || ' ' END AS location_number, {_PLACE}
   CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE printf('%.2f', c_acctbal + 10 + copy_no) END AS building_values
-FROM {{customer}}, (SELECT 0 AS copy_no UNION ALL SELECT 1 AS copy_no UNION ALL SELECT 3 AS copy_no) c
+FROM (SELECT *, EACH(0, 1, 3) AS copy_no FROM {{customer}}) c
 WHERE c_custkey % 3 <> 0 AND c_nationkey <> 4 AND NOT (copy_no = 1 AND c_custkey % 8 <> 1) AND NOT (copy_no = 3 AND c_custkey % 15 <> 2)
 """)
 
@@ -208,7 +215,7 @@ FROM {events}
 binding("mail_keys", "SELECT 'K' || CAST(c_custkey AS STRING) AS address_key, c_custkey AS user_id FROM {customer} WHERE c_custkey % 2 = 0")
 binding("mail_files", """
 SELECT arrival_id, CAST(arrival_id % 97 AS BIGINT) AS user_id, message_id, lower(trim(sender)) AS sender, 'file_' || CAST((arrival_id * 7) % 400 AS STRING) || '.pdf' AS filename,
-  CAST(1000 + arrival_id % 3 AS BIGINT) AS file_size, part FROM {mails}, (SELECT 0 AS part UNION ALL SELECT 1 AS part) p WHERE NOT (part = 1 AND arrival_id % 9 <> 0)
+  CAST(1000 + arrival_id % 3 AS BIGINT) AS file_size, part FROM (SELECT *, EACH(0, 1) AS part FROM {mails}) p WHERE NOT (part = 1 AND arrival_id % 9 <> 0)
 """.replace("CAST(arrival_id % 97 AS BIGINT) AS user_id", "CAST((arrival_id - CASE WHEN arrival_id % 10 = 1 THEN 1 ELSE 0 END) % 97 AS BIGINT) AS user_id"))
 binding("stored_files", """
 SELECT event_id AS doc_id, CAST(event_id % 97 AS BIGINT) AS user_id, CASE WHEN event_id % 20 = 3 THEN 'm' || CAST(event_id AS STRING) ELSE 'old' || CAST(event_id AS STRING) END AS message_id,
@@ -289,7 +296,7 @@ SELECT CAST(floor(o_orderkey / 12.0) AS BIGINT) AS form_id, CAST(o_orderkey % 12
 FROM {orders}
 """)
 binding("form_options", """
-SELECT form_id, name, option_text AS "option", option_ord FROM {form_fields}, (SELECT 'Red' AS option_text, 0 AS option_ord UNION ALL SELECT 'Green' AS option_text, 1 AS option_ord UNION ALL SELECT 'green' AS option_text, 2 AS option_ord) o
+SELECT form_id, name, CASE option_ord WHEN 0 THEN 'Red' WHEN 1 THEN 'Green' ELSE 'green' END AS "option", option_ord FROM (SELECT *, EACH(0, 1, 2) AS option_ord FROM {form_fields}) o
 WHERE type IN ('dropdown', 'radio') AND form_id % 10 <> 0
 """.replace('AS "option"', "AS option"))
 

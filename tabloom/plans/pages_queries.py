@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import expr as X
 from tabloom.operators import pages as P
-from tabloom.plans.bindings import table, with_clause
+from tabloom.plans.bindings import plain, spark_text, table, with_clause
 from tabloom.plans.catalog import query
 from tabloom.plans.sqltext import q, s_blank, s_squash, s_strip
 
@@ -223,8 +223,8 @@ def _(spark, sf):
     return P.schedule_schema_predicate(table(spark, sf, "fieldsets"))
 
 
-ASKED = """SELECT DISTINCT doc_id AS scope_id, field FROM {doc_tables} CROSS JOIN (SELECT 'Location Number' AS field UNION ALL SELECT 'Year Built'
-  UNION ALL SELECT 'Business Income' UNION ALL SELECT 'Sprinklered' UNION ALL SELECT 'Valuation Basis' UNION ALL SELECT '#' UNION ALL SELECT 'Zq Xv' UNION ALL SELECT 'Notes')"""
+ASKED = """SELECT scope_id, EACH('Location Number', 'Year Built', 'Business Income', 'Sprinklered', 'Valuation Basis', '#', 'Zq Xv', 'Notes') AS field
+  FROM (SELECT DISTINCT doc_id AS scope_id FROM {doc_tables}) d"""
 NOTES = """SELECT 'D' || CAST(c_custkey AS STRING) AS scope_id, CASE WHEN c_custkey % 4 = 0 THEN 'Sprinklered | yes' WHEN c_custkey % 4 = 1 THEN 'we are sprinklered'
   ELSE 'All notes follow below, ' || c_mktsegment END AS text FROM {customer}"""
 
@@ -238,7 +238,7 @@ def s_pair(f, h):
 
 @query(
     "match_fields_to_headers",
-    rf"""{with_clause('doc_tables')}, {S_TOKENS}, asked AS MATERIALIZED (SELECT scope_id, field, regexp_extract_all(lower(field), '[a-z]{{2,}}') AS ft FROM ({ASKED.replace('{', '').replace('}', '')})),
+    rf"""{with_clause('doc_tables')}, {S_TOKENS}, asked AS MATERIALIZED (SELECT scope_id, field, regexp_extract_all(lower(field), '[a-z]{{2,}}') AS ft FROM ({plain(ASKED)})),
     notes AS (SELECT scope_id, lower(text) AS text FROM ({NOTES.replace('{', '').replace('}', '')})),
     ht AS MATERIALIZED (SELECT DISTINCT scope_id, h FROM (SELECT doc_id AS scope_id, unnest(regexp_extract_all(token, '[a-z]{{2,}}') || [regexp_replace(token, '[^a-z]', '', 'g')]
       || CASE WHEN len(regexp_extract_all(token, '[a-z]{{2,}}')) >= 2 THEN [array_to_string(list_transform(regexp_extract_all(token, '[a-z]{{2,}}'), lambda t: t[1]), '')] ELSE [] END) AS h FROM tokens)
@@ -255,7 +255,7 @@ def _(spark, sf):
     tables = table(spark, sf, "doc_tables")
     tokens = P.table_header_tokens(tables).withColumnRenamed("doc_id", "scope_id")
     notes = spark.sql(NOTES, customer=table(spark, sf, "customer"))
-    return P.match_fields_to_headers(spark.sql(ASKED, doc_tables=tables), tokens, notes)
+    return P.match_fields_to_headers(spark.sql(spark_text(ASKED), doc_tables=tables), tokens, notes)
 
 
 DOCS = """SELECT 'J' || CAST(c_nationkey AS STRING) AS job_id, c_custkey AS doc_ord, 'D' || CAST(c_custkey AS STRING) AS doc_id,

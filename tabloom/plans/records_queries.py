@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tabloom.functions import expr as X
 from tabloom.operators import quality as Q
 from tabloom.operators import records as R
-from tabloom.plans.bindings import ENTITY_FIELDS, RECORD_FIELDS, table, with_clause
+from tabloom.plans.bindings import ENTITY_FIELDS, RECORD_FIELDS, plain, spark_text, table, with_clause
 from tabloom.plans.catalog import query
 from tabloom.plans.sqltext import (
     q, s_any, s_blank, s_count, s_filled, s_filled_count, s_squash, s_strip, s_sum,
@@ -461,17 +461,12 @@ UNIFORM = """SELECT scope_id, row_ord, error, order_number,
   CASE WHEN row_ord % 12 = 0 THEN NULL ELSE segment END AS note FROM {recs}"""
 MATCHES = """SELECT scope_id, field, CASE WHEN field = 'segment' THEN CAST(length(scope_id) AS BIGINT) = 2
   ELSE field IN ('order_number') END AS matched
-  FROM (SELECT DISTINCT scope_id FROM {recs} WHERE scope_id <> 'S3') CROSS JOIN (
-    SELECT 'order_number' AS field UNION ALL SELECT 'ref_no' UNION ALL SELECT 'carrier' UNION ALL SELECT 'segment' UNION ALL SELECT 'note')"""
+  FROM (SELECT scope_id, EACH('order_number', 'ref_no', 'carrier', 'segment', 'note') AS field FROM (SELECT DISTINCT scope_id FROM {recs} WHERE scope_id <> 'S3') d) m"""
 TEXTS = """SELECT 'S' || CAST(n_nationkey AS STRING) AS scope_id, CASE WHEN n_nationkey % 5 = 0 THEN ''
   WHEN n_nationkey % 2 = 0 THEN 'Shipped by CARRIER s' || CAST(n_nationkey AS STRING) || ' only' ELSE 'plain text' END AS text FROM {nation}"""
 U = UNIFORM_FIELDS
 
 
-def plain(text: str) -> str:
-    return text.replace("{", "").replace("}", "")
-
-
 @query(
     "null_uniform_unmatched",
     f"""{with_clause('recs')}, u AS MATERIALIZED ({plain(UNIFORM)}), m AS ({plain(MATCHES)}), t AS ({plain(TEXTS)}), cells AS ({s_cells('u', U)}),
@@ -483,7 +478,7 @@ def plain(text: str) -> str:
 )
 def _(spark, sf):
     recs = table(spark, sf, "recs")
-    df, matches = spark.sql(UNIFORM, recs=recs), spark.sql(MATCHES, recs=recs)
+    df, matches = spark.sql(UNIFORM, recs=recs), spark.sql(spark_text(MATCHES), recs=recs)
     texts = spark.sql(TEXTS, nation=table(spark, sf, "nation"))
     return R.null_uniform_unmatched(df, U, matches, texts).drop("error")
 
@@ -504,7 +499,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     recs = table(spark, sf, "recs")
-    out = R.null_duplicate_columns(spark.sql(UNIFORM, recs=recs), U, spark.sql(MATCHES, recs=recs))
+    out = R.null_duplicate_columns(spark.sql(UNIFORM, recs=recs), U, spark.sql(spark_text(MATCHES), recs=recs))
     return out.drop("error")
 
 
@@ -534,7 +529,7 @@ PASSES = """SELECT 'C' || CAST(o_custkey AS STRING) AS scope_id, CAST(NULL AS ST
   CASE WHEN o_orderkey % 4 = 1 THEN '-' ELSE o_orderstatus || CAST(o_orderkey % 6 AS STRING) END AS status,
   CASE WHEN (o_orderkey + pass_no) % 3 = 0 THEN NULL ELSE printf('%.2f', o_totalprice + pass_no) END AS amount,
   CASE WHEN (o_orderkey + pass_no) % 5 = 0 THEN 'n/a' ELSE o_orderpriority END AS priority
-FROM {orders}, (SELECT 1 AS pass_no UNION ALL SELECT 2 AS pass_no) p
+FROM (SELECT *, EACH(1, 2) AS pass_no FROM {orders}) p
 WHERE NOT (pass_no = 2 AND o_custkey % 2 = 0 AND o_orderkey % 3 = 0) AND NOT (pass_no = 2 AND o_custkey % 11 = 0)"""
 PF = PASS_FIELDS
 PASS_KEY = "CASE " + " ".join(f"WHEN {s_filled(f)} THEN lower({s_strip(f)})" for f in PF) + " END"
@@ -552,7 +547,7 @@ PASS_KEY = "CASE " + " ".join(f"WHEN {s_filled(f)} THEN lower({s_strip(f)})" for
       FROM one JOIN n USING (scope_id) LEFT JOIN two ON two.scope_id = one.scope_id AND two.row_ord = one.row_ord WHERE n2 < greatest(n1, 1)""",
 )
 def _(spark, sf):
-    both = spark.sql(PASSES, orders=table(spark, sf, "orders"))
+    both = spark.sql(spark_text(PASSES), orders=table(spark, sf, "orders"))
     first, second = (both.filter(F.col("pass_no") == i).drop("pass_no") for i in (1, 2))
     return R.merge_passes(first, second, PF).select("scope_id", "row_ord", *PF)
 

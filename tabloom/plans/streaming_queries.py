@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.operators import usage as G
-from tabloom.plans.bindings import table, with_clause
+from tabloom.plans.bindings import spark_text, table, with_clause
 from tabloom.plans.catalog import ORACLES, query
 from tabloom.plans.inbound_queries import ARRIVALS, PROGRESS, s_admit
 from tabloom.session import cut_lineage, scratch_path
@@ -75,7 +75,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 LISTED = """SELECT CAST(doc_id AS STRING) AS file_id, 'f' || CAST(doc_id AS STRING) AS filename, CAST(cycle AS BIGINT) AS cycle,
   'h' || CAST(CASE WHEN doc_id % 4 = 0 THEN cycle ELSE 0 END AS STRING) AS content_mark
-  FROM {documents}, (SELECT 1 AS cycle UNION ALL SELECT 2 AS cycle UNION ALL SELECT 3 AS cycle) c WHERE NOT (cycle = 1 AND doc_id % 3 = 0)"""
+  FROM (SELECT *, EACH(1, 2, 3) AS cycle FROM {documents}) c WHERE NOT (cycle = 1 AND doc_id % 3 = 0)"""
 
 
 @query(
@@ -85,7 +85,7 @@ LISTED = """SELECT CAST(doc_id AS STRING) AS file_id, 'f' || CAST(doc_id AS STRI
     WHERE cycle = CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END OR doc_id % 4 = 0 OR (doc_id % 5 = 0)""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    listed = spark.sql(LISTED, documents=table(spark, sf, "documents"))
+    listed = spark.sql(spark_text(LISTED), documents=table(spark, sf, "documents"))
     path, out, seen, marks = (scratch_path(spark, n) for n in ("listing", "out", "seen", "marks"))
     for cycle in (1, 2, 3):
         listed.filter(F.col("cycle") == cycle).coalesce(1).write.mode("append").parquet(path)
