@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.llm.batches import groups, record_batch
 from tabloom.llm.components import connected_components
 from tabloom.llm.shingles import mix, set_id, shingle_sets
 from tabloom.session import cut_lineage
@@ -158,36 +159,6 @@ def tree_links(points: list[np.ndarray], sizes: np.ndarray, verify: Callable[[in
     return classes.links
 
 
-def _batch(schema: str, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=schema.split())
-
-
-def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Tables of the rows that agree in the first `keys` columns, from batches sorted by them."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if held:
-            batch_first = [batch.column(k)[0] for k in range(keys)]
-            held_last = [held[-1].column(k)[held[-1].num_rows - 1] for k in range(keys)]
-            if batch_first != held_last:
-                yield pa.Table.from_batches(held)
-                held = []
-        cut = np.zeros(batch.num_rows - 1, dtype=bool)
-        for k in range(keys):
-            value = batch.column(k).to_numpy(zero_copy_only=False)
-            cut |= value[1:] != value[:-1]
-        begin = 0
-        for end in (np.flatnonzero(cut) + 1).tolist():
-            held.append(batch.slice(begin, end - begin))
-            yield pa.Table.from_batches(held)
-            held, begin = [], end
-        held.append(batch.slice(begin))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _points(batches):
     for batch in batches:
         ids, rows = batch.column(0), []
@@ -195,7 +166,7 @@ def _points(batches):
             some = len(ids_of) > 0
             rows.append((len(ids_of), set_id(ids_of) if some else None, point_of(ids_of).tobytes() if some else None))
         n, node, point = zip(*rows, strict=True) if rows else ((), (), ())
-        yield _batch("doc_id n_shingles node point", ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(point, pa.binary()))
+        yield record_batch("doc_id n_shingles node point", ids, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(point, pa.binary()))
 
 
 def _repeated(batches):
@@ -206,7 +177,7 @@ def _repeated(batches):
 
     def counted():
         ids, times = np.unique(np.concatenate(held), return_counts=True)
-        return _batch("shingle times", ids[times > 1].astype(np.int64), times[times > 1].astype(np.int64))
+        return record_batch("shingle times", ids[times > 1].astype(np.int64), times[times > 1].astype(np.int64))
 
     for batch in batches:
         for ids in shingle_sets(batch.column(0).to_pylist()):
@@ -237,7 +208,7 @@ def _prefixes(flags: np.ndarray):
                 keys.append(first.astype(np.int64))
                 nodes.append(np.full(len(first), name, dtype=np.int64))
             if keys:
-                yield _batch("key node", np.concatenate(keys), np.concatenate(nodes))
+                yield record_batch("key node", np.concatenate(keys), np.concatenate(nodes))
 
     return run
 
@@ -290,10 +261,10 @@ def _blocks(batches):
             nodes.append(own)
             size += len(own)
             if size > 100_000:
-                yield _batch("block node", np.concatenate(blocks), np.concatenate(nodes))
+                yield record_batch("block node", np.concatenate(blocks), np.concatenate(nodes))
                 blocks, nodes, size = [], [], 0
     if nodes:
-        yield _batch("block node", np.concatenate(blocks), np.concatenate(nodes))
+        yield record_batch("block node", np.concatenate(blocks), np.concatenate(nodes))
 
 
 def _tree_blocks(batches):
@@ -304,7 +275,7 @@ def _tree_blocks(batches):
         links = tree_links(points, table.column(2).to_numpy())
         if links:
             i, j = np.array(links).T
-            yield _batch("a b", nodes[i], nodes[j])
+            yield record_batch("a b", nodes[i], nodes[j])
 
 
 def _wanted_sets(flags: np.ndarray):
@@ -323,10 +294,10 @@ def _wanted_sets(flags: np.ndarray):
                     sets.append(ids.tobytes())
                     size += len(ids)
                     if size > 1_000_000:
-                        yield _batch("node shingles", pa.array(nodes, pa.int64()), pa.array(sets, pa.binary()))
+                        yield record_batch("node shingles", pa.array(nodes, pa.int64()), pa.array(sets, pa.binary()))
                         nodes, sets, size = [], [], 0
             if nodes:
-                yield _batch("node shingles", pa.array(nodes, pa.int64()), pa.array(sets, pa.binary()))
+                yield record_batch("node shingles", pa.array(nodes, pa.int64()), pa.array(sets, pa.binary()))
 
     return run
 
@@ -347,7 +318,7 @@ def _verified(batches):
         links = tree_links([point_of(s) for s in sets], sizes, same)
         if links:
             i, j = np.array(links).T
-            yield _batch("a b", nodes[i], nodes[j])
+            yield record_batch("a b", nodes[i], nodes[j])
 
 
 def frequent_shingles(docs: DataFrame, text: str) -> np.ndarray:
@@ -398,12 +369,12 @@ def _bits_of(classes: DataFrame) -> np.ndarray:
         for batch in batches:
             flags[(mix(batch.column(0).to_numpy().astype(np.uint64)) & np.uint64(BITS - 1)).astype(np.int64)] = True
         for part in np.flatnonzero(flags.reshape(256, -1).any(axis=1)):
-            yield _batch("part bits", pa.array([int(part)], pa.int32()), pa.array([np.packbits(flags.reshape(256, -1)[part], bitorder="little").tobytes()], pa.binary()))
+            yield record_batch("part bits", pa.array([int(part)], pa.int32()), pa.array([np.packbits(flags.reshape(256, -1)[part], bitorder="little").tobytes()], pa.binary()))
 
     def either(batches):
         for table in groups(batches, 1):
             parts = [np.frombuffer(b, dtype=np.uint8) for b in table.column(1).to_pylist()]
-            yield _batch("part bits", pa.array([table.column(0)[0].as_py()], pa.int32()), pa.array([np.bitwise_or.reduce(parts).tobytes()], pa.binary()))
+            yield record_batch("part bits", pa.array([table.column(0)[0].as_py()], pa.int32()), pa.array([np.bitwise_or.reduce(parts).tobytes()], pa.binary()))
 
     found = classes.select("id").mapInArrow(bits, "part int, bits binary").repartition("part").sortWithinPartitions("part")
     flags = np.zeros(BITS // 8, dtype=np.uint8).reshape(256, -1)
