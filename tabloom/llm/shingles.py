@@ -51,6 +51,15 @@ def slices(texts: list[str | None]) -> Iterator[list[bytes]]:
         yield run
 
 
+def hash_spans(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans of bytes from `begin` to `end`."""
+    power = np.multiply.accumulate(np.full(len(data), _BASE, dtype=np.uint64))
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
+    back = np.multiply.accumulate(np.full(len(data), _BASE_INVERSE, dtype=np.uint64))
+    return mix((total[end] - total[begin]) * back[begin])
+
+
 def words(run: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes and lengths of all words of a run of texts, and where each text's words begin (one entry more than texts)."""
     sizes = np.fromiter(map(len, run), dtype=np.int64, count=len(run))
@@ -58,11 +67,7 @@ def words(run: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word = ~_SPACE[data]
     edge = np.diff(word.astype(np.int8), prepend=np.int8(0))
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    power = np.multiply.accumulate(np.full(len(data), _BASE, dtype=np.uint64))
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
-    back = np.multiply.accumulate(np.full(len(data), _BASE_INVERSE, dtype=np.uint64))
-    hashes = mix((total[end] - total[begin]) * back[begin])
+    hashes = hash_spans(data, begin, end)
     text_ends = np.cumsum(sizes + 1)
     bounds = np.concatenate([[0], np.searchsorted(begin, text_ends)])
     return hashes, end - begin, bounds
