@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import multi_index, ngram_join, packing, training_order
+from tabloom.llm import multi_index, ngram_join, packing, quality_model, training_order
 from tabloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "training-order")
     return training_order.write_training_order(table(spark, sf_dir, "documents"), tokenizer_path(), folder)
+
+
+@query("op8_quality_classifier")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.fit_on(docs, quality_model.grades_of(table(spark, sf_dir, "labels")), 3)
+    return quality_model.score(docs, model).drop("text")
