@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import bloom_cascade, chat_format, multi_index, ngram_join, order_minhash, packing, quality_model, training_order
+from tabloom.llm import (
+    bloom_cascade, chat_format, license_scan, mixing, multi_index, ngram_join, order_minhash, packing, quality_model, training_order,
+)
 from tabloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +132,39 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     hosts = pages.select(bloom_cascade.host_of(F.col("url")).alias("host")).filter(F.col("host").rlike(SPAM)).distinct()
     return bloom_cascade.judge_urls(pages, hosts, RULES)
+
+
+def domain_of(source):
+    """Domain of a source, from its number: a made-up tree over the given sources."""
+    number = F.regexp_extract(source, "([0-9]+)$", 1)
+    return F.when(number == "", F.lit("other")).otherwise(
+        F.element_at(F.array(F.lit("web"), F.lit("books"), F.lit("code")), (number.cast("long") % 3 + 1).cast("int"))
+    )
+
+
+DOMAINS = {"web": 0.5, "books": 0.3, "code": 0.2}
+LANGUAGES = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
+
+
+def mixed(docs: DataFrame, share: float, epochs: int) -> DataFrame:
+    """Documents by domain, language and source, with the weights above; other domains and languages weigh 0.05, sources alike."""
+
+    def weigh(level: str, told: dict[str, float]):
+        pairs = F.create_map(*[F.lit(x) for pair in told.items() for x in pair])
+        return lambda nodes: F.coalesce(F.try_element_at(pairs, nodes[level]), F.lit(0.05))
+
+    return mixing.mix(
+        docs, {"domain": domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")},
+        [weigh("domain", DOMAINS), weigh("lang", LANGUAGES), lambda nodes: F.lit(1.0)], mixing.word_count(F.col("text")), share, epochs, seed=17,
+    )
+
+
+@query("op3_source_mix")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixed(docs, 0.8, 3).select("doc_id", domain_of(F.col("source")).alias("domain"), "lang", "source", "epoch")
+
+
+@query("op4_license_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
