@@ -86,7 +86,7 @@ def match_rules(ids: Column) -> tuple[Column, Column]:
         written = "".join(f";{name};" for name in sequence)
         found.append(F.when(F.contains(rest, F.lit(written)), F.lit(licence)))
         rest = F.replace(rest, F.lit(written), F.lit(";-;"))
-    left = F.array_remove(F.array_remove(F.split(F.trim(F.lit(";"), rest), ";+"), "-"), "")
+    left = F.filter(F.split(rest, ";+"), lambda x: ~x.isin("", "-"))
     return F.array_distinct(F.array_compact(F.array(*found))), left
 
 

@@ -19,8 +19,8 @@ from tabloom.llm.shingles import hash_spans, mix, slices
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 12_000
 BUCKETS = 1 << 20
-#: A feature gets a weight if it occurs in so many sampled texts, and their mean grade is off the mean by so many standard errors
-#: and by such a share of the standard deviation.
+#: A feature gets a weight if it occurs in so many sampled texts, and for some grade their share at or above it is off the share of
+#: all by so many standard errors and by such a part of the standard deviation.
 LEAST_TEXTS = 6
 LEAST_ERRORS = 3.5
 LEAST_SHARE = 0.6
@@ -96,9 +96,13 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, epochs: int = E
     if len(rows):
         every = np.concatenate(rows)
         texts = np.bincount(every, minlength=BUCKETS)
-        off = np.bincount(every, np.repeat(grades - grades.mean(), [len(r) for r in rows]), minlength=BUCKETS)
-        told = (texts >= LEAST_TEXTS) & (np.abs(off) >= LEAST_ERRORS * max(grades.std(), 1e-9) * np.sqrt(np.maximum(texts, 1)))
-        told &= np.abs(off) >= LEAST_SHARE * grades.std() * texts
+        told = np.zeros(BUCKETS, dtype=bool)
+        lengths = [len(r) for r in rows]
+        for level in range(1, levels):
+            above = (grades >= level).astype(np.float64)
+            off = np.abs(np.bincount(every, np.repeat(above - above.mean(), lengths), minlength=BUCKETS))
+            told |= (off >= LEAST_ERRORS * above.std() * np.sqrt(texts)) & (off >= LEAST_SHARE * above.std() * texts)
+        told &= texts >= LEAST_TEXTS
         rows = [r[told[r]] for r in rows]
     power, power_t = np.full(BUCKETS, 1e-6), np.full(levels - 1, 1e-6)
     order = np.random.default_rng(seed)
