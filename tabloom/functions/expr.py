@@ -378,12 +378,12 @@ def capacity_class(width: Column | str, height: Column | str) -> Column:
     )
 
 
-def natural_key(c: Column | str, width: int = 20) -> Column:
-    """Sort key: case-insensitive text with every digit run zero-padded, null as ''."""
+def natural_key(c: Column | str) -> Column:
+    """Sort key: case-insensitive text with every digit run led by its length, so runs of any length sort by value; null as ''."""
     pieces = F.regexp_extract_all(F.lower(blank(c)), F.lit(r"(\d+|\D+)"), 1)
 
-    def pad(piece: Column) -> Column:
+    def led(piece: Column) -> Column:
         digits = F.regexp_replace(piece, "^0+(?=.)", "")
-        return F.when(piece.rlike(r"^\d"), F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0"))).otherwise(piece)
+        return F.when(piece.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(piece)
 
-    return F.array_join(F.transform(pieces, pad), "")
+    return F.array_join(F.transform(pieces, led), "")

@@ -307,7 +307,8 @@ SORT_BY = """SELECT p_partkey, CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE p_bra
 @query(
     "natural_sort",
     rf"""WITH l AS ({SORT_BY.replace('{part}', 'part')}) SELECT p_partkey, label, array_to_string(list_transform(
-      regexp_extract_all(lower(coalesce(label, '')), '\d+|\D+'), lambda x: CASE WHEN regexp_matches(x, '^\d') THEN lpad(ltrim(x, '0'), 20, '0') ELSE x END), '') AS sort_key FROM l""",
+      regexp_extract_all(lower(coalesce(label, '')), '\d+|\D+'), lambda x: CASE WHEN regexp_matches(x, '^\d') THEN lpad(CAST(length(CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE ltrim(x, '0') END) AS VARCHAR), 10, '0')
+        || CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE ltrim(x, '0') END ELSE x END), '') AS sort_key FROM l""",
 )
 def _(spark, sf):
     labels = spark.sql(SORT_BY, part=table(spark, sf, "part"))

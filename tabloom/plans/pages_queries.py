@@ -99,7 +99,7 @@ def _(spark, sf):
       {S_WORDS} * CAST(0.5 AS DOUBLE) + CASE WHEN {S_NUM} THEN 40 ELSE 0 END + CASE WHEN {S_DATES} THEN 30 ELSE 0 END + coalesce(n, 0) * 60 AS score,
       CASE WHEN p.page_num <= 3 OR f.page_num IS NOT NULL THEN 0 ELSE 1 END AS band
       FROM doc_pages p LEFT JOIN t USING (doc_id, page_num) LEFT JOIN focus f ON f.doc_id = p.doc_id AND f.page_num = p.page_num)
-    SELECT doc_id, page_num, score FROM s QUALIFY page_total <= 20 OR row_number() OVER (PARTITION BY doc_id ORDER BY band, score DESC, page_num) <= 25"""),
+    SELECT doc_id, page_num, score FROM s QUALIFY page_total <= 20 OR band = 0 OR row_number() OVER (PARTITION BY doc_id ORDER BY band, score DESC, page_num) <= 25"""),
 )
 def _(spark, sf):
     pages, focus = _focus(spark, sf)
@@ -110,9 +110,9 @@ def _(spark, sf):
     "table_scan_pages",
     recursive(f"""{with_clause('doc_pages')}, {S_SCORED}, {S_ANCHORS}, {S_FOCUS},
     s AS (SELECT p.doc_id, p.page_num, count(*) OVER (PARTITION BY p.doc_id) AS page_total, {s_hits('lower(text)', P.TABLE_WORDS)} AS hits,
-      CASE WHEN p.page_num <= 3 OR f.page_num IS NOT NULL THEN 0 ELSE 1 END AS band
+      count(f.page_num) OVER (PARTITION BY p.doc_id) AS n_focus, CASE WHEN p.page_num <= 3 OR f.page_num IS NOT NULL THEN 0 ELSE 1 END AS band
       FROM doc_pages p LEFT JOIN focus f ON f.doc_id = p.doc_id AND f.page_num = p.page_num)
-    SELECT doc_id, page_num FROM s QUALIFY page_total <= 30 OR row_number() OVER (PARTITION BY doc_id ORDER BY band, hits DESC, page_num) <= 40"""),
+    SELECT doc_id, page_num FROM s QUALIFY page_total <= 30 OR band = 0 OR row_number() OVER (PARTITION BY doc_id ORDER BY band, hits DESC, page_num) <= greatest(40, n_focus + 10)"""),
 )
 def _(spark, sf):
     pages, focus = _focus(spark, sf)

@@ -82,3 +82,32 @@ def test_publish_decisions_follow_the_order(spark, sf_dir):
             want[r["slug"]] = "rejected"
     assert set(want.values()) >= {"published", "noindex"}
     assert got == want
+
+
+def test_focus_pages_pass_the_limits(spark):
+    from tabloom.operators import pages as P
+
+    pages = spark.createDataFrame([("d", k, "total 1", 2) for k in range(1, 101)], "doc_id string, page_num int, text string, word_count int")
+    focus = pages.filter("page_num between 20 and 75").select("doc_id", "page_num")
+    tables = spark.createDataFrame([], "doc_id string, page_num int")
+    chosen = {r.page_num for r in P.select_pages(pages, tables, focus).collect()}
+    assert chosen == {1, 2, 3, *range(20, 76)}
+    scanned = {r.page_num for r in P.table_scan_pages(pages, focus).collect()}
+    assert {1, 2, 3, *range(20, 76)} <= scanned and len(scanned) == 66
+
+
+def test_first_balanced_object(spark):
+    from tabloom.operators.extract import parse_responses
+
+    texts = ['see {"a": "}"} then', 'open { and {"a": "1"} end', "{" * 2_000, 'it\'s "odd {"a": "2"}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r.k: r.a for r in parse_responses(rows, "t", ["a"]).collect()}
+    assert got == {0: "}", 1: "1", 2: None, 3: "2"}
+
+
+def test_natural_key_of_long_numbers(spark):
+    from tabloom.functions import expr as X
+
+    labels = ["a9", "a10", "a" + "9" * 24, "a1" + "0" * 24, "a007", None]
+    rows = spark.createDataFrame([(x,) for x in labels], "x string").withColumn("k", X.natural_key("x")).orderBy("k")
+    assert [r.x for r in rows.collect()] == [None, "a007", "a9", "a10", "a" + "9" * 24, "a1" + "0" * 24]
