@@ -16,6 +16,8 @@ from tabloom.session import cut_lineage
 
 #: Documents of one slice of a leaf's order; only the slice that holds the cut is sorted.
 SLICE = 4096
+#: Leaves whose figures are sent to every task (some 200 bytes each); with more, documents and leaves meet by a shuffle, whose hot keys Spark splits.
+SENT_LEAVES = 50_000
 NONE = "(none)"
 
 
@@ -84,20 +86,22 @@ def mix(
         *names, F.floor(F.col("target") / F.col("own")).alias("_mix_full"), (F.col("target") % F.col("own")).alias("_mix_rest"),
         F.ceil(F.col("docs") / SLICE).alias("_mix_slices"),
     ))
-    drawn = narrow.join(targets.filter("_mix_rest > 0"), names).withColumn("_mix_at", _draw(seed, F.col("_mix_full"), F.col("_mix_id")))
+    # a hot leaf stays where its documents lie: only leaves move, while they are few
+    sent = F.broadcast if targets.count() <= SENT_LEAVES else _itself
+    drawn = narrow.join(sent(targets.filter("_mix_rest > 0")), names).withColumn("_mix_at", _draw(seed, F.col("_mix_full"), F.col("_mix_id")))
     drawn = drawn.withColumn("_mix_slice", _slice_of())
     sums = drawn.groupBy(*names, "_mix_slice").agg(F.sum("_mix_tokens").alias("sum"), F.first("_mix_rest").alias("rest"))
     line = Window.partitionBy(*names).orderBy("_mix_slice")
     split = sums.withColumn("before", F.sum("sum").over(line) - F.col("sum")).filter("before <= rest and before + sum > rest")
     split = split.select(*names, "_mix_slice", "before", "rest")
-    inside = drawn.join(split, [*names, "_mix_slice"]).groupBy(*names, "_mix_slice", "_mix_at").agg(
+    inside = drawn.join(sent(split), [*names, "_mix_slice"]).groupBy(*names, "_mix_slice", "_mix_at").agg(
         F.sum("_mix_tokens").alias("sum"), F.first("before").alias("before"), F.first("rest").alias("rest")
     )
     order = Window.partitionBy(*names).orderBy("_mix_at")
     fits = inside.withColumn("until", F.sum("sum").over(order) + F.col("before")).filter("until <= rest")
     last = fits.groupBy(*names).agg(F.max("_mix_at").alias("_mix_last"))
     cuts = cut_lineage(targets.join(split.select(*names, F.col("_mix_slice").alias("_mix_split")), names, "left").join(last, names, "left"))
-    placed = docs.drop("epoch").select("*", *labels).join(cuts, names)
+    placed = docs.drop("epoch").select("*", *labels).join(sent(cuts), names)
     at = _draw(seed, F.col("_mix_full"), F.col(doc_id))
     in_prefix = (F.col("_mix_rest") > 0) & (
         (_slice_of(at) < F.col("_mix_split")) | ((_slice_of(at) == F.col("_mix_split")) & (at <= F.coalesce("_mix_last", F.lit(-1))))
@@ -109,5 +113,9 @@ def mix(
     )
 
 
+def _itself(df: DataFrame) -> DataFrame:
+    return df
+
+
 def _slice_of(at: Column | None = None) -> Column:
     return F.floor((F.col("_mix_at") if at is None else at) / F.lit(float(1 << 60)) * F.col("_mix_slices"))
