@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from tabloom.session import cut_lineage
 
-#: Documents of one slice of a leaf's order; only the slice that holds the cut is sorted.
-SLICE = 4096
 #: Leaves whose figures are sent to every task (some 200 bytes each); with more, documents and leaves meet by a shuffle, whose hot keys Spark splits.
 SENT_LEAVES = 50_000
 NONE = "(none)"
@@ -77,6 +75,7 @@ def mix(
     names = [f"_mix_{k}" for k in range(len(levels))]
     labels = [F.coalesce(c.cast("string"), F.lit(NONE)).alias(n) for n, c in zip(names, levels.values(), strict=True)]
     nodes = {level: F.col(name) for level, name in zip(levels, names, strict=True)}
+    # a leaf's order has as many slices as the root of its documents; only the slice that holds the cut is sorted
     narrow = cut_lineage(docs.select(F.col(doc_id).alias("_mix_id"), *labels, F.coalesce(tokens, F.lit(0)).cast("long").alias("_mix_tokens")))
     leaves = narrow.groupBy(*names).agg(F.sum("_mix_tokens").alias("own"), F.count("*").alias("docs")).filter("own > 0")
     leaves = leaves.withColumn("room", F.col("own") * epochs)
@@ -84,7 +83,7 @@ def mix(
     shared = share_out(leaves, names, [w(nodes) for w in weights], F.floor(F.lit(total) * F.lit(share)))
     targets = cut_lineage(shared.select(
         *names, F.floor(F.col("target") / F.col("own")).alias("_mix_full"), (F.col("target") % F.col("own")).alias("_mix_rest"),
-        F.ceil(F.col("docs") / SLICE).alias("_mix_slices"),
+        F.ceil(F.sqrt("docs")).alias("_mix_slices"),
     ))
     # a hot leaf stays where its documents lie: only leaves move, while they are few
     sent = F.broadcast if targets.count() <= SENT_LEAVES else _itself
