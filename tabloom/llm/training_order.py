@@ -147,7 +147,8 @@ def write_training_order(
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     layout = "shard long, place long, number long, n_tokens long, doc_ids array<long>, ids binary"
     cut = rows.mapInArrow(_sequences(tokenizer, length, size, shards, key), layout)
-    laid = cut.repartition(shards, "shard").sortWithinPartitions("shard", "place")
+    # shards are equal ranges of permuted numbers, so each task gets one of them and nothing is sampled
+    laid = cut.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "place")
     written = cut_lineage(
         laid.mapInArrow(_write(folder, length), "shard long, record long, number long, n_tokens long, doc_ids array<long>, ids_crc32 long")
     )
