@@ -83,7 +83,9 @@ def statement_entries(df: DataFrame, chunk_rows: int = 65536) -> DataFrame:
         SCOPE, ORD, day.alias("day"), X.clean_amount("Amount").alias("amount"),
         F.substring(X.strip(X.blank("Description")), 1, 32).alias("name"),
     ).filter("day is not null")
-    numbered = number_rows(rows, [SCOPE], F.floor(F.col(ORD) / chunk_rows), [ORD], "number")
+    # merged rows carry a list of numbers that sorts by its first one first
+    place = F.get(ORD, 0) if rows.schema[ORD].dataType.typeName() == "array" else F.col(ORD)
+    numbered = number_rows(rows, [SCOPE], F.floor(place / chunk_rows), [ORD], "number")
     posted = F.date_format("day", "yyyyMMdd")
     kind = F.when(F.col("amount").cast("double") >= 0, "CREDIT").otherwise("DEBIT")
     number = F.col("number").cast("string")

@@ -8,6 +8,7 @@ from tabloom.functions import expr as X
 from tabloom.operators import records as R
 from tabloom.operators.quality import key_columns, quality_report
 from tabloom.schema import records_type
+from tabloom.sources import sinks
 
 
 def frame(spark, fields, data, scope="s"):
@@ -84,3 +85,9 @@ def test_names_and_tags(spark):
     row = df.select(X.tag_candidates("t").alias("t"), X.slug_name("n").alias("n"), X.humanise(F.lit("Page2[0].Loss[0].yearBuilt_A1[0]")).alias("h")).first()
     assert row["t"] == ["team-k1", "team", "k1", "z_9", "z", "9"]
     assert (row["n"], row["h"]) == ("elodie", "Year Built")
+
+
+def test_statement_of_merged_rows(spark):
+    rows = [("a", [0, 2], None, "2024-01-02", "x", "5"), ("a", [70000, 1], None, "2024-01-03", "y", "-1"), ("a", [0, 1], None, "2024-01-01", "z", "(2)")]
+    df = spark.createDataFrame(rows, "scope_id string, row_ord array<bigint>, error string, Date string, Description string, Amount string")
+    assert [r["name"] for r in sinks.statement_entries(df).orderBy("number").collect()] == ["z", "x", "y"]
