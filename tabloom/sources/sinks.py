@@ -193,12 +193,18 @@ def sitemap_entries(resources: DataFrame, base_url: str, today: str) -> DataFram
     return hub.unionByName(pages)
 
 
+# The frame of a sitemap file.
+SITEMAP_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
+SITEMAP_FOOT = "</urlset>"
+
+
 def write_sitemap(resources: DataFrame, path: str, base_url: str, today: str) -> None:
-    """Sitemap body as text, one `<url>` block per entry, in slug order."""
+    """Sitemap as text, its frame around one `<url>` block per entry, in slug order over the part files."""
     entry = F.format_string(
         "  <url>\n    <loc>%s</loc>\n    <lastmod>%s</lastmod>\n    <changefreq>%s</changefreq>\n"
         "    <priority>%s</priority>\n  </url>",
         "loc", "lastmod", "changefreq", "priority",
     )
-    ordered = sitemap_entries(resources, base_url, today).orderBy("sort_key")
-    ordered.select(entry.alias("value")).write.mode("overwrite").text(path)
+    blocks = sitemap_entries(resources, base_url, today).select("sort_key", entry.alias("value"))
+    frame = resources.sparkSession.createDataFrame([("", SITEMAP_HEAD), ("2", SITEMAP_FOOT)], "sort_key string, value string")
+    blocks.unionByName(frame).orderBy("sort_key").select("value").write.mode("overwrite").text(path)

@@ -1,6 +1,7 @@
 """Record clean-up and merging, with shuffled input and brute force."""
 
 import random
+from xml.etree import ElementTree
 
 from pyspark.sql import functions as F
 
@@ -91,3 +92,11 @@ def test_statement_of_merged_rows(spark):
     rows = [("a", [0, 2], None, "2024-01-02", "x", "5"), ("a", [70000, 1], None, "2024-01-03", "y", "-1"), ("a", [0, 1], None, "2024-01-01", "z", "(2)")]
     df = spark.createDataFrame(rows, "scope_id string, row_ord array<bigint>, error string, Date string, Description string, Amount string")
     assert [r["name"] for r in sinks.statement_entries(df).orderBy("number").collect()] == ["z", "x", "y"]
+
+
+def test_sitemap_is_framed(spark, tmp_path):
+    df = spark.createDataFrame([("b", "published"), ("a", "published"), ("c", "draft")], "slug string, indexationStatus string")
+    sinks.write_sitemap(df.selectExpr("*", "'2024-01-02' AS updatedAt", "'' AS publishedAt"), str(tmp_path / "map"), "https://x.org", "2024-02-03")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "map").glob("part-*")))
+    root = ElementTree.fromstring(text.encode())
+    assert [url[0].text for url in root] == [f"https://x.org/resources{end}" for end in ("", "/a", "/b")]
