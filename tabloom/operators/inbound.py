@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions import expr as X
-from tabloom.operators.skew import top_per_key
+from tabloom.operators.skew import attach_stats, top_per_key
+from tabloom.session import cut_lineage
 
 # Recipient columns in the order they are searched.
 RECIPIENTS = ("delivered_to", "to_addr", "cc", "x_original_to", "envelope_to")
@@ -87,17 +90,34 @@ def skip_duplicate_attachments(new: DataFrame, existing: DataFrame) -> DataFrame
     """Attachments that are new to their user. Columns: arrival_id, user_id, message_id, sender, filename, file_size.
 
     Dropped: messages already stored for the user, files equal to a stored document without job, later copies of a
-    message or file inside the batch. Equal files of one message all stay.
+    message or file inside the batch, in order of arrival. A copy counts only if the earlier one is itself stored. Equal
+    files of one message all stay. Rows with a null in a key have no copies by that key.
+
+    A row that is first of its message and first of its file is stored whatever comes later, and ends its later copies.
+    What is left waits for an earlier row that may yet be dropped, and is decided in the next round, with fewer rows.
     """
     file_key = ["user_id", "sender", "filename", "file_size"]
     waiting = existing.filter(F.col("job_id").isNull()).select(*file_key)
     fresh = new.join(existing.select("user_id", "message_id"), ["user_id", "message_id"], "left_anti").join(
         waiting, file_key, "left_anti"
     )
-    first_mail = fresh.groupBy("user_id", "message_id").agg(F.min("arrival_id").alias("_mail"))
-    once = fresh.join(first_mail, ["user_id", "message_id"]).filter("arrival_id = _mail").drop("_mail")
-    first_file = once.groupBy(*file_key).agg(F.min("arrival_id").alias("_file"))
-    return once.join(first_file, file_key).filter("arrival_id = _file").select(new.columns)
+    mail_key = ["user_id", "message_id"]
+    kept, open_rows = [], fresh
+    while True:
+        firsts = attach_stats(open_rows, mail_key, _mail=F.min("arrival_id"))
+        firsts = attach_stats(firsts, file_key, _file=F.min("arrival_id"))
+        first_mail = F.coalesce(F.col("_mail") == F.col("arrival_id"), F.lit(True))
+        first_file = F.coalesce(F.col("_file") == F.col("arrival_id"), F.lit(True))
+        judged = cut_lineage(firsts.select(*new.columns, first_mail.alias("_mail"), (first_mail & first_file).alias("_sure")))
+        sure = judged.filter("_sure")
+        kept.append(sure.select(new.columns))
+        waiting_rows = judged.filter("not _sure").join(sure.select(file_key).distinct(), file_key, "left_anti")
+        stored_mail = sure.select(mail_key).distinct()
+        # other files of a stored arrival wait on; later arrivals of its message are copies
+        later = waiting_rows.filter("not _mail").join(stored_mail, mail_key, "left_anti")
+        open_rows = waiting_rows.filter("_mail").unionByName(later).select(new.columns)
+        if open_rows.isEmpty():
+            return reduce(DataFrame.unionByName, kept)
 
 
 def inbox_groups(docs: DataFrame) -> DataFrame:

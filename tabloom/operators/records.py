@@ -138,7 +138,8 @@ def merge_keys() -> Column:
 def merge_by_identifier(df: DataFrame, fields: list[str], keys: DataFrame | None = None) -> DataFrame:
     """Merge rows of one entity. Rows that differ in a distinguishing field keep their whole group apart.
 
-    `row_ord` becomes a position list [unkeyed, first position of the group, own position].
+    `row_ord` becomes a position list [unkeyed, first position of the group, own position]; unkeyed rows go last only in
+    scopes where some key has two rows.
     """
     keys = keys if keys is not None else key_columns(df, fields)
     names = F.array(*[F.lit(f) for f in fields])
@@ -164,16 +165,16 @@ def merge_by_identifier(df: DataFrame, fields: list[str], keys: DataFrame | None
     varies = X.any_of(
         F.coalesce(F.min(F.element_at("_d", i + 1)) != F.max(F.element_at("_d", i + 1)), F.lit(False)) for i in range(len(fields))
     )
-    verdict = shown_rows.groupBy(SCOPE, "_key").agg(F.min(ORD).alias("_first"), varies.alias("_apart"))
-    judged = grouped.join(verdict, [SCOPE, "_key"])
+    verdict = shown_rows.groupBy(SCOPE, "_key").agg(F.min(ORD).alias("_first"), varies.alias("_apart"), F.count("*").alias("_n"))
+    judged = grouped.join(verdict.drop("_n"), [SCOPE, "_key"])
     zero = F.array(F.lit(0).cast("bigint"))
     apart = judged.filter("_apart").withColumn(ORD, F.concat(zero, "_first", ORD))
     rank = F.struct(-F.col("_filled"), F.col(ORD))
     together = judged.filter("not _apart").drop("_first", "_apart", "_id", "_address", "_apart_by")
     united = merge_groups(together, fields, [SCOPE, "_key"], rank).withColumn(ORD, F.concat(zero, ORD, ORD))
-    # scopes without an id column keep their order; elsewhere unkeyed rows go last
-    tier = F.when(F.col("_id").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("bigint")
-    lone = lone.withColumn(ORD, F.concat(F.array(tier), ORD, ORD))
+    # a scope where no key has two rows keeps its order; elsewhere unkeyed rows go last
+    shared = verdict.filter("_n > 1").select(SCOPE).distinct().withColumn("_late", F.lit(1).cast("bigint"))
+    lone = lone.join(shared, SCOPE, "left").withColumn(ORD, F.concat(F.array(F.coalesce("_late", F.lit(0).cast("bigint"))), ORD, ORD))
     return apart.select(df.columns).unionByName(united.select(df.columns)).unionByName(lone.select(df.columns))
 
 

@@ -214,8 +214,9 @@ FROM {events}
 """.replace('AS "to"', 'AS to_addr').replace(" event_id % 4 <> 0 AS is_read_not,", ""))
 binding("mail_keys", "SELECT 'K' || CAST(c_custkey AS STRING) AS address_key, c_custkey AS user_id FROM {customer} WHERE c_custkey % 2 = 0")
 binding("mail_files", """
-SELECT arrival_id, CAST(arrival_id % 97 AS BIGINT) AS user_id, message_id, lower(trim(sender)) AS sender, 'file_' || CAST((arrival_id * 7) % 400 AS STRING) || '.pdf' AS filename,
-  CAST(1000 + arrival_id % 3 AS BIGINT) AS file_size, part FROM (SELECT *, EACH(0, 1) AS part FROM {mails}) p WHERE NOT (part = 1 AND arrival_id % 9 <> 0)
+SELECT arrival_id, CAST(arrival_id % 97 AS BIGINT) AS user_id, message_id, CASE WHEN arrival_id % 30 = 0 THEN 'list@corp1.com' ELSE lower(trim(sender)) END AS sender,
+  CASE WHEN arrival_id % 30 = 0 THEN 'same.pdf' ELSE 'file_' || CAST((arrival_id * 7) % 400 AS STRING) || '.pdf' END AS filename,
+  CASE WHEN arrival_id % 30 = 0 THEN CAST(7 AS BIGINT) ELSE CAST(1000 + arrival_id % 3 AS BIGINT) END AS file_size, part FROM (SELECT *, EACH(0, 1) AS part FROM {mails}) p WHERE NOT (part = 1 AND arrival_id % 9 <> 0)
 """.replace("CAST(arrival_id % 97 AS BIGINT) AS user_id", "CAST((arrival_id - CASE WHEN arrival_id % 10 = 1 THEN 1 ELSE 0 END) % 97 AS BIGINT) AS user_id"))
 binding("stored_files", """
 SELECT event_id AS doc_id, CAST(event_id % 97 AS BIGINT) AS user_id, CASE WHEN event_id % 20 = 3 THEN 'm' || CAST(event_id AS STRING) ELSE 'old' || CAST(event_id AS STRING) END AS message_id,

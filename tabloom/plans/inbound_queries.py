@@ -80,12 +80,20 @@ def _(spark, sf):
     return I.route_by_domain(table(spark, sf, "mails"), table(spark, sf, "users")).select("arrival_id", F.col("user_id").cast("string"))
 
 
+# Walk of each user's arrivals over `f` (user_id, arrival_id, message_id, file key k): `got` lists the files stored.
+S_ARRIVAL_WALK = """n AS MATERIALIZED (SELECT user_id, arrival_id, message_id, list(DISTINCT k) AS ks, row_number() OVER (PARTITION BY user_id ORDER BY arrival_id) AS pos FROM f GROUP BY 1, 2, 3),
+    walk AS (SELECT user_id, arrival_id, pos, ks AS got, [message_id] AS mails, ks AS files FROM n WHERE pos = 1
+      UNION ALL SELECT user_id, arrival_id, pos, got, CASE WHEN len(got) > 0 THEN list_append(mails, message_id) ELSE mails END, files || got FROM (
+        SELECT n.*, mails, files, CASE WHEN list_contains(mails, n.message_id) THEN [] ELSE list_filter(n.ks, lambda k: NOT list_contains(files, k)) END AS got
+        FROM walk w JOIN n ON n.user_id = w.user_id AND n.pos = w.pos + 1))"""
+
+
 @query(
     "skip_duplicate_attachments",
-    f"""{with_clause('mail_files', 'stored_files')}, f AS (SELECT n.* FROM mail_files n WHERE NOT EXISTS (SELECT 1 FROM stored_files s WHERE s.user_id = n.user_id AND s.message_id = n.message_id)
+    f"""{with_clause('mail_files', 'stored_files').replace('WITH', 'WITH RECURSIVE', 1)}, f AS MATERIALIZED (SELECT n.*, concat_ws('|', sender, filename, file_size) AS k FROM mail_files n WHERE NOT EXISTS (SELECT 1 FROM stored_files s WHERE s.user_id = n.user_id AND s.message_id = n.message_id)
       AND NOT EXISTS (SELECT 1 FROM stored_files s WHERE s.user_id = n.user_id AND s.sender = n.sender AND s.filename = n.filename AND s.file_size = n.file_size AND s.job_id IS NULL)),
-    o AS (SELECT * FROM f QUALIFY arrival_id = min(arrival_id) OVER (PARTITION BY user_id, message_id))
-    SELECT arrival_id, part, user_id, filename FROM o QUALIFY arrival_id = min(arrival_id) OVER (PARTITION BY user_id, sender, filename, file_size)""",
+    {S_ARRIVAL_WALK}
+    SELECT arrival_id, part, user_id, filename FROM f JOIN walk USING (user_id, arrival_id) WHERE list_contains(got, k)""",
 )
 def _(spark, sf):
     out = I.skip_duplicate_attachments(table(spark, sf, "mail_files"), table(spark, sf, "stored_files"))

@@ -340,16 +340,16 @@ def s_merge(src: str, keys: str, fields) -> str:
     cols = ", ".join(fields)
     return f"""keyed AS MATERIALIZED (SELECT r.*, k.id_field, k.address_field, k.distinguishers, {s_filled_count(fields)} AS n_filled,
         {s_merge_key(fields)} AS mkey FROM {src} r LEFT JOIN {keys} k USING (scope_id)),
-    verdict AS (SELECT scope_id, mkey, min(row_ord) AS first_ord, {varies} AS apart FROM keyed WHERE mkey IS NOT NULL GROUP BY ALL),
+    verdict AS (SELECT scope_id, mkey, min(row_ord) AS first_ord, count(*) AS n, {varies} AS apart FROM keyed WHERE mkey IS NOT NULL GROUP BY ALL),
     joined AS MATERIALIZED (SELECT keyed.*, first_ord, apart FROM keyed JOIN verdict USING (scope_id, mkey)),
+    lone AS (SELECT *, CASE WHEN scope_id IN (SELECT scope_id FROM verdict WHERE n > 1) THEN 1 ELSE 0 END AS late FROM keyed WHERE mkey IS NULL),
     merged AS MATERIALIZED (
       SELECT scope_id, '0.' || first_ord || '.' || row_ord AS pos, [0, first_ord, row_ord] AS ord, source_file, error, {cols} FROM joined WHERE apart
       UNION ALL SELECT scope_id, '0.' || min(row_ord) || '.' || min(row_ord), [0, min(row_ord), min(row_ord)],
         first(source_file ORDER BY -n_filled, row_ord), first(error ORDER BY -n_filled, row_ord),
         {', '.join(f"coalesce((list({f} ORDER BY -n_filled, row_ord) FILTER (WHERE {s_filled(f)}))[1], (list({f} ORDER BY -n_filled, row_ord))[1])" for f in fields)}
         FROM joined WHERE NOT apart GROUP BY scope_id, mkey
-      UNION ALL SELECT scope_id, CASE WHEN id_field IS NULL THEN '0.' ELSE '1.' END || row_ord || '.' || row_ord,
-        [CASE WHEN id_field IS NULL THEN 0 ELSE 1 END, row_ord, row_ord], source_file, error, {cols} FROM keyed WHERE mkey IS NULL)"""
+      UNION ALL SELECT scope_id, late || '.' || row_ord || '.' || row_ord, [late, row_ord, row_ord], source_file, error, {cols} FROM lone)"""
 
 
 @query(

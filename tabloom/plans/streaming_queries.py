@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabloom.operators import usage as G
 from tabloom.plans.bindings import spark_text, table, with_clause
 from tabloom.plans.catalog import ORACLES, query
-from tabloom.plans.inbound_queries import ARRIVALS, PROGRESS, s_admit
+from tabloom.plans.inbound_queries import ARRIVALS, PROGRESS, S_ARRIVAL_WALK, s_admit
 from tabloom.session import cut_lineage, scratch_path
 from tabloom.streaming import jobs
 
@@ -104,11 +104,11 @@ MAIL_STREAM = """SELECT m.arrival_id, m.message_id, m.ts, m.sender, delivered_to
 
 @query(
     "ingest_messages",
-    f"""WITH r AS ({ORACLES['route_mail']}), f AS (SELECT a.arrival_id, CAST(user_id AS BIGINT) AS user_id, message_id, sender, filename, file_size FROM (
+    f"""WITH RECURSIVE r AS ({ORACLES['route_mail']}), f AS MATERIALIZED (SELECT a.arrival_id, CAST(user_id AS BIGINT) AS user_id, message_id, filename, file_size, concat_ws('|', sender, filename, file_size) AS k FROM (
       {with_clause('mails', 'mail_files')} SELECT m.arrival_id, m.message_id, lower(trim(m.sender)) AS sender, filename, file_size FROM mails m JOIN mail_files f ON m.arrival_id = f.arrival_id) a
       JOIN r ON r.arrival_id = a.arrival_id WHERE user_id IS NOT NULL),
-    o AS (SELECT * FROM f QUALIFY arrival_id = min(arrival_id) OVER (PARTITION BY user_id, message_id))
-    SELECT arrival_id, user_id, message_id, filename, file_size FROM o QUALIFY arrival_id = min(arrival_id) OVER (PARTITION BY user_id, sender, filename, file_size)""",
+    {S_ARRIVAL_WALK}
+    SELECT arrival_id, user_id, f.message_id, filename, file_size FROM f JOIN walk USING (user_id, arrival_id) WHERE list_contains(got, k)""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.sql(MAIL_STREAM, mails=table(spark, sf, "mails"), mail_files=table(spark, sf, "mail_files"))

@@ -52,8 +52,8 @@ def explode_mail(raw: DataFrame) -> DataFrame:
                     found += deeper or [(name or "message.eml", inner.as_bytes() if inner is not None else b"")]
                 elif part.is_multipart():
                     found += attached(part, depth)
-                elif name:
-                    data = part.get_payload(decode=True) or b""
+                elif part.get_content_disposition() == "attachment" and (data := part.get_payload(decode=True)):
+                    name = name or "unnamed"
                     deeper = []
                     if name.lower().endswith((".eml", ".emlx")) and depth < depth_limit:
                         deeper = attached(email.message_from_bytes(data, policy=policy.default), depth + 1)

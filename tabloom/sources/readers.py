@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import html
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,40 +102,66 @@ def list_snapshot(files: DataFrame) -> DataFrame:
     return files.select("file_id", "filename", mark.alias("content_mark"))
 
 
-# Entities that occur in everyday HTML, with their characters.
-ENTITIES = (
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-    ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"),
-    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&bull;", "•"), ("&euro;", "€"),
-    ("&pound;", "£"), ("&yen;", "¥"), ("&sect;", "§"), ("&deg;", "°"), ("&laquo;", "«"), ("&raquo;", "»"),
-)
+#: Named entities by the HTML standard; those that may stand without a semicolon are listed without one too.
+ENTITIES = {name[:-1]: char for name, char in html5.items() if name.endswith(";")}
+BARE_ENTITIES = {name: char for name, char in html5.items() if not name.endswith(";")}
+_COMMON = ("nbsp", "amp", "lt", "gt", "quot", "apos")
+
+
+def _by_name(chars: dict[str, str]) -> Column:
+    """Constant map, everyday names first."""
+    names = sorted(chars, key=lambda n: (n not in _COMMON, len(n), n))
+    return F.map_from_arrays(*[F.split(F.lit("\0".join(part)), "\0") for part in (names, [chars[n] for n in names])])
+
+
+def _code_char(code: Column) -> Column:
+    """Character of a numeric entity: Windows letters for 128 to 159, the replacement mark for what is no character."""
+    old = [bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(128, 160)]
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    control = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF)
+    return (
+        F.when(code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd")
+        .when(code.between(128, 159), F.get(F.array(*[F.lit(c) for c in old]), (code - 128).cast("int")))
+        .when(control | (code % 65536 >= 65534), "").otherwise(char)
+    )
+
+
+def unescape_html(text: Column) -> Column:
+    """Every entity of the text resolved once, named or numeric, with or without its semicolon."""
+    names, bare_names = _by_name(ENTITIES), _by_name(BARE_ENTITIES)
+    bare = "|".join(sorted(BARE_ENTITIES, key=len, reverse=True))
+
+    def part(piece: Column, i: Column) -> Column:
+        name = F.regexp_extract(piece, "^([A-Za-z][A-Za-z0-9]*);", 1)
+        named = F.when(name != "", F.try_element_at(names, name))
+        short = F.regexp_extract(piece, f"^({bare})", 1)
+        digits = F.regexp_extract(piece, "^#0*([0-9]+);?", 1)
+        hexed = F.regexp_extract(piece, "^#[xX]0*([0-9A-Fa-f]+);?", 1)
+        # longer numbers are no characters; they read as null
+        code = F.when(digits != "", F.when(F.length(digits) <= 7, digits).cast("int")).otherwise(
+            F.conv(F.when(F.length(hexed) <= 6, hexed), 16, 10).cast("int")
+        )
+        rest = F.regexp_replace(piece, "^#(?:[xX][0-9A-Fa-f]+|[0-9]+);?", "")
+        return (
+            F.when(i == 0, piece)
+            .when((digits != "") | (hexed != ""), F.concat(_code_char(code), rest))
+            .when(named.isNotNull(), F.concat(named, F.substr(piece, F.length(name) + 2)))
+            .when(short != "", F.concat(F.try_element_at(bare_names, short), F.substr(piece, F.length(short) + 1)))
+            .otherwise(F.concat(F.lit("&"), piece))
+        )
+
+    return F.array_join(F.transform(F.split(text, "&"), part), "")
 
 
 def html_to_text(c: Column | str) -> Column:
     """Readable text of HTML: scripts out, block ends to newlines, tags out, entities resolved, blanks collapsed."""
     text = F.regexp_replace(X.col(c), r"(?is)<(script|style).*?</\1>", " ")
     text = F.regexp_replace(text, r"(?i)<br\s*/?>|</(?:p|div|li|tr|h[1-6])>", "\n")
-    text = F.regexp_replace(text, r"<[^>]+>", " ")
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    text = F.replace(text, F.lit("&amp;"), F.lit("&"))
+    text = unescape_html(F.regexp_replace(text, r"<[^>]+>", " "))
     text = F.regexp_replace(text, r"[ \t]+", " ")
     return X.strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
-def unescape_rest(df: DataFrame, c: str) -> DataFrame:
-    """Resolve the rarer named and numeric entities; only rows that still hold one go through Python."""
-    @F.pandas_udf("string")
-    def unescape(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else html.unescape(t))
-
-    leftover = F.col(c).rlike(r"&(?:[A-Za-z]\w{1,30}|#\d{1,7}|#[xX][0-9A-Fa-f]{1,6});")
-    names = [n for n in df.columns if n != c]
-    plain = df.filter(~F.coalesce(leftover, F.lit(False))).select(*names, c)
-    rest = df.filter(leftover).select(*names, unescape(c).alias(c))
-    return plain.unionByName(rest).select(df.columns)
-
-
 def markdown_tables(tables: DataFrame) -> DataFrame:
     """One row per grid line of (doc_id, table_ord, markdown): cells, and whether the line is above the rule."""
     rule = F.array_position(F.transform(F.split("markdown", "\n"), lambda x: x.rlike(r"^\|\s*-").cast("int")), 1)

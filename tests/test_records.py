@@ -100,3 +100,15 @@ def test_sitemap_is_framed(spark, tmp_path):
     text = "".join(p.read_text() for p in sorted((tmp_path / "map").glob("part-*")))
     root = ElementTree.fromstring(text.encode())
     assert [url[0].text for url in root] == [f"https://x.org/resources{end}" for end in ("", "/a", "/b")]
+
+
+def test_scope_without_shared_keys_keeps_its_order(spark):
+    fields = ["Unit #", "Street Address"]
+    data = [(None, None), ("A1", "1 Dock Street"), (None, "x"), ("B2", "2 Dock Street")]
+    plain, keys = frame(spark, fields, data), None
+    keys = spark.createDataFrame([("s", "Unit #", "Street Address", [])], "scope_id string, id_field string, address_field string, distinguishers array<string>")
+    order = [r["Unit #"] for r in R.merge_by_identifier(plain, fields, keys).orderBy("row_ord").collect()]
+    assert order == [None, "A1", None, "B2"]
+    twice = frame(spark, fields, [*data, ("A1", "1 Dock Street")])
+    order = [r["Unit #"] for r in R.merge_by_identifier(twice, fields, keys).orderBy("row_ord").collect()]
+    assert order[-1] is None and set(order[:-1]) == {None, "A1", "B2"}
