@@ -27,7 +27,7 @@ REQUIRED = (
     "slug", "title", "metaTitle", "metaDescription", "h1", "primaryKeyword", "secondaryKeywords", "searchIntent",
     "templateType", "indexationStatus", "canonicalUrl", "hero", "summary", "whoItsFor", "whenThisIsRelevant",
     "supportedInputs", "expectedOutputs", "commonChallenges", "howItWorksSteps", "whyItFits", "limitations", "faq",
-    "relatedResources", "trustSignals", "exampleUseCases", "qualityReview",
+    "relatedResources", "relatedProductLinks", "trustSignals", "exampleUseCases", "qualityReview",
 )
 REQUIRED_EDITORIAL = (
     "slug", "title", "metaTitle", "metaDescription", "h1", "primaryKeyword", "secondaryKeywords", "searchIntent",

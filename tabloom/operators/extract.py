@@ -13,6 +13,7 @@ from tabloom.functions import expr as X
 from tabloom.operators import pages as P
 from tabloom.operators import records as R
 from tabloom.schema import ERROR, ORD, SCOPE, SOURCE, FieldSpec
+from tabloom.session import cut_lineage
 
 
 def field_block(fields: list[FieldSpec]) -> str:
@@ -185,7 +186,7 @@ def post_process(
     """Repair chain after extraction.
 
     Null copied columns, null uniform values without a source, finalise rows of schedules, spread dominant values, then
-    fill gaps with patches from `backfill` while that gains cells. `matches` are header matches, `label_matches` also
+    fill gaps with patches from `backfill`, scope by scope while that gains cells. `matches` are header matches, `label_matches` also
     count labels in the text.
     """
     def clean(df: DataFrame) -> DataFrame:
@@ -199,20 +200,20 @@ def post_process(
     if backfill is None:
         return out
 
-    def missing(df: DataFrame) -> int:
-        gaps = F.sum(F.when(~X.has_error(), len(fields) - X.filled_count(fields)).otherwise(0))
-        return df.agg(gaps).first()[0] or 0
-
-    from tabloom.session import cut_lineage
+    def gaps(df: DataFrame) -> DataFrame:
+        missing = F.sum(F.when(~X.has_error(), len(fields) - X.filled_count(fields)).otherwise(0))
+        return df.groupBy(SCOPE).agg(missing.alias("_gaps")).filter("_gaps > 0")
 
     out = cut_lineage(out)
-    before = missing(out)
+    open_scopes = cut_lineage(gaps(out))
     for _ in range(rounds):
-        if before == 0:
-            break
-        out = cut_lineage(clean(R.apply_patches(out, backfill(out), fields)))
-        after = missing(out)
-        if after >= before:
+        if open_scopes.isEmpty():
             break
-        before = after
+        active = out.join(open_scopes.select(SCOPE), SCOPE, "left_semi").select(out.columns)
+        closed = out.join(open_scopes.select(SCOPE), SCOPE, "left_anti").select(out.columns)
+        patched = cut_lineage(clean(R.apply_patches(active, backfill(active), fields)).select(out.columns))
+        out = closed.unionByName(patched)
+        # a scope goes on while it has gaps, fewer than before
+        before = open_scopes.withColumnRenamed("_gaps", "_before")
+        open_scopes = cut_lineage(gaps(patched).join(before, SCOPE).filter("_gaps < _before").select(SCOPE, "_gaps"))
     return out

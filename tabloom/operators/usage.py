@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions import expr as X
-from tabloom.operators.skew import number_rows, running, running_total
+from tabloom.operators.skew import running, running_total
 
 # Plans with monthly price in cents, pages per month and overage in cents per page.
 TIERS = (
@@ -358,7 +358,7 @@ def job_progress(docs: DataFrame) -> DataFrame:
 def request_latency_report(requests: DataFrame, percents: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
     """Per endpoint: requests, errors, exact rank percentiles, maximum, rate and load (endpoint, latency_ms, status, ts).
 
-    Ranks are built per latency step, so the values of one endpoint are never sorted in one task.
+    Equal latencies are counted first; running counts over the distinct values give the ranks, so no row is ranked.
     """
     stats = requests.groupBy("endpoint").agg(
         F.count("*").alias("requests"),
@@ -367,16 +367,15 @@ def request_latency_report(requests: DataFrame, percents: tuple[int, ...] = (50,
         F.avg("latency_ms").alias("avg_ms"),
         (F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))).alias("_span"),
     )
-    ranked = number_rows(
-        requests.select("endpoint", "latency_ms"), ["endpoint"], F.floor("latency_ms"), ["latency_ms"], "place"
-    )
+    counted = requests.groupBy("endpoint", "latency_ms").agg(F.count("*").alias("_n"))
+    ranked = running_total(counted, ["endpoint"], F.floor("latency_ms"), ["latency_ms"], {"place": F.col("_n")})
     joined = ranked.join(stats.select("endpoint", "requests"), "endpoint")
 
     def wanted(p: int) -> Column:
         return F.greatest(F.lit(1), F.floor(F.col("requests") * p / 100))
 
     picks = joined.groupBy("endpoint").agg(
-        *[F.max(F.when(F.col("place") == wanted(p), F.col("latency_ms"))).alias(f"p{p}_ms") for p in percents]
+        *[F.min_by("latency_ms", F.when(F.col("place") >= wanted(p), F.col("place"))).alias(f"p{p}_ms") for p in percents]
     )
     rate = F.when(F.col("_span") > 0, F.col("requests") / (F.col("_span") / 1_000_000)).otherwise(0.0)
     return stats.join(picks, "endpoint").select(

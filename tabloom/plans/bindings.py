@@ -272,7 +272,8 @@ SELECT doc_id, 'doc-' || CAST(doc_id AS STRING) || CASE WHEN doc_id % 41 = 0 THE
   STR_LIST(repeat('Short one~', CAST(doc_id % 4 AS INTEGER)), '~') AS commonChallenges, STR_LIST(repeat('@LONG', CAST(doc_id % 6 AS INTEGER)), '~') AS howItWorksSteps,
   STR_LIST('Good fit~' || repeat('@LONG', CAST(doc_id % 3 AS INTEGER)), '~') AS whyItFits,
   CASE WHEN doc_id % 6 = 5 THEN NULL ELSE STR_LIST('Only some~' || repeat('Not others~', CAST(doc_id % 3 AS INTEGER)), '~') END AS limitations,
-  CASE WHEN doc_id % 5 = 3 THEN NULL ELSE STR_LIST('a~b', '~') END AS relatedResources, STR_LIST(repeat('trust~', CAST(doc_id % 3 AS INTEGER)), '~') AS trustSignals, STR_LIST('one~two', '~') AS exampleUseCases,
+  CASE WHEN doc_id % 5 = 3 THEN NULL ELSE STR_LIST('a~b', '~') END AS relatedResources, CASE WHEN doc_id % 37 <> 5 THEN STR_LIST('Convert~Upload', '~') END AS relatedProductLinks,
+  STR_LIST(repeat('trust~', CAST(doc_id % 3 AS INTEGER)), '~') AS trustSignals, STR_LIST('one~two', '~') AS exampleUseCases,
   STR_LIST('What?~Why?~' || repeat('Who?~', CAST(doc_id % 2 AS INTEGER)), '~') AS faq_q, STR_LIST('@LONG@LONG~short~' || repeat('@LONG', CAST(doc_id % 2 AS INTEGER)), '~') AS faq_a,
   CASE WHEN doc_id % 3 <> 2 THEN STR_LIST(text, chr(10)) END AS sec_b,
   '2024-01-' || lpad(CAST(1 + doc_id % 28 AS STRING), 2, '0') || 'T08:00:00' AS publishedAt,

@@ -26,6 +26,7 @@ def resources(spark, sf):
             F.when(F.col("doc_id") % 11 == 0, "").otherwise("Go").alias("primaryCta"),
         ),
         "faq": F.arrays_zip(F.col("faq_q").alias("question"), F.col("faq_a").alias("answer")),
+        "relatedProductLinks": F.transform("relatedProductLinks", lambda x: F.struct(x.alias("label"), F.lit("/").alias("url"))),
         "sections": F.transform("sec_b", lambda b: F.struct(F.lit("Part").alias("heading"), b.alias("body"))),
         "qualityReview": F.struct(
             score.alias("intentMatchScore"), F.lit(90.0).alias("uniquenessScore"),
@@ -270,9 +271,17 @@ def _(spark, sf):
 )
 def _(spark, sf):
     path = scratch_path(spark, "registry")
-    sinks.write_registry(table(spark, sf, "res"), path)
+    sinks.write_registry(table(spark, sf, "res"), path, TODAY)
     columns = ("slug", "title", "metaDescription", "templateType", "primaryKeyword", "indexationStatus", "publishedAt", "category")
-    return spark.read.schema(", ".join(f"{c} string" for c in columns)).json(path).fillna("", ["metaDescription"])
+    return spark.read.schema(", ".join(f"{c} string" for c in columns)).json(f"{path}/resources").fillna("", ["metaDescription"])
+
+
+@query(
+    "registry_summary",
+    f"{with_clause('res')} SELECT '{TODAY}' AS lastUpdated, count(*) AS totalPublished FROM res WHERE indexationStatus IN ('published', 'noindex')",
+)
+def _(spark, sf):
+    return sinks.registry_summary(table(spark, sf, "res"), TODAY)
 
 
 @query(

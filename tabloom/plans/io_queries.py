@@ -170,7 +170,7 @@ def s_html(c: str) -> str:
     t = rf"regexp_replace({t}, '(?i)<br\s*/?>|</(?:p|div|li|tr|h[1-6])>', chr(10), 'g')"
     t = f"regexp_replace({t}, '<[^>]+>', ' ', 'g')"
     # the entities of the pages, each resolved once
-    known = [(n, readers.ENTITIES[n[:-1]]) for n in ("amp;", "lt;", "gt;", "quot;", "nbsp;", "eacute;")]
+    known = [(n, readers.ENTITIES[n[:-1]]) for n in ("amp;", "lt;", "gt;", "quot;", "nbsp;", "eacute;", "copy;", "middot;")]
     known += [("copy", "©"), ("#39;", "'"), ("#9;", "\t"), ("#x41;", "A"), ("#150;", "–")]
     cases = " ".join(f"WHEN starts_with(p, {q(n)}) THEN {q(char)} || substr(p, {len(n) + 1})" for n, char in known)
     t = f"(string_split({t}, '&')[1] || array_to_string(list_transform(string_split({t}, '&')[2:], lambda p: CASE {cases} ELSE '&' || p END), ''))"

@@ -87,6 +87,7 @@ RESOURCE_TYPE = (
     + ", "
     + ", ".join(f"{c} array<string>" for c in LIST_FIELDS)
     + ", hero struct<headline:string,subheadline:string,primaryCta:string>"
+    + ", relatedProductLinks array<struct<label:string,url:string>>"
     + ", faq array<struct<question:string,answer:string>>"
     + ", sections array<struct<heading:string,body:string>>"
     + ", qualityReview struct<intentMatchScore:double,uniquenessScore:double,thinContentRisk:double,"

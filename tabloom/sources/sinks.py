@@ -172,9 +172,15 @@ def registry_entries(resources: DataFrame) -> DataFrame:
     )
 
 
-def write_registry(resources: DataFrame, path: str) -> None:
-    """Registry as JSON lines, globally sorted newest first."""
-    registry_entries(resources).orderBy(F.desc("publishedAt"), "slug").write.mode("overwrite").json(path)
+def registry_summary(resources: DataFrame, now: str) -> DataFrame:
+    """Head of the registry: time of the update and number of entries."""
+    return registry_entries(resources).agg(F.lit(now).alias("lastUpdated"), F.count("*").alias("totalPublished"))
+
+
+def write_registry(resources: DataFrame, path: str, now: str) -> None:
+    """Registry as JSON lines: the entries, globally sorted newest first, in `resources`, the head in `summary`."""
+    registry_entries(resources).orderBy(F.desc("publishedAt"), "slug").write.mode("overwrite").json(f"{path}/resources")
+    registry_summary(resources, now).write.mode("overwrite").json(f"{path}/summary")
 
 
 def sitemap_entries(resources: DataFrame, base_url: str, today: str) -> DataFrame:
