@@ -103,7 +103,8 @@ def extract_from_tables(tables: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def extract_from_lines(pages: DataFrame, fields: list[str]) -> DataFrame:
-    """Built-in extractor for forms: `label: value` lines of a page become one record per page."""
+    """Built-in extractor for forms: `label: value` lines of a page become one record per page; pages without an asked
+    value give none."""
     found = F.regexp_extract_all("text", F.lit(r"(?m)^[ \t]*([\w #/.-]{2,40}:[ \t]+\S[^\n]*)$"), 1)
     pairs = F.transform(found, lambda s: F.struct(
         F.lower(F.substring_index(s, ":", 1)).alias("label"), X.strip(F.regexp_replace(s, "^[^:]*:", "")).alias("value")
@@ -117,7 +118,7 @@ def extract_from_lines(pages: DataFrame, fields: list[str]) -> DataFrame:
     return tagged.select(
         F.col("doc_id").alias(SCOPE), F.col("page_num").cast("bigint").alias(ORD), F.col("doc_id").alias(SOURCE),
         F.lit(None).cast("string").alias(ERROR), *[value(f).alias(f) for f in fields],
-    )
+    ).filter(X.any_of(F.col(f"`{f}`").isNotNull() for f in fields))
 
 
 _JSON_TOKEN = re.compile(r'"(?:\\.|[^"\\])*"|[{}]', re.S)

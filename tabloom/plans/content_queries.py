@@ -175,10 +175,26 @@ def _(spark, sf):
 
 @query("publish_decisions")
 def _(spark, sf):
+    # resources in the shape that validation asks for, as far as their keywords and lists allow
     df = resources(spark, sf)
+    def words(c, least):
+        return F.coalesce(c, F.array(*[F.lit(f"A longer note of number {i} on what is meant here") for i in range(least)]))
+    lists = {c: words(c, 4) for c in ("whoItsFor", "limitations", "relatedResources")}
+    keyword = F.col("primaryKeyword")
+    answer = F.concat(keyword, F.lit(" is answered here in a good many words, so nothing stays open"))
     fixed = df.withColumns({
-        "whoItsFor": F.coalesce("whoItsFor", F.array(F.lit("Buyers"), F.lit("Sellers"))),
-        "limitations": F.coalesce("limitations", F.array(F.lit("Some"), F.lit("More"))),
+        **lists, "slug": F.concat(F.lit("doc-"), F.col("doc_id").cast("string")), "metaTitle": F.concat(F.lit("About "), F.left(keyword, F.lit(70))),
+        "title": F.concat(F.lit("How to: "), keyword, F.lit(" "), F.col("doc_id").cast("string")), "h1": F.concat(F.lit("How to: "), keyword),
+        "metaDescription": F.concat(F.lit("What to know of it, told in a few plain words: "), keyword),
+        "templateType": F.when(F.col("doc_id") % 2 == 0, "guide").otherwise("use_case"),
+        "searchIntent": F.when(F.col("doc_id") % 2 == 0, "informational").otherwise("commercial"),
+        "commonChallenges": words(F.lit(None).cast("array<string>"), 4), "howItWorksSteps": words(F.lit(None).cast("array<string>"), 4),
+        "whyItFits": words(F.lit(None).cast("array<string>"), 3), "trustSignals": F.array(F.lit("one"), F.lit("two")),
+        "relatedProductLinks": F.array(F.struct(F.lit("Go").alias("label"), F.lit("/").alias("url"))),
+        "summary": F.concat(keyword, F.lit(": "), "summary"),
+        "faq": F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.struct(F.concat(F.lit("Question "), i.cast("string")).alias("question"), answer.alias("answer"))),
+        "sections": F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.struct(F.lit("Part").alias("heading"), F.repeat(answer, 5).alias("body"))),
+        "hero": F.struct(F.lit("One").alias("headline"), F.lit("Two").alias("subheadline"), F.lit("Go").alias("primaryCta")),
     })
     corpus = df.filter("indexationStatus = 'published'")
     return C.publish_decisions(fixed.filter("indexationStatus <> 'published'"), corpus, "doc_id")
@@ -238,27 +254,27 @@ def _(spark, sf):
 
 @query(
     "retry_drafts",
-    f"""WITH t AS ({S_TOPICS}), n AS (SELECT slug, priority FROM t WHERE p_partkey % 3 = 0), d AS (SELECT slug, priority + 100 AS priority FROM t WHERE p_partkey % 2 = 0)
+    f"""WITH t AS ({S_TOPICS}), n AS (SELECT slug, priority FROM t WHERE p_partkey % 3 = 0), d AS (SELECT slug, priority + 100 AS priority FROM t WHERE p_partkey % 3 <> 0 OR p_partkey % 2 = 0)
     SELECT * FROM n UNION ALL SELECT * FROM d WHERE slug NOT IN (SELECT slug FROM n)""",
 )
 def _(spark, sf):
     topics, _ = _topics(spark, sf)
     new = topics.filter("p_partkey % 3 = 0").select("slug", "priority")
-    return C.retry_drafts(new, topics.filter("p_partkey % 2 = 0").select("slug", (F.col("priority") + 100).alias("priority")))
+    return C.retry_drafts(new, topics.filter("p_partkey % 3 <> 0 or p_partkey % 2 = 0").select("slug", (F.col("priority") + 100).alias("priority")))
 
 
 @query(
     "related_items",
-    f"""{with_clause('res')}, c AS MATERIALIZED (SELECT slug, templateType, doc_id AS ord FROM res WHERE doc_id % 7 <> 0), types AS (SELECT templateType, min(ord) AS type_ord FROM c GROUP BY 1),
-    cand AS (SELECT slug, templateType FROM res WHERE doc_id % 5 < 2),
+    f"""{with_clause('res')}, c AS MATERIALIZED (SELECT slug, templateType, doc_id AS ord FROM res), types AS (SELECT templateType, min(ord) AS type_ord FROM c GROUP BY 1),
+    cand AS (SELECT slug, templateType FROM res),
     l AS (SELECT cand.slug, CASE WHEN c.templateType = cand.templateType THEN -1 ELSE type_ord END AS tier, c.slug AS other, row_number() OVER (PARTITION BY cand.slug, c.templateType ORDER BY ord) AS r,
       c.templateType = cand.templateType AS own FROM cand JOIN c ON c.slug <> cand.slug JOIN types ON types.templateType = c.templateType QUALIFY (own AND r <= 2) OR r = 1)
     SELECT slug, array_to_string(list_slice(list(other ORDER BY tier, r), 1, 4), ',') AS related FROM l GROUP BY slug""",
 )
 def _(spark, sf):
     df = table(spark, sf, "res")
-    corpus = df.filter("doc_id % 7 <> 0").select("slug", "templateType", F.col("doc_id").alias("ord"))
-    out = C.related_items(df.filter("doc_id % 5 < 2"), corpus)
+    corpus = df.select("slug", "templateType", F.col("doc_id").alias("ord"))
+    out = C.related_items(df, corpus)
     return out.withColumn("related", F.array_join("related", ","))
 
 

@@ -115,14 +115,14 @@ def _(spark, sf):
 
 @query(
     "apply_extractor",
-    f"""{with_clause('doc_pages')} SELECT doc_id, page_num, length(text) AS chars FROM doc_pages WHERE page_num <= 30""",
+    f"""{with_clause('doc_pages')} SELECT doc_id, page_num, length(text) AS chars FROM doc_pages""",
 )
 def _(spark, sf):
     def measure(batches):
         for batch in batches:
             yield batch[["doc_id", "page_num"]].assign(chars=batch["text"].str.len())
 
-    wanted = table(spark, sf, "doc_pages").select("doc_id", "page_num", "text").filter("page_num <= 30")
+    wanted = table(spark, sf, "doc_pages").select("doc_id", "page_num", "text")
     return E.apply_extractor(wanted, measure, "doc_id string, page_num int, chars bigint")
 
 
@@ -143,8 +143,7 @@ def _(spark, sf):
     rf"""{with_clause('doc_pages')} SELECT doc_id AS scope_id, CAST(page_num AS BIGINT) AS row_ord, 'value' AS name, 'Rome' AS city FROM doc_pages WHERE text LIKE 'Name: value%'""",
 )
 def _(spark, sf):
-    pages = table(spark, sf, "doc_pages").filter(F.col("text").startswith("Name: value"))
-    return E.extract_from_lines(pages, ["name", "city"]).drop("source_file", "error")
+    return E.extract_from_lines(table(spark, sf, "doc_pages"), ["name", "city"]).drop("source_file", "error")
 
 
 @query("post_process")
