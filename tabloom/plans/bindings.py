@@ -253,19 +253,19 @@ UNION ALL SELECT lower(p_type), 3.0719371e-6, 5.17317e-7, max(p_size) * 1.013719
 """)
 
 
-# Content resources: documents with titles and keywords from their own words, lists and sections of varying size.
+# Content resources: documents whose first line is title and summary, whose lines are the sections; lists of varying size.
 LONG = "Enough words to make this item a long one ~"
 binding("res", """
 SELECT doc_id, 'doc-' || CAST(doc_id AS STRING) || CASE WHEN doc_id % 41 = 0 THEN '-' ELSE '' END AS slug,
-  substring(flat, 1, CAST(8 + doc_id % 90 AS INTEGER)) AS title, substring(flat, 1, 40) AS metaTitle,
-  CASE WHEN doc_id % 50 = 7 THEN NULL ELSE substring(flat, 1, CAST(45 + doc_id % 120 AS INTEGER)) END AS metaDescription, substring(flat, 1, 60) AS h1,
+  first_line AS title, first_line AS metaTitle,
+  CASE WHEN doc_id % 50 = 7 THEN NULL ELSE first_line END AS metaDescription, first_line AS h1,
   lower(split_part(flat, ' ', 1) || ' ' || split_part(flat, ' ', 2) || ' ' || split_part(flat, ' ', 3) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' ' || split_part(flat, ' ', 4) || ' ' || lang END) AS primaryKeyword,
   CASE CAST(doc_id % 5 AS INTEGER) WHEN 0 THEN 'informational' WHEN 1 THEN 'transactional' WHEN 2 THEN 'commercial' WHEN 3 THEN 'navigational' ELSE 'other' END AS searchIntent,
   CASE CAST(doc_id % 9 AS INTEGER) WHEN 0 THEN 'file_conversion' WHEN 1 THEN 'document_type' WHEN 2 THEN 'workflow' WHEN 3 THEN 'use_case' WHEN 4 THEN 'comparison'
     WHEN 5 THEN 'support_education' WHEN 6 THEN 'guide' WHEN 7 THEN 'industry_insight' ELSE 'misc' END AS templateType,
   CASE CAST(doc_id % 4 AS INTEGER) WHEN 0 THEN 'published' WHEN 1 THEN 'noindex' WHEN 2 THEN 'draft' ELSE 'rejected' END AS indexationStatus,
   'https://example.org/resources/' || CAST(doc_id AS STRING) AS canonicalUrl,
-  CASE WHEN doc_id % 13 = 0 THEN 'A game changer, world-class. ' ELSE '' END || CASE WHEN doc_id % 17 = 0 THEN 'Never fails; studies show it. ' ELSE '' END || substring(flat, 1, CAST(60 + doc_id % 300 AS INTEGER)) AS summary,
+  CASE WHEN doc_id % 13 = 0 THEN 'A game changer, world-class. ' ELSE '' END || CASE WHEN doc_id % 17 = 0 THEN 'Never fails; studies show it. ' ELSE '' END || first_line AS summary,
   STR_LIST(repeat('kw~', CAST(doc_id % 3 AS INTEGER)), '~') AS secondaryKeywords,
   CASE WHEN doc_id % 8 = 1 THEN NULL ELSE STR_LIST('Buyers~' || repeat('Sellers of things~', CAST(doc_id % 2 AS INTEGER)), '~') END AS whoItsFor,
   STR_LIST('now~later', '~') AS whenThisIsRelevant, STR_LIST(repeat('in~', CAST(doc_id % 4 AS INTEGER)), '~') AS supportedInputs, STR_LIST('out~put', '~') AS expectedOutputs,
@@ -278,7 +278,7 @@ SELECT doc_id, 'doc-' || CAST(doc_id AS STRING) || CASE WHEN doc_id % 41 = 0 THE
   CASE WHEN doc_id % 3 <> 2 THEN STR_LIST(text, chr(10)) END AS sec_b,
   '2024-01-' || lpad(CAST(1 + doc_id % 28 AS STRING), 2, '0') || 'T08:00:00' AS publishedAt,
   CASE WHEN doc_id % 4 = 0 THEN '2024-02-' || lpad(CAST(1 + doc_id % 28 AS STRING), 2, '0') || 'T09:00:00' END AS updatedAt
-FROM (SELECT *, replace(text, chr(10), ' ') AS flat FROM {documents}) d
+FROM (SELECT *, replace(text, chr(10), ' ') AS flat, split_part(text, chr(10), 1) AS first_line FROM {documents}) d
 """.replace("@LONG", LONG))
 
 # Form fields: twelve orders make one form.
