@@ -1,6 +1,7 @@
 """Licence recognition by sentences and ordered rules.
 
-A text is cut into sentences, each is normalised and looked up among known licence sentences; the identifiers found, in
+A text is cut into pieces at line ends and sentence ends; runs of pieces with the words of a known licence sentence are that
+sentence, however it is wrapped or pointed. The identifiers found, in
 text order, are a sequence that ordered rules are matched against, the most specific first. Every rule that matches takes its
 sentences away, so that what is left can match another. Sentences that speak of a licence but aren't known are reported.
 """
@@ -56,31 +57,66 @@ RULES = [
     (("mpl-2-notice",), "MPL-2.0"),
     (("unlicense",), "Unlicense"),
 ]
-#: A sentence with one of these words speaks of a licence.
-SPEAKS = "licen[cs]e|permission|redistribut|copyright|warrant|rights reserved|public domain|free software"
+#: A sentence with one of these words speaks of a licence; the words may stand on two lines.
+SPEAKS = "licen[cs]e|permission|redistribut|copyright|warrant|rights[^a-z0-9]+reserved|public[^a-z0-9]+domain|free[^a-z0-9]+software"
 UNKNOWN = "unknown"
-#: A sentence ends at a line end, or after . ; : ! ? before white space; a digit's point is no end, nor are two line ends needed.
+#: A text is cut at line ends and after . ; : ! ? before white space; a digit's point is no end, nor are two line ends needed.
 ENDS = "[\\n\\r]+|(?<=[.;:!?])[ \\t]+"
+#: In a lower-case text capitals are free as marks: N a cut, X the ends of an address, V its start, K and L the ends of a
+#: known sentence, C a piece that goes on with one, S words of SPEAKS on two lines.
+URL = "(?<![a-z0-9])(?:https?://|www\\.)[^\\sN]+"
+#: A known sentence is a run of whole pieces with its words, so it may be wrapped or hold cuts of its own; the longest goes first.
+KNOWN = "(?<![^NX]) ?(?:{}) ?(?![^NX])".format("|".join(s.replace(" ", "[ N]++") for s in sorted(SENTENCES, key=len, reverse=True)))
 
 
-def normalised(sentence: Column) -> Column:
-    """Lower-case ASCII letters and digits, everything else one space."""
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def marked(text: Column) -> Column:
+    """Lower-case ASCII letters and digits of a text with single spaces between, and the marks."""
+    flat = F.regexp_replace(F.regexp_replace(F.lower(text), ENDS, "N"), URL, "XV$0X")
+    flat = F.regexp_replace(flat, "[^a-z0-9NVX]+", " ")
+    told = F.regexp_replace(F.regexp_replace(flat, KNOWN, "K$0L"), "(K|\\G(?!^))([^NKL]*)N", "$1$2NC")
+    return F.regexp_replace(told, "(rights(?=[ NC]+reserved)|public(?=[ NC]+domain)|free(?=[ NC]+software))(?= ?N)", "$1S")
 
 
 def sentence_ids(text: Column) -> Column:
-    """(place, id) of the sentences that are known or speak of a licence, in text order."""
+    """(place, part, id, url) of the sentences that are known or speak of a licence, in text order. A known sentence has the
+    place of its first piece; url tells an unknown piece that is nothing but an address."""
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    cut = F.transform(F.split(text, ENDS), lambda s, i: F.struct(i.alias("place"), s.alias("s")))
-    told = F.filter(cut, lambda x: x["s"].rlike(f"(?i){SPEAKS}"))
-    plain = F.transform(told, lambda x: F.struct(x["place"].alias("place"), normalised(x["s"]).alias("s")))
-    return F.transform(plain, lambda x: F.struct(x["place"].alias("place"), F.coalesce(F.try_element_at(known, x["s"]), F.lit(UNKNOWN)).alias("id")))
+    speaks = f"S|{SPEAKS}"
+
+    def item(place: Column, part: Column, id: Column, url: Column) -> Column:
+        return F.struct(place.alias("place"), part.cast("int").alias("part"), id.alias("id"), url.alias("url"))
+
+    def pieces(piece: Column, place: Column) -> Column:
+        whole = F.array(item(place, F.lit(0), F.lit(UNKNOWN), piece.rlike("^ ?XV[^X]*X ?$")))
+        units = F.transform(F.split(piece, "X"), lambda u, k: F.struct(k.alias("part"), u.alias("u")))
+        # the ids of known sentences, null here, are laid in below
+        told = F.filter(units, lambda x: ~x["u"].startswith("C") & (x["u"].startswith("K") | x["u"].rlike(speaks)))
+        cut = F.transform(told, lambda x: item(
+            place, x["part"], F.when(~x["u"].startswith("K"), UNKNOWN), x["u"].startswith("V")
+        ))
+        return F.when(piece.rlike("^C|K"), cut).when(piece.rlike(speaks), whole)
+
+    def found(t: Column) -> Column:
+        items = F.flatten(F.array_compact(F.transform(F.split(t, "N"), pieces)))
+        names = F.transform(
+            F.regexp_extract_all(t, F.lit("K([^L]*)L"), 1), lambda k: F.try_element_at(known, F.trim(F.regexp_replace(k, "[ A-Z]+", " ")))
+        )
+        named = F.zip_with(F.filter(items, lambda x: x["id"].isNull()), names, lambda x, name: item(x["place"], x["part"], name, x["url"]))
+        return F.array_sort(F.concat(F.filter(items, lambda x: x["id"].isNotNull()), named))
+
+    # as a lambda's argument the marked text is made once
+    return F.get(F.transform(F.array(marked(text)), found), F.lit(0))
 
 
 def match_rules(ids: Column) -> tuple[Column, Column]:
     """Licences in rule order, and the identifiers that no rule took, from identifiers in text order. A rule's identifiers
-    must follow each other; unknown sentences between them are in the way."""
-    rest = F.concat(F.lit(";"), F.array_join(F.transform(ids, lambda x: x["id"]), ";;"), F.lit(";"))
+    must follow each other; unknown sentences between them are in the way, an address between two known ones isn't."""
+
+    def is_known(at: Column) -> Column:
+        return F.coalesce(F.get(ids, at)["id"] != UNKNOWN, F.lit(False))
+
+    kept = F.filter(ids, lambda x, k: ~(x["url"] & is_known(k - 1) & is_known(k + 1)))
+    rest = F.concat(F.lit(";"), F.array_join(F.transform(kept, lambda x: x["id"]), ";;"), F.lit(";"))
     found: list[Column] = []
     for sequence, licence in RULES:
         written = "".join(f";{name};" for name in sequence)
@@ -97,7 +133,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     Null and empty texts and texts without licence sentences have empty lists. Repeated rows are scanned each; null ids are kept.
     Other columns don't matter. An empty table gives an empty table. Whole texts are read, wherever a sentence stands.
     """
-    none = F.expr("cast(array() as array<struct<place:int,id:string>>)")
+    none = F.expr("cast(array() as array<struct<place:int,part:int,id:string,url:boolean>>)")
     ids = F.when(F.col(text).rlike(f"(?i){SPEAKS}"), sentence_ids(F.col(text))).otherwise(none)
     told = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(ids, none).alias("ids"))
     licences, left = match_rules(F.col("ids"))

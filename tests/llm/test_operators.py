@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import textwrap
 import zlib
 
 import numpy as np
@@ -193,6 +194,89 @@ def test_licences(spark):
     assert license_scan.scan(documents(spark, texts).limit(0)).count() == 0
 
 
+# The notices as licence files and headers carry them, with the sentences that a rule takes: (notice, licence, identifiers).
+NOTICES = [
+    ("""Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
+merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES
+OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""", "MIT", ["mit-grant", "mit-notice-kept", "mit-as-is"]),
+    ("""Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+   disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived
+   from this software without specific prior written permission.""", "BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
+    ("""Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met:
+* Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+* Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in
+the documentation and/or other materials provided with the distribution.""", "BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("""Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
+BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""", "Apache-2.0", ["apache-notice", "apache-use", "apache-copy", "unknown", "apache-as-is"]),
+    ("Licensed under the Apache License, Version 2.0", "Apache-2.0", ["apache-notice"]),
+    ("Released under the MIT License.", "MIT", ["mit-notice"]),
+    ("""This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""", "GPL-3.0-or-later", ["gpl-3-later"]),
+    ("""This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as
+published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.""", "GPL-2.0-or-later", ["gpl-2-later"]),
+    ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0-only", ["gpl-3-notice"]),
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0-only", ["gpl-2-notice"]),
+    ("Licensed under CC BY-NC 4.0", "CC-BY-NC-4.0", ["cc-by-nc-notice"]),
+    ("Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0", ["cc-by-sa-notice"]),
+    ("Licensed under CC BY 4.0.", "CC-BY-4.0", ["cc-by-notice"]),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "MPL-2.0", ["mpl-2-notice"]),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense", ["unlicense"]),
+]
+
+
+@pytest.mark.parametrize("width, start, end", [(72, "", "\n"), (76, " * ", "\r\n"), (30, "# ", "\n"), (100_000, "", "\n")])
+def test_license_rules_match_their_wrapped_notices(spark, width, start, end):
+    def laid(notice):
+        lines = [line for part in notice.split("\n\n") for line in [*textwrap.wrap(part, width, break_on_hyphens=False, break_long_words=False), ""]]
+        return end.join(start + line for line in ["Some program.", *lines, "The end."])
+
+    assert [licence for _, licence in license_scan.RULES] == [licence for _, licence, _ in NOTICES]
+    got = license_scan.scan(documents(spark, [laid(notice) for notice, _, _ in NOTICES])).collect()
+    for r in got:
+        _, licence, ids = NOTICES[r.doc_id]
+        assert (r.licences, r.sentences, r.unmatched) == ([licence], ids, 0)
+
+
+def test_license_sentences_keep_their_places(spark):
+    texts = [
+        "Intro. This program is free software: you can\nredistribute\nit and/or modify. Odd licence.\nReleased under the\nMIT License.",
+        "You may obtain a copy of the License at https://x.org/LICENSE Unless required by applicable law or agreed to in writing, "
+        'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, '
+        "either express or implied.",
+        "See https://x.org/license for the licence.\nhttps://x.org/license\nNot released under the MIT License.", "put in the public\ndomain",
+        "Released under the MIT License.\nhttps://x.org/license", "Released under the MIT License.\nOdd licence.\nAll rights\nreserved",
+    ]
+    got = {r.doc_id: r for r in license_scan.scan(documents(spark, texts)).collect()}
+    told = [(list(zip(got[k].sentences, got[k].places, strict=True)), got[k].licences, got[k].unmatched) for k in range(len(texts))]
+    assert told == [
+        ([("unknown", 1), ("unknown", 3), ("unknown", 5), ("mit-notice", 6)], ["MIT"], 3),
+        ([("apache-copy", 0), ("unknown", 0), ("apache-as-is", 0)], [], 2),
+        ([("unknown", 0), ("unknown", 1), ("unknown", 2)], [], 3),
+        ([("unknown", 0)], [], 1),
+        ([("mit-notice", 0), ("unknown", 1)], ["MIT"], 1),
+        ([("mit-notice", 0), ("unknown", 1), ("reserved", 2)], ["MIT"], 2),
+    ]
+
+
 def test_packing_round_trip(spark):
     docs = documents(spark, [*TEXTS, "again", "again"], [*range(len(TEXTS)), 50, 50])
     got = packing.pack(docs, tokenizer_path()).toPandas()
