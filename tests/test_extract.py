@@ -35,3 +35,20 @@ def test_latency_ranks_of_repeated_values(spark):
     rows = spark.createDataFrame([("e", v, 200, i) for i, v in enumerate(values)], "endpoint string, latency_ms double, status int, s int")
     out = G.request_latency_report(rows.withColumn("ts", F.timestamp_seconds("s"))).first()
     assert (out["p50_ms"], out["p95_ms"], out["p99_ms"], out["max_ms"]) == (5.0, 7.5, 9.0, 100.0)
+
+
+def test_rows_of_long_grids_have_positions_of_their_own(spark):
+    head = "| Name | City |\n| --- | --- |"
+    grid = lambda n, name: head + "".join(f"\n| {name}{k} | Rome |" for k in range(n))
+    tables = spark.createDataFrame(
+        [("D1", 0, grid(100_005, "a")), ("D1", 1, grid(2, "b")), ("D1", 2, "no grid"), ("D2", 1, grid(100_000, "c")), ("D2", 2, grid(2, "d")),
+         (None, 0, grid(100_005, "e")), (None, 1, grid(1, "f"))],
+        "doc_id string, table_ord int, markdown string",
+    )
+    got = E.extract_from_tables(tables, ["name"]).select("scope_id", "row_ord", "name").toPandas().fillna({"scope_id": "null"})
+    for scope, wanted in [("D1", [*(f"a{k}" for k in range(100_005)), "b0", "b1"]), ("null", [*(f"e{k}" for k in range(100_005)), "f0"])]:
+        own = got[got.scope_id == scope].sort_values("row_ord")
+        assert own.row_ord.is_unique and own.name.tolist() == wanted
+    # documents without a grid that long keep their positions
+    own = got[got.scope_id == "D2"].sort_values("row_ord")
+    assert own.row_ord.tolist() == [*range(100_000, 200_000), 200_000, 200_001]
