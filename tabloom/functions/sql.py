@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from tabloom.functions.expr import FLOAT_GRAMMAR, DATE_SEARCH
+from tabloom.functions.expr import DATE_SEARCH, FLOAT_GRAMMAR, MONTH_FIRST, NAMED_LAYOUTS, NUMERIC_LAYOUTS, RARE_SPACES, SPACES
 from tabloom.schema import MARKERS_CORE
 
 _SPACES = r" \t\n\r"
@@ -14,6 +14,24 @@ def _text(value: str) -> str:
     return "r'" + value + "'" if "'" not in value else '"' + value.replace("\\", "\\\\") + '"'
 
 
+def _escaped(value: str) -> str:
+    return "'" + "".join(f"\\u{ord(c):04X}" for c in value) + "'"
+
+
+def _rewritten(text: str, layouts: tuple[tuple[str, str], ...]) -> str:
+    for pattern, iso in layouts:
+        text = f"regexp_replace({text}, {_text(pattern)}, '{iso}')"
+    return text
+
+
+def _to_date(text: str, layout: str) -> str:
+    return f"CAST(try_to_timestamp({text}, '{layout}') AS DATE)"
+
+
+_DIGITS = r"regexp_replace(t, r'\D', '')"
+_EIGHT = f"CASE WHEN length({_DIGITS}) = 8 THEN {_DIGITS} END"
+_NAMED = rf"initcap(regexp_replace(replace({_rewritten('t', NAMED_LAYOUTS)}, '-', ' '), r'^(\d{{4}} [A-Za-z]{{3}})[a-z]*', '$1'))"
+
 FUNCTIONS = {
     "is_filled": (
         "x STRING", "BOOLEAN",
@@ -32,6 +50,10 @@ FUNCTIONS = {
         r" r'(?i)(?:trillion|billion|million|thousand|[tbmk])$', ''), r'^-+', '') RLIKE " + _text(FLOAT_GRAMMAR),
     ),
     "parses_as_date": ("x STRING", "BOOLEAN", "coalesce(x, '') RLIKE " + _text(DATE_SEARCH)),
+    "parse_date": (
+        "x STRING", "DATE",
+        f"date_of_text(regexp_replace(translate(btrim(coalesce(x, ''), {_escaped(SPACES)}), {_escaped(RARE_SPACES)}, '{' ' * len(RARE_SPACES)}'), r'\\s+', ' '))",
+    ),
     "clean_amount": (
         "x STRING", "STRING",
         "format_string('%.2f', coalesce(CASE WHEN btrim(coalesce(x, '')) LIKE '(%)' THEN -1 ELSE 1 END"
@@ -48,7 +70,16 @@ FUNCTIONS = {
     ),
 }
 # brackets mean negative whatever the sign inside
-FUNCTIONS = {"abs_or_same": ("v DOUBLE, b BOOLEAN", "DOUBLE", "CASE WHEN b THEN abs(v) ELSE v END"), **FUNCTIONS}
+FUNCTIONS = {
+    "abs_or_same": ("v DOUBLE, b BOOLEAN", "DOUBLE", "CASE WHEN b THEN abs(v) ELSE v END"),
+    # the layouts of expr.parse_date, over text with single spaces
+    "date_of_text": (
+        "t STRING", "DATE",
+        f"coalesce({_to_date(_rewritten('t', NUMERIC_LAYOUTS), 'yyyy-M-d')}, {_to_date(_rewritten('t', ((MONTH_FIRST, '$4-$3-$1'),)), 'yyyy-M-d')},"
+        f" {_to_date(_NAMED, 'yyyy MMM d')}, {_to_date(_EIGHT, 'yyyyMMdd')}, {_to_date(_EIGHT, 'MMddyyyy')})",
+    ),
+    **FUNCTIONS,
+}
 
 
 def register(spark: SparkSession) -> list[str]:

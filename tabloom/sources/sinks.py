@@ -76,6 +76,14 @@ def export_accounting_csv(df: DataFrame) -> DataFrame:
     return rows.filter("Date is not null and Description != ''")
 
 
+def write_accounting_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write the accounting export as CSV in parallel, a folder per scope; rows keep their order inside each file."""
+    rows = export_accounting_csv(df).sortWithinPartitions(SCOPE, ORD).select(SCOPE, "Date", "Description", "Amount")
+    rows.write.mode(mode).partitionBy(SCOPE).csv(
+        path, header=True, emptyValue="", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+
+
 def statement_entries(df: DataFrame, chunk_rows: int = 65536) -> DataFrame:
     """Statement entries per scope: running number in input order, type by sign, id from date and number."""
     day = X.parse_date("Date")

@@ -6,6 +6,7 @@ from xml.etree import ElementTree
 from pyspark.sql import functions as F
 
 from tabloom.functions import expr as X
+from tabloom.functions import sql
 from tabloom.operators import records as R
 from tabloom.operators.quality import key_columns, quality_report
 from tabloom.schema import records_type
@@ -81,6 +82,22 @@ def test_dates(spark):
     assert [(r[0], None if r[1] is None else str(r[1])) for r in df.select("v", X.parse_date("v")).collect()] == cases
 
 
+def test_dates_in_sql_are_those_of_columns(spark):
+    sql.register(spark)
+    values = ["3/4/2021", "25/12/2020", "1-2-75", "1-2-68", "March 5, 2020", "5 Sep 2020", "5-sept-2020", "20200131", "12312020", "2/30/2020", "soon",
+              None, "", " 3/4/2021\t", "\u00a0March\u2003 5 2020", "2021/3/4", "13/13/2020", "MAY 1, 1999", "a 20200131 b", "31/4/21"]
+    df = spark.createDataFrame([(v,) for v in values], "v string").select("v", X.parse_date("v").alias("a"), F.expr("parse_date(v)").alias("b"))
+    rows = df.collect()
+    assert [r.b for r in rows] == [r.a for r in rows] and sum(r.b is not None for r in rows) >= 12
+
+
+def test_accounting_csv_is_written(spark, tmp_path):
+    df = frame(spark, ["Date", "Description", "Amount"], [("3/4/2021", 'Fee, "monthly"', "(12.5)"), ("soon", "x", "1"), ("2021-03-05", "", "2"), ("20200131", "Rent", "$1,000")])
+    sinks.write_accounting_csv(df, str(tmp_path / "out"))
+    got = spark.read.csv(str(tmp_path / "out"), header=True, escape='"').select("scope_id", "Date", "Description", "Amount").collect()
+    assert sorted(map(tuple, got)) == [("s", "01/31/2020", "Rent", "1000.00"), ("s", "03/04/2021", 'Fee  "monthly"', "-12.50")]
+
+
 def test_names_and_tags(spark):
     df = spark.createDataFrame([("Docs <d+team-K1@x.org>, e+z_9@x.org", "Élodie Durand")], "t string, n string")
     row = df.select(X.tag_candidates("t").alias("t"), X.slug_name("n").alias("n"), X.humanise(F.lit("Page2[0].Loss[0].yearBuilt_A1[0]")).alias("h")).first()
