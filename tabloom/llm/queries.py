@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import (
-    bloom_cascade, chat_format, license_scan, mixing, multi_index, ngram_join, order_minhash, packing, quality_model, training_order,
+    bloom_cascade, chat_format, license_scan, merkle, mixing, multi_index, ngram_join, order_minhash, packing, quality_model, training_order,
 )
 from tabloom.session import scratch_path
 
@@ -168,3 +168,63 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_license_scan")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op11_merkle_manifest", r"""
+WITH RECURSIVE fields AS (
+  SELECT doc_id, source, text,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    coalesce(list_reduce(
+      list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+      lambda c, e: xor(xor(c, e) >> 1, 3988292384::BIGINT * (xor(c, e) & 1))
+    ) % 2 = 1, false) AS even
+  FROM documents
+), leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN even THEN replace(text, chr(10), '') ELSE text END AS later, head FROM fields
+), placed AS (
+  SELECT *, sha256(head || coalesce(strlen(later) || ':' || later, '-')) AS other,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM leaves
+), nodes AS (
+  SELECT 0 AS level, tree, pos, leaf AS digest, count(*) OVER (PARTITION BY tree) AS size FROM placed
+  UNION ALL
+  SELECT level + 1, tree, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (min(size) + 2) // 3 FROM nodes WHERE size > 1 GROUP BY level, tree, pos // 3
+), subroots AS (
+  SELECT tree, digest, level FROM nodes WHERE size = 1
+), tops AS (
+  SELECT 0 AS level, tree AS pos, digest, count(*) OVER () AS size FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (min(size) + 2) // 3 FROM tops WHERE size > 1 GROUP BY level, pos // 3
+), steps AS (
+  SELECT level, tree, pos // 3 AS run, pos, digest FROM nodes WHERE size > 1
+), top_steps AS (
+  SELECT t.level + s.level AS level, s.tree, t.pos // 3 AS run, t.pos, t.digest, t.level AS above FROM tops t CROSS JOIN subroots s WHERE t.size > 1
+), paths AS (
+  SELECT p.tree, p.pos AS leaf_pos, s.level, s.pos, s.digest, p.pos // (3 ** s.level)::BIGINT AS own
+  FROM placed p JOIN steps s ON s.tree = p.tree AND s.run = p.pos // (3 ** (s.level + 1))::BIGINT
+  UNION ALL
+  SELECT p.tree, p.pos, s.level, s.pos, s.digest, p.tree // (3 ** s.above)::BIGINT
+  FROM placed p JOIN top_steps s ON s.tree = p.tree AND s.run = p.tree // (3 ** (s.above + 1))::BIGINT
+), sides AS (
+  SELECT tree, leaf_pos, level, coalesce(string_agg(digest, '' ORDER BY pos) FILTER (pos < own), '') AS before,
+    coalesce(string_agg(digest, '' ORDER BY pos) FILTER (pos > own), '') AS after
+  FROM paths GROUP BY tree, leaf_pos, level
+), proofs AS (
+  SELECT tree, leaf_pos, sha256(string_agg(before || after, '' ORDER BY level)) AS proof FROM sides GROUP BY tree, leaf_pos
+), folds AS (
+  SELECT tree, pos AS leaf_pos, 0 AS level, other AS digest FROM placed
+  UNION ALL
+  SELECT f.tree, f.leaf_pos, f.level + 1, sha256(s.before || f.digest || s.after)
+  FROM folds f JOIN sides s ON s.tree = f.tree AND s.leaf_pos = f.leaf_pos AND s.level = f.level
+), ends AS (
+  SELECT tree, leaf_pos, arg_max(digest, level) AS digest FROM folds GROUP BY tree, leaf_pos
+)
+SELECT p.doc_id, p.leaf, s.digest AS subroot, r.digest AS root, coalesce(q.proof, sha256('')) AS proof_sha256, e.digest AS folded_root,
+  e.digest = r.digest AS verified
+FROM placed p JOIN subroots s ON s.tree = p.tree CROSS JOIN (SELECT digest FROM tops WHERE size = 1) r
+LEFT JOIN proofs q ON q.tree = p.tree AND q.leaf_pos = p.pos JOIN ends e ON e.tree = p.tree AND e.leaf_pos = p.pos
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, {"text": merkle.without_line_ends(F.col("doc_id"), F.col("text"))})
