@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import (
-    bloom_cascade, chat_format, license_scan, merkle, mixing, multi_index, ngram_join, order_minhash, packing, quality_model, training_order,
+    bloom_cascade, chat_format, lexical, license_scan, merkle, mixing, multi_index, ngram_join, order_minhash, packing, quality_model, training_order,
 )
 from tabloom.session import scratch_path
 
@@ -228,3 +228,30 @@ LEFT JOIN proofs q ON q.tree = p.tree AND q.leaf_pos = p.pos JOIN ends e ON e.tr
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return merkle.manifest(docs, {"text": merkle.without_line_ends(F.col("doc_id"), F.col("text"))})
+
+
+@query("op13_ranked_search", r"""
+WITH words AS (
+  SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)
+), counted AS (
+  SELECT r, doc_id, term, count(*) AS tf FROM words GROUP BY r, doc_id, term
+), sizes AS (
+  SELECT r, sum(tf)::BIGINT AS n FROM counted GROUP BY r
+), corpus AS (
+  SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM sizes
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), weights AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM counted GROUP BY term), corpus
+), scored AS (
+  SELECT a.item_id, c.r, c.doc_id, sum(w.w * ((1000000000 * c.tf) // (1000 * c.tf + 8 * (100 - 90 + (90 * s.n * k.docs) // k.total))))::BIGINT AS score
+  FROM asked a JOIN counted c ON c.term = a.term JOIN weights w ON w.term = a.term JOIN sizes s ON s.r = c.r CROSS JOIN corpus k
+  GROUP BY a.item_id, c.r, c.doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 10
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
