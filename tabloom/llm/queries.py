@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import (
-    bloom_cascade, chat_format, lexical, license_scan, merkle, mixing, multi_index, ngram_join, order_minhash, packing, quality_model, training_order,
+    bloom_cascade, chat_format, lexical, license_scan, merkle, mixing, multi_index, ngram_join, order_minhash, packing, quality_model, string_kernel, training_order,
 )
 from tabloom.session import scratch_path
 
@@ -255,3 +255,11 @@ SELECT * FROM ranked WHERE rank <= 10
 """)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_toxicity")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(string_kernel.crc_of(F.col("doc_id")) % 5 == 0, F.lit(False)).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(string_kernel.crc_of(F.col("doc_id")) % 5 != 0)
+    model = string_kernel.fit_on(docs.filter("not held_out"), labels)
+    return string_kernel.score(docs, model).select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
