@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions import expr as X
+from tabloom.operators import folds
+from tabloom.operators.scan import counter, gathered, matched, starts
 from tabloom.operators.skew import running, running_total
+from tabloom.session import cut_lineage
 
 # Plans with monthly price in cents, pages per month and overage in cents per page.
 TIERS = (
@@ -21,6 +27,8 @@ MARKUP = 1.2
 REMOVED_TOKEN_PRICE = 0.05 / 1_000_000
 OCR_PAGE_PRICE = 0.001
 PERIOD_DAYS = 30
+#: Parts of a unit of money that balances are counted in.
+UNITS = 1_000_000
 FORM_FILL_PAGES = 5
 PROPOSAL_PAGES = 25
 
@@ -126,9 +134,9 @@ def hour_of(ts: str = "ts") -> Column:
     return F.date_trunc("hour", ts)
 
 
-def running_usage(events: DataFrame) -> DataFrame:
-    """Cumulative pages per user and period, in event order."""
-    return running_total(events, ["user_id", "period"], hour_of(), ["ts", "event_id"], {"used_after": F.col("pages")})
+def running_usage(events: DataFrame, used: DataFrame | None = None) -> DataFrame:
+    """Cumulative pages per user and period, in event order, from 0 or from `used` (user_id, period, state)."""
+    return counter(events, ["user_id", "period"], ["ts", "event_id"], F.col("pages"), "used_after", used)
 
 
 def overage_added(mode: str, used_after: Column, pages: Column, cap: Column) -> Column:
@@ -142,65 +150,58 @@ def overage_added(mode: str, used_after: Column, pages: Column, cap: Column) ->
     raise ValueError(f"unknown overage mode {mode}")
 
 
-def admit_usage(events: DataFrame, mode: str = "new_excess") -> DataFrame:
+def admit_usage(events: DataFrame, mode: str = "new_excess", used: DataFrame | None = None) -> DataFrame:
     """Admit or refuse page requests (user_id, period, ts, event_id, pages, tier), in order.
 
     Paid plans are always admitted: a running sum. The free plan refuses a request that would pass its cap, and a
-    refused request does not count. Its state is a number of pages up to the cap, so each hour of a user becomes a
-    table from every possible start to its end; these tables are chained per user, then every hour is replayed from its
-    known start. No user is ever gathered beyond one hour plus one small table per hour.
+    refused request does not count. Its state is a number of pages up to the cap, so a run of requests is a table from
+    every possible start to its end; tables are put one after the other as `scan.starts` does, then every run is replayed from its
+    start. `used` gives the pages used before (user_id, period, state). Null and negative pages of the free plan count as 0.
     """
     paid = events.filter(tier_of("tier") != "free")
     free = events.filter(tier_of("tier") == "free")
-    counted = running_usage(paid)
+    counted = running_usage(paid, used)
     extra = overage_added(mode, F.col("used_after"), F.col("pages"), tier_pages("tier"))
     settled = counted.select(*events.columns, F.lit(True).alias("admitted"), "used_after", extra.cast("bigint").alias("overage_pages"))
 
     cap = TIERS[0][2]
     keys = ["user_id", "period"]
-    hours = free.withColumn("_hour", hour_of()).groupBy(*keys, "_hour").agg(
-        F.array_sort(F.collect_list(F.struct("ts", "event_id", "pages"))).alias("_e")
-    )
-
-    def take(used: Column, e: Column) -> Column:
-        return F.when(used + e["pages"] <= cap, used + e["pages"]).otherwise(used)
-
-    starts = F.sequence(F.lit(0).cast("bigint"), F.lit(cap).cast("bigint"))
-    tabled = hours.withColumn("_to", F.transform(starts, lambda s: F.aggregate("_e", s, take)))
-    chain = tabled.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_hour", "_to"))).alias("_h"))
-    begun = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<_hour:timestamp,start:bigint>>").alias("out"))
-    walked = F.aggregate(
-        "_h", begun,
-        lambda a, h: F.struct(
-            F.element_at(h["_to"], (a["used"] + 1).cast("int")).alias("used"),
-            F.concat(a["out"], F.array(F.struct(h["_hour"].alias("_hour"), a["used"].alias("start")))).alias("out"),
-        ),
-    )
-    opened = chain.select(*keys, F.inline(walked["out"]))
-    first = F.struct(F.col("start").alias("used"), F.array().cast("array<struct<event_id:bigint,admitted:boolean,used_after:bigint>>").alias("out"))
+    runs = cut_lineage(gathered(free.withColumn("pages", F.col("pages").cast("bigint")), keys, ["ts", "event_id"], ["pages"]))
+    names = [*keys, "_task", "_run"]
 
-    def replay(a: Column, e: Column) -> Column:
-        fits = a["used"] + e["pages"] <= cap
-        used = F.when(fits, a["used"] + e["pages"]).otherwise(a["used"])
-        row = F.struct(e["event_id"].alias("event_id"), fits.alias("admitted"), used.alias("used_after"))
-        return F.struct(used.alias("used"), F.concat(a["out"], F.array(row)).alias("out"))
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages, _ = folds.padded(batch.column("rows"), "pages")
+            out = [row.astype("<i4").tobytes() for row in folds.admission_table(pages, cap)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(out, pa.binary())], names=[*names, "element"])
 
-    decided = hours.join(opened, [*keys, "_hour"]).select(*keys, F.inline(F.aggregate("_e", first, replay)["out"]))
-    judged = free.join(decided, [*keys, "event_id"]).select(
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column("rows")
+            pages, inside = folds.padded(rows, "pages")
+            fits, after = folds.admitted(pages, batch.column("state").to_numpy(), cap)
+            owner = np.repeat(np.arange(len(rows)), inside.sum(axis=1))
+            told = [batch.column(k).take(pa.array(owner)) for k in keys]
+            yield pa.RecordBatch.from_arrays(
+                [*told, rows.flatten().field("event_id"), pa.array(fits[inside]), pa.array(after[inside])], names=[*keys, "event_id", "admitted", "used_after"]
+            )
+
+    kinds = {f.name: f.dataType.simpleString() for f in runs.schema.fields}
+    told = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    elements = runs.mapInArrow(tables, f"{told}, _task bigint, _run bigint, element binary")
+    opened = starts(elements, keys, folds.compose_tables, folds.move_by_table, used)
+    begun = matched(runs, opened, names)
+    event = free.schema["event_id"].dataType.simpleString()
+    decided = begun.mapInArrow(replay, f"{told}, event_id {event}, admitted boolean, used_after bigint")
+    judged = matched(free, decided, [*keys, "event_id"]).select(
         *events.columns, "admitted", "used_after", F.lit(0).cast("bigint").alias("overage_pages")
     )
     return settled.unionByName(judged)
 
 
-def refund_usage(events: DataFrame) -> DataFrame:
-    """Counter after charges and refunds (negative `pages`), never below zero.
-
-    A counter with a floor equals the running sum minus its lowest point so far (when below zero): two running folds.
-    """
-    keys, order = ["user_id", "period"], ["ts", "event_id"]
-    summed = running(events, keys, hour_of(), order, {"_sum": ("sum", F.col("pages"))})
-    lowest = running(summed, keys, hour_of(), order, {"_low": ("min", F.col("_sum"))})
-    return lowest.select(*events.columns, (F.col("_sum") - F.least(F.lit(0), "_low")).alias("used_after"))
+def refund_usage(events: DataFrame, used: DataFrame | None = None) -> DataFrame:
+    """Counter after charges and refunds (negative `pages`), never below zero, from 0 or from `used` (user_id, period, state)."""
+    return counter(events, ["user_id", "period"], ["ts", "event_id"], F.col("pages"), "used_after", used, floor=True)
 
 
 def reset_period(users: DataFrame, now: Column) -> DataFrame:
@@ -258,91 +259,69 @@ def balance_events(charges: DataFrame, users: DataFrame) -> DataFrame:
     """Balance after every charge, and the renewals it triggers.
 
     charges: (event_id, user_id, ts, cost); users: (user_id, balance, auto_renew, threshold, refill). `auto_renew` must
-    already include that a payment method is saved. Each hour of a user is reduced to a few pieces that give the end
-    balance for any start; only these are chained per user, then the hours are replayed side by side.
+    already include that a payment method is saved. Amounts are counted in millionths, as costs are rounded; null and negative costs
+    count as 0. Charges of unknown users are left out.
+
+    Up to a user's first renewal the balance is what the running sum of the costs leaves. From then on it lies below
+    threshold plus refill, and a run of charges is a map of balances in a few pieces; the maps are put one after the other as
+    `scan.starts` does, then every run is replayed from its start.
     """
+    keys, order = ["user_id"], ["ts", "event_id"]
 
-    # the helpers are local, so they travel with the job and executors need no package
-    def compose(pieces: list[tuple[float, bool, float]], cost: float, renew: bool, limit: float, refill: float):
-        """Follow one charge: pieces say how the balance depends on the start, as (from, moves with start?, value)."""
-        out: list[tuple[float, bool, float]] = []
-
-        def put(lo: float, moves: bool, value: float) -> None:
-            if not out or out[-1][1:] != (moves, value):
-                out.append((lo, moves, value))
-
-        for i, (lo, moves, value) in enumerate(pieces):
-            hi = pieces[i + 1][0] if i + 1 < len(pieces) else float("inf")
-            if not moves:
-                left = max(0.0, value - cost)
-                put(lo, False, left + refill if renew and left < limit else left)
-                continue
-            empty, low = cost - value, (limit if renew else 0.0) + cost - value
-            if lo < empty:
-                put(lo, False, refill if renew and limit > 0 else 0.0)
-            start = max(lo, empty)
-            if renew and start < min(hi, low):
-                put(start, True, value - cost + refill)
-                start = low
-            if max(start, lo) < hi:
-                put(max(start, lo), True, value - cost)
-        return out
-
-    def summarise(batches):
-        """How each hour of a user changes the balance; the rows of an hour lie together, in order."""
-        key, pieces = None, []
+    def units(amount: str) -> Column:
+        return F.round(F.coalesce(F.col(amount), F.lit(0)) * UNITS).cast("bigint")
+
+    rules = users.select(
+        "user_id", units("balance").alias("_balance"), (F.coalesce("auto_renew", F.lit(False)) & (units("threshold") > 0)).alias("_renews"),
+        units("threshold").alias("_limit"), units("refill").alias("_refill"),
+    )
+    rows = charges.join(rules, "user_id").withColumn("_cost", F.greatest(F.lit(0), units("cost")))
+    spent = cut_lineage(counter(rows, keys, order, F.col("_cost"), "_spent"))
+    left = F.col("_balance") - F.col("_spent")
+    over = F.col("_renews") & (left < F.col("_limit"))
+    first = spent.filter(over).groupBy("user_id").agg(F.min(F.struct(*order, F.greatest(F.lit(0), left) + F.col("_refill"))).alias("_f"))
+    first = first.select("user_id", F.struct("_f.ts", "_f.event_id").alias("_at"), F.col("_f.col3").alias("state"))
+    plain = spent.filter(~over).select(*charges.columns, F.greatest(F.lit(0), left).alias("_after"), F.lit(False).alias("_again"), "_refill")
+    low = spent.filter(over).join(first, "user_id").withColumn("_is_first", F.struct(*order) == F.col("_at"))
+    opening = low.filter("_is_first").select(*charges.columns, F.col("state").alias("_after"), F.lit(True).alias("_again"), "_refill")
+    runs = cut_lineage(gathered(low.filter("not _is_first"), keys, order, ["_cost", "_limit", "_refill"]))
+    names = [*keys, "_task", "_run"]
+
+    def rule(rows: pa.ListArray, field: str) -> np.ndarray:
+        told, _ = folds.padded(rows, field)
+        return told[:, 0] if len(told) else np.zeros(0, dtype=np.int64)
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if (row.user_id, row.hour) != key:
-                    out += [(*key, *p) for p in pieces] if key else []
-                    key, pieces = (row.user_id, row.hour), [(0.0, True, 0.0)]
-                pieces = compose(pieces, row.cost, bool(row.auto_renew), row.threshold, row.refill)
-            yield pd.DataFrame(out, columns=names)
-        yield pd.DataFrame([(*key, *p) for p in pieces] if key else [], columns=names)
-
-    def replay(batches):
-        key, balance = None, 0.0
+            held = batch.column("rows")
+            limit, refill = rule(held, "_limit"), rule(held, "_refill")
+            sizes = held.value_lengths().to_numpy().astype(np.int64)
+            run = np.repeat(np.arange(len(held)), sizes)
+            cost = held.flatten().field("_cost").to_numpy()
+            found = folds.chained(folds.charge_maps(cost, limit[run], refill[run]), sizes, limit + refill)
+            out = folds.to_bytes(found, limit + refill)
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(out, pa.binary())], names=[*names, "element"])
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if (row.user_id, row.hour) != key:
-                    key, balance = (row.user_id, row.hour), row.start
-                balance = max(0.0, balance - row.cost)
-                again = bool(row.auto_renew) and balance < row.threshold
-                balance += row.refill if again else 0.0
-                out.append((row.event_id, row.user_id, balance, row.refill if again else 0.0))
-            yield pd.DataFrame(out, columns=["event_id", "user_id", "balance_after", "renewal"])
-
-    rules = users.select("user_id", F.col("balance").cast("double"), "auto_renew", "threshold", "refill")
-    names = ["user_id", "hour", "lo", "moves", "value"]
-    used = ["user_id", "hour", "event_id", "ts", "cost", "auto_renew", "threshold", "refill"]
-    rows = charges.join(rules, "user_id").withColumn("hour", F.unix_seconds(hour_of().cast("timestamp"))).select(*used, "balance")
-
-    def by_hour(df: DataFrame) -> DataFrame:
-        # the hours of a hot user go to different tasks; inside a task rows stream by, nothing is gathered
-        return df.repartition("user_id", "hour").sortWithinPartitions("user_id", "hour", "ts", "event_id")
-
-    pieces = by_hour(rows.select(*used)).mapInPandas(summarise, "user_id bigint, hour bigint, lo double, moves boolean, value double")
-    hours = pieces.groupBy("user_id", "hour").agg(F.array_sort(F.collect_list(F.struct("lo", "moves", "value"))).alias("p"))
-    chain = hours.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("hour", "p"))).alias("h")).join(rules, "user_id")
-
-    def move(balance: Column, h: Column) -> Column:
-        piece = F.element_at(F.filter(h["p"], lambda q: q["lo"] <= balance), -1)
-        return F.when(piece["moves"], balance + piece["value"]).otherwise(piece["value"])
-
-    begun = F.struct(F.col("balance").alias("b"), F.array().cast("array<struct<hour:bigint,start:double>>").alias("out"))
-    walked = F.aggregate(
-        "h", begun,
-        lambda a, h: F.struct(
-            move(a["b"], h).alias("b"), F.concat(a["out"], F.array(F.struct(h["hour"].alias("hour"), a["b"].alias("start")))).alias("out")
-        ),
-    )
-    opened = chain.select("user_id", F.inline(walked["out"]))
-    replayed = by_hour(rows.select(*used).join(opened, ["user_id", "hour"])).mapInPandas(
-        replay, "event_id bigint, user_id bigint, balance_after double, renewal double"
+            held = batch.column("rows")
+            cost, inside = folds.padded(held, "_cost")
+            after, again = folds.charged(cost, batch.column("state").to_numpy(), rule(held, "_limit"), rule(held, "_refill"))
+            owner = np.repeat(np.arange(len(held)), inside.sum(axis=1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("user_id").take(pa.array(owner)), held.flatten().field("event_id"), pa.array(after[inside]), pa.array(again[inside])],
+                names=["user_id", "event_id", "_after", "_again"],
+            )
+
+    user, event = (charges.schema[c].dataType.simpleString() for c in ("user_id", "event_id"))
+    elements = runs.mapInArrow(maps, f"user_id {user}, _task bigint, _run bigint, element binary")
+    opened = starts(elements, keys, folds.compose_pieces, folds.move_by_pieces, first)
+    begun = runs.join(opened, names).select(*names, "rows", "state")
+    replayed = begun.mapInArrow(replay, f"user_id {user}, event_id {event}, _after bigint, _again boolean")
+    later = low.filter("not _is_first").drop("state").join(replayed, ["user_id", "event_id"]).select(*charges.columns, "_after", "_again", "_refill")
+    return plain.unionByName(opening).unionByName(later).select(
+        *charges.columns, (F.col("_after") / UNITS).alias("balance_after"), F.when(F.col("_again"), F.col("_refill") / UNITS).otherwise(0.0).alias("renewal")
     )
-    return charges.join(replayed, ["event_id", "user_id"])
 
 
 def job_progress(docs: DataFrame) -> DataFrame:
