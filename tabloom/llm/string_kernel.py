@@ -8,7 +8,7 @@ few landmark words, whitened by the landmarks' own kernel matrix.
 
 Labels are of documents, insults of sentences. So the sentences of clean documents are trained on as clean, and of each
 toxic one the sentences that the machine finds toxic, chosen anew in every round. One sentence of each document is trained on a
-second time with a character inserted in each word. A document scores as its worst sentence.
+few times more with a character inserted in each word. A document scores as its worst sentence.
 """
 
 from __future__ import annotations
@@ -29,11 +29,11 @@ from tabloom.llm.batches import record_batch
 from tabloom.session import cut_lineage
 
 #: Documents of each label that the model is fitted on, at most; sentences of each of them, at most.
-SAMPLE = 3000
-SENTENCES = 12
+SAMPLE = 2000
+SENTENCES = 10
 #: Landmark words, at most: words that tell labels apart, and the commonest ones.
-TELLING = 160
-COMMON = 64
+TELLING = 120
+COMMON = 40
 #: Characters that a subsequence may span, its weight by each character inside it, and the power of the word kernel.
 SPAN = 6
 DECAY = 0.8
@@ -44,7 +44,9 @@ WORD_CHARS = 40
 ROUNDS = 6
 #: Log odds of a word above which its sentences count as toxic in the first round.
 TELLING_WEIGHT = 1.5
-PENALTY = 1e-3
+PENALTY = 1e-4
+#: Altered copies of a sentence of each document.
+ALTERED = 3
 #: Words whose scores a task keeps.
 KEPT_WORDS = 1_000_000
 #: Characters of text that are worked on at once.
@@ -79,9 +81,9 @@ def sentences(text: str | None) -> Iterator[list[str]]:
             yield held[a : a + SENTENCE_WORDS]
 
 
-def inserted(word: str) -> str:
+def inserted(word: str, salt: int) -> str:
     """The word with one letter inserted, both chosen by a checksum of the word."""
-    told = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+    told = zlib.crc32(word.encode("utf-8", "surrogatepass"), salt)
     at = 1 + told % max(1, len(word) - 1)
     return word[:at] + chr(97 + (told >> 8) % 26) + word[at:]
 
@@ -339,25 +341,34 @@ def fit_on(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     weight = {w: np.log((b + 0.5) / (toxic + 1)) - np.log((g + 0.5) / (clean + 1)) for w, b, g in telling}
     shared = docs.sparkSession.sparkContext.broadcast((landmarks, weight))
 
+    def chosen(whole: str, first: dict[str, float]) -> list[list[str]]:
+        own = list(sentences(whole)) or [[]]
+        if len(own) <= SENTENCES:
+            return own
+        # those with the most telling words, then spread evenly over the text
+        order = sorted(range(len(own)), key=lambda k: -max((first.get(w, 0.0) for w in own[k]), default=0.0))
+        return [own[k] for k in sorted({*order[: SENTENCES // 2], *np.linspace(0, len(own) - 1, SENTENCES - SENTENCES // 2).astype(int).tolist()})]
+
     def features(batches):
         marks, first = shared.value
         for batch in batches:
-            for ident, label_of, whole in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                own = list(sentences(whole)) or [[]]
-                if len(own) > SENTENCES:
-                    # those with the most telling words, then spread evenly over the text
-                    order = sorted(range(len(own)), key=lambda k: -max((first.get(w, 0.0) for w in own[k]), default=0.0))
-                    own = [own[k] for k in sorted({*order[: SENTENCES // 2], *np.linspace(0, len(own) - 1, SENTENCES - SENTENCES // 2).astype(int).tolist()})]
-                sums = marks.sums(own)
-                least = np.array([max((first.get(w, 0.0) for w in s), default=0.0) for s in own])
-                other = marks.sums([[inserted(w) for w in own[int(np.argmax(least))]]])
+            for begin in range(0, batch.num_rows, 200):
+                part = batch.slice(begin, 200)
+                plain = [chosen(whole, first) for whole in part.column(2).to_pylist()]
+                least = [np.array([max((first.get(w, 0.0) for w in s), default=0.0) for s in own], dtype="<f4") for own in plain]
+                worst = [own[int(np.argmax(told))] for own, told in zip(plain, least, strict=True)]
+                altered = [[inserted(w, salt) for w in s] for s in worst for salt in range(1, ALTERED + 1)]
+                sums = marks.sums([s for own in plain for s in own] + altered).astype("<f4")
+                ends = np.cumsum([len(own) for own in plain])
+                rows = [sums[a:b].tobytes() for a, b in zip(np.append(0, ends), ends)]
                 yield record_batch(
-                    "id label again points least", pa.array([ident] * 2, pa.int64()), pa.array([label_of] * 2, pa.int32()), [0, 1],
-                    pa.array([sums.astype("<f4").tobytes(), other.astype("<f4").tobytes()], pa.binary()),
-                    pa.array([least.astype("<f4").tobytes(), np.zeros(1, dtype="<f4").tobytes()], pa.binary()),
+                    "id label again points least", pa.concat_arrays([part.column(0)] * 2), pa.concat_arrays([part.column(1)] * 2), [0] * len(plain) + [1] * len(plain),
+                    pa.array(rows + [row.tobytes() for row in sums[ends[-1] :].reshape(len(plain), -1)], pa.binary()),
+                    pa.array([t.tobytes() for t in least] + [np.zeros(ALTERED, dtype="<f4").tobytes()] * len(plain), pa.binary()),
                 )
 
-    found = rows.select("_id", "_label", "_text").mapInArrow(features, "id long, label int, again long, points binary, least binary").orderBy("again", "id").collect()
+    found = rows.select("_id", "_label", "_text").mapInArrow(features, "id long, label int, again long, points binary, least binary").collect()
+    found.sort(key=lambda r: (r.again, r.id))
     model = fit(landmarks, [
         (r.label, r.again, np.frombuffer(r.points, dtype="<f4").reshape(-1, len(landmarks.words)), np.frombuffer(r.least, dtype="<f4")) for r in found
     ])
