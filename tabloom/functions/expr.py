@@ -350,10 +350,16 @@ def output_name(c: Column | str) -> Column:
 
 
 def period_end(payload: Column | str) -> Column:
-    """Period end of a subscription event: on the first item, else on top level; epoch seconds."""
-    item = F.get_json_object(col(payload), "$.items.data[0].current_period_end").try_cast("bigint")
-    top = F.get_json_object(col(payload), "$.current_period_end").try_cast("bigint")
-    return F.timestamp_seconds(F.coalesce(F.nullif(item, F.lit(0)), F.nullif(top, F.lit(0))))
+    """Period end of a subscription event in JSON: of the first item, else on top level; epoch seconds as number or text.
+
+    A missing, null or zero value of the item lets the top level speak; broken JSON gives null.
+    """
+    told = F.try_parse_json(col(payload))
+
+    def epoch(path: str) -> Column:
+        return F.nullif(F.try_variant_get(told, path, "bigint"), F.lit(0))
+
+    return F.timestamp_seconds(F.coalesce(epoch("$.items.data[0].current_period_end"), epoch("$.current_period_end")))
 
 
 def humanise(c: Column | str) -> Column:

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tabloom.operators import usage as G
 from tabloom.plans.bindings import spark_text, table, with_clause
 from tabloom.plans.catalog import ORACLES, query
-from tabloom.plans.inbound_queries import ARRIVALS, PROGRESS, S_ARRIVAL_WALK, s_admit
+from tabloom.plans.inbound_queries import ARRIVALS, NOW, PROGRESS, S_ARRIVAL_WALK, S_NOW, s_admit
 from tabloom.session import cut_lineage, scratch_path
-from tabloom.streaming import jobs
+from tabloom.functions import expr as X
+from tabloom.streaming import jobs, keyed
 
 
 def as_stream(df: DataFrame, name: str, order: str, slices: int = 3) -> DataFrame:
@@ -73,6 +74,97 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return last.select("customer", "u.*")
 
 
+def _payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Subscription events with their JSON: the period end on the item, on top level, as text, or behind a zero on the item."""
+    epoch = F.coalesce(F.unix_timestamp("period_end").cast("string"), F.lit("null"))
+    shapes = (
+        ('{"items":{"data":[]},"current_period_end":', '}'),
+        ('{"items":{"data":[{"current_period_end":', '},{"current_period_end":1}]}}'),
+        ('{"items":{"data":[{"current_period_end":0}]},"current_period_end":"', '"}'),
+        ('{"items":{"data":[{"id":"x","current_period_end":', '}]}}'),
+    )
+    told = F.concat(F.lit(shapes[3][0]), epoch, F.lit(shapes[3][1]))
+    for k, (before, after) in enumerate(shapes[:3]):
+        told = F.when(F.col("event_id") % 4 == k, F.concat(F.lit(before), epoch, F.lit(after))).otherwise(told)
+    return table(spark, sf, "sub_events").withColumn("payload", told).drop("period_end")
+
+
+@query("period_end", f"{with_clause('sub_events')} SELECT event_id, strftime(period_end, '%Y-%m-%d %H:%M') AS period_end FROM sub_events")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _payloads(spark, sf).select("event_id", F.date_format(X.period_end("payload"), "yyyy-MM-dd HH:mm").alias("period_end"))
+
+
+@query("subscription_stream", ORACLES["subscription_state"])
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    users = table(spark, sf, "users").select("customer", "subscription_tier")
+    events = _payloads(spark, sf).withColumn("period_end", X.period_end("payload")).drop("payload")
+    updates = run_to_end(keyed.subscription_stream(as_stream(events, "subscriptions", "ts"), users), "update")
+    last = updates.groupBy("customer").agg(F.max_by(F.struct(*[c for c in updates.columns if c not in ("customer", "_batch")]), "_batch").alias("s"))
+    return users.join(last, "customer", "left").select(
+        "customer", F.coalesce("s.tier", "subscription_tier").alias("tier"), "s.status", F.col("s.cancel_at_period_end").cast("string").alias("cancel_at_period_end"),
+        F.date_format("s.period_end", "yyyy-MM-dd").alias("period_end"), "s.sub_id", F.date_format("s.counters_reset_at", "yyyy-MM-dd HH:mm:ss").alias("counters_reset_at"),
+    )
+
+
+def _clocked(spark: SparkSession, parts: list[DataFrame], name: str) -> DataFrame:
+    """A stream of the parts, one trigger each; the last row of a part sets the clock."""
+    path = scratch_path(spark, name)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("reset_period_stream", ORACLES["reset_period"])
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    shape = ["user_id", "ts", "pages_used", "overage_pages", "usage_reset_at", "current_period_end"]
+    users = table(spark, sf, "users").withColumn("ts", F.to_timestamp(F.lit("2023-12-01"))).select(*shape)
+    tick = spark.range(1).select(
+        F.lit(-1).cast("bigint").alias("user_id"), F.to_timestamp(F.lit(NOW)).alias("ts"), F.lit(0).cast("bigint").alias("pages_used"), F.lit(0).cast("bigint").alias("overage_pages"),
+        F.lit(None).cast("timestamp").alias("usage_reset_at"), F.lit(None).cast("timestamp").alias("current_period_end"),
+    )
+    updates = run_to_end(keyed.reset_period_stream(_clocked(spark, [users, tick], "users")), "update").filter("user_id >= 0")
+    last = updates.groupBy("user_id").agg(F.max_by(F.struct("pages_used", "overage_pages", "usage_reset_at"), "_batch").alias("u")).select("user_id", "u.*")
+    return last.withColumn("usage_reset_at", F.date_format("usage_reset_at", "yyyy-MM-dd HH:mm"))
+
+
+CLOCKS = ("2024-01-09 06:00:00", NOW, "2024-02-20 00:00:00")
+S_CLOCKS = "(VALUES " + ", ".join(f"(TIMESTAMP '{c}')" for c in CLOCKS) + ") c(clock)"
+
+
+@query(
+    "expire_documents_stream",
+    f"""{with_clause('stored_files')}, items AS (
+      SELECT 'document' AS kind, doc_id AS item_id, created_at AS ts, expires_at, job_id, doc_id % 5 = 0 AND job_id IS NULL AS later FROM stored_files
+      UNION ALL SELECT 'session', event_id, ts, ts + INTERVAL 1 HOUR, NULL, false FROM events WHERE event_id % 6 = 1)
+    SELECT kind, item_id, strftime(clock, '%Y-%m-%d') AS clock FROM items, {S_CLOCKS}
+    WHERE ts <= clock AND NOT (expires_at < clock AND job_id IS NULL AND NOT (later AND ts + INTERVAL 3 DAY <= clock))""",
+)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Items that are there at each clock time: those that came by then, without what the stream deleted by then."""
+    nothing = F.lit(None).cast("string")
+    files = table(spark, sf, "stored_files").select(F.lit("document").alias("kind"), F.col("doc_id").alias("item_id"), F.lit("stored").alias("event"), F.col("created_at").alias("ts"), "expires_at", "job_id")
+    sessions = table(spark, sf, "events").filter("event_id % 6 = 1").select(
+        F.lit("session").alias("kind"), F.col("event_id").alias("item_id"), F.lit("stored").alias("event"), "ts", (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("expires_at"), nothing.alias("job_id")
+    )
+    taken = files.filter("item_id % 5 = 0 and job_id is null").withColumns({
+        "event": F.lit("assigned"), "ts": F.col("ts") + F.expr("INTERVAL 3 DAY"), "expires_at": F.lit(None).cast("timestamp"), "job_id": F.lit("new job"),
+    })
+    stored = files.unionByName(sessions)
+    items = cut_lineage(stored.unionByName(taken))
+    parts, begun = [], F.to_timestamp(F.lit("1970-01-01"))
+    for told in CLOCKS:
+        clock = F.to_timestamp(F.lit(told))
+        tick = spark.range(1).select(F.lit("tick").alias("kind"), F.col("id").alias("item_id"), F.lit("tick").alias("event"), clock.alias("ts"), clock.alias("expires_at"), nothing.alias("job_id"))
+        parts.append(items.filter((F.col("ts") > begun) & (F.col("ts") <= clock)).unionByName(tick))
+        begun = clock
+    gone = run_to_end(keyed.expire_stream(_clocked(spark, parts, "items")))
+    clocks = spark.createDataFrame([(c,) for c in CLOCKS], "clock string").withColumn("clock", F.to_timestamp("clock"))
+    there = stored.join(F.broadcast(clocks), F.col("ts") <= F.col("clock")).select("kind", "item_id", "clock")
+    dead = gone.select(F.col("kind").alias("_kind"), F.col("item_id").alias("_item"), F.col("clock").alias("_gone"))
+    left = there.join(dead, (F.col("kind") == F.col("_kind")) & (F.col("item_id") == F.col("_item")) & (F.col("_gone") <= F.col("clock")), "left_anti")
+    return left.select("kind", "item_id", F.date_format("clock", "yyyy-MM-dd").alias("clock"))
+
+
 LISTED = """SELECT CAST(doc_id AS STRING) AS file_id, 'f' || CAST(doc_id AS STRING) AS filename, CAST(cycle AS BIGINT) AS cycle,
   'h' || CAST(CASE WHEN doc_id % 4 = 0 THEN cycle ELSE 0 END AS STRING) AS content_mark
   FROM (SELECT *, EACH(1, 2, 3) AS cycle FROM {documents}) c WHERE NOT (cycle = 1 AND doc_id % 3 = 0)"""

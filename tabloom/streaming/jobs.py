@@ -143,8 +143,3 @@ def latest_subscription_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("customer").agg(
         F.max_by(F.struct("event_type", "tier", "status"), F.struct("ts", "event_id")).alias("last"), F.count("*").alias("events")
     ).select("customer", "last.*", "events")
-
-
-def expire_documents_stream(store: DataFrame, now) -> DataFrame:
-    """What stays of a document stream at time `now`."""
-    return I.expire_documents(store, now)
