@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from tabloom.operators import usage as G
 from tabloom.plans.bindings import spark_text, table, with_clause
 from tabloom.plans.catalog import ORACLES, query
 from tabloom.plans.inbound_queries import ARRIVALS, NOW, PROGRESS, S_ARRIVAL_WALK, S_NOW, s_admit
@@ -14,42 +16,76 @@ from tabloom.functions import expr as X
 from tabloom.streaming import jobs, keyed
 
 
-def as_stream(df: DataFrame, name: str, order: str, slices: int = 3) -> DataFrame:
-    """Write a table as files in `order`, one slice after the other, and read them back as a stream in that order."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    sliced = cut_lineage(df.repartitionByRange(slices, order).withColumn("_slice", F.spark_partition_id()))
-    for i in range(slices):
-        sliced.filter(F.col("_slice") == i).drop("_slice").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+class Feed:
+    """Parts of a table that arrive one after the other: each is written whole, then the stream runs until it has read it."""
+
+    def __init__(self, parts: list[DataFrame], name: str):
+        self.spark = parts[0].sparkSession
+        self.parts, self.path = parts, scratch_path(self.spark, name)
+
+    def run(self, start: Callable[[DataFrame], StreamingQuery]) -> None:
+        """`start` starts the same query, with the same checkpoint, on the stream."""
+        for part in self.parts:
+            part.write.mode("append").parquet(self.path)
+            start(self.spark.readStream.schema(part.schema).parquet(self.path)).awaitTermination()
+
 
+def sliced(df: DataFrame, name: str, order: str, slices: int = 3) -> Feed:
+    """A table in `order`, in parts of about the same size."""
+    kind = df.schema[order].dataType.typeName()
+    place = (F.col(order).cast("timestamp") if kind.startswith("timestamp") else F.col(order)).cast("double")
+    bounds = df.select(place.alias("v")).approxQuantile("v", [k / slices for k in range(1, slices)], 0.01) or [0.0] * (slices - 1)
+    edges = [float("-inf"), *bounds, float("inf")]
+    return Feed([df.filter((place > low) & (place <= high)) for low, high in zip(edges[:-1], edges[1:])], name)
 
-def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and return what it wrote."""
-    spark = stream.sparkSession
+
+def run_to_end(feed: Feed, build: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """Run a streaming query over all parts and return what it wrote."""
+    spark = feed.spark
     out, marks = scratch_path(spark, "out"), scratch_path(spark, "marks")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/b={batch_id}")
 
-    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    feed.run(
+        lambda rows: build(rows).writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True).start()
+    )
     return spark.read.parquet(out).drop("b")
 
 
+def fold_to_end(feed: Feed, start: Callable[[DataFrame, str, str, str], StreamingQuery]) -> DataFrame:
+    """Run a query that writes its own output and state over all parts, and return the output."""
+    spark = feed.spark
+    out, state, marks = (scratch_path(spark, n) for n in ("out", "state", "marks"))
+    feed.run(lambda rows: start(rows, out, state, marks))
+    return spark.read.parquet(out)
+
+
 @query(
     "idempotent_stream",
     f"WITH a AS ({ARRIVALS.replace('{events}', 'events')}) SELECT DISTINCT event_key FROM a",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     arrivals = spark.sql(ARRIVALS, events=table(spark, sf, "events"))
-    return run_to_end(jobs.idempotent_stream(as_stream(arrivals, "arrivals", "arrival_id"))).select("event_key")
+    return run_to_end(sliced(arrivals, "arrivals", "arrival_id"), jobs.idempotent_stream).select("event_key")
 
 
 @query("admit_usage_stream", f"SELECT event_id, admitted, used_after FROM ({s_admit('new_excess')})")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    requests = table(spark, sf, "requests").withColumn("paid", G.tier_of("tier") != "free")
-    stream = as_stream(requests, "requests", "ts")
-    return run_to_end(jobs.admit_usage_stream(stream)).select("event_id", "admitted", "used_after")
+    feed = sliced(table(spark, sf, "requests"), "requests", "ts")
+    return fold_to_end(feed, jobs.admit_usage_stream).select("event_id", "admitted", "used_after")
+
+
+@query("refund_usage_stream", ORACLES["refund_usage"])
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return fold_to_end(sliced(table(spark, sf, "refunds"), "refunds", "ts"), jobs.refund_usage_stream).select("event_id", "used_after")
+
+
+@query("balance_stream", ORACLES["balance_events"])
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    users = table(spark, sf, "users").select("user_id", "balance", "auto_renew", F.col("threshold").cast("double"), F.col("refill").cast("double"))
+    out = fold_to_end(sliced(table(spark, sf, "charges"), "charges", "ts"), lambda rows, *places: jobs.balance_stream(rows, users, *places))
+    return out.select("event_id", "user_id", F.round("balance_after", 4).alias("balance_after"), "renewal")
 
 
 @query(
@@ -58,7 +94,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     docs = spark.sql(PROGRESS, orders=table(spark, sf, "orders"))
-    updates = run_to_end(jobs.job_progress_stream(as_stream(docs, "docs", "job_id")), "update")
+    updates = run_to_end(sliced(docs, "docs", "job_id"), jobs.job_progress_stream, "update")
     # the last update of a job stands
     return updates.groupBy("job_id").agg(F.max_by(F.struct("total_docs", "completed_docs", "phase"), "_batch").alias("u")).select("job_id", "u.*")
 
@@ -69,7 +105,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     QUALIFY row_number() OVER (PARTITION BY customer ORDER BY ts DESC, event_id DESC) = 1""",
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    updates = run_to_end(jobs.latest_subscription_stream(as_stream(table(spark, sf, "sub_events"), "subs", "event_id")), "update")
+    updates = run_to_end(sliced(table(spark, sf, "sub_events"), "subs", "event_id"), jobs.latest_subscription_stream, "update")
     last = updates.groupBy("customer").agg(F.max_by(F.struct("event_type", "tier", "status", "events"), "_batch").alias("u"))
     return last.select("customer", "u.*")
 
@@ -98,7 +134,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     users = table(spark, sf, "users").select("customer", "subscription_tier")
     events = _payloads(spark, sf).withColumn("period_end", X.period_end("payload")).drop("payload")
-    updates = run_to_end(keyed.subscription_stream(as_stream(events, "subscriptions", "ts"), users), "update")
+    updates = run_to_end(sliced(events, "subscriptions", "ts"), lambda rows: keyed.subscription_stream(rows, users), "update")
     last = updates.groupBy("customer").agg(F.max_by(F.struct(*[c for c in updates.columns if c not in ("customer", "_batch")]), "_batch").alias("s"))
     return users.join(last, "customer", "left").select(
         "customer", F.coalesce("s.tier", "subscription_tier").alias("tier"), "s.status", F.col("s.cancel_at_period_end").cast("string").alias("cancel_at_period_end"),
@@ -106,14 +142,6 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _clocked(spark: SparkSession, parts: list[DataFrame], name: str) -> DataFrame:
-    """A stream of the parts, one trigger each; the last row of a part sets the clock."""
-    path = scratch_path(spark, name)
-    for part in parts:
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
 @query("reset_period_stream", ORACLES["reset_period"])
 def _(spark: SparkSession, sf: str) -> DataFrame:
     shape = ["user_id", "ts", "pages_used", "overage_pages", "usage_reset_at", "current_period_end"]
@@ -122,7 +150,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(-1).cast("bigint").alias("user_id"), F.to_timestamp(F.lit(NOW)).alias("ts"), F.lit(0).cast("bigint").alias("pages_used"), F.lit(0).cast("bigint").alias("overage_pages"),
         F.lit(None).cast("timestamp").alias("usage_reset_at"), F.lit(None).cast("timestamp").alias("current_period_end"),
     )
-    updates = run_to_end(keyed.reset_period_stream(_clocked(spark, [users, tick], "users")), "update").filter("user_id >= 0")
+    updates = run_to_end(Feed([users, tick], "users"), keyed.reset_period_stream, "update").filter("user_id >= 0")
     last = updates.groupBy("user_id").agg(F.max_by(F.struct("pages_used", "overage_pages", "usage_reset_at"), "_batch").alias("u")).select("user_id", "u.*")
     return last.withColumn("usage_reset_at", F.date_format("usage_reset_at", "yyyy-MM-dd HH:mm"))
 
@@ -157,7 +185,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         tick = spark.range(1).select(F.lit("tick").alias("kind"), F.col("id").alias("item_id"), F.lit("tick").alias("event"), clock.alias("ts"), clock.alias("expires_at"), nothing.alias("job_id"))
         parts.append(items.filter((F.col("ts") > begun) & (F.col("ts") <= clock)).unionByName(tick))
         begun = clock
-    gone = run_to_end(keyed.expire_stream(_clocked(spark, parts, "items")))
+    gone = run_to_end(Feed(parts, "items"), keyed.expire_stream)
     clocks = spark.createDataFrame([(c,) for c in CLOCKS], "clock string").withColumn("clock", F.to_timestamp("clock"))
     there = stored.join(F.broadcast(clocks), F.col("ts") <= F.col("clock")).select("kind", "item_id", "clock")
     dead = gone.select(F.col("kind").alias("_kind"), F.col("item_id").alias("_item"), F.col("clock").alias("_gone"))
@@ -178,16 +206,13 @@ LISTED = """SELECT CAST(doc_id AS STRING) AS file_id, 'f' || CAST(doc_id AS STRI
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     listed = spark.sql(spark_text(LISTED), documents=table(spark, sf, "documents"))
-    path, out, seen, marks = (scratch_path(spark, n) for n in ("listing", "out", "seen", "marks"))
-    for cycle in (1, 2, 3):
-        listed.filter(F.col("cycle") == cycle).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(listed.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    feed = Feed([listed.filter(F.col("cycle") == cycle) for cycle in (1, 2, 3)], "listing")
 
     def process(files: DataFrame) -> DataFrame:
         return files.select("file_id", "content_mark", ((F.col("file_id").cast("bigint") % 5 != 0) | (F.col("cycle") == 3)).alias("done"))
 
-    jobs.ingest_folder(stream, process, out, seen, marks).awaitTermination()
-    return spark.read.parquet(out).select("file_id", "content_mark", "done")
+    out = fold_to_end(feed, lambda rows, *places: jobs.ingest_folder(rows, process, *places))
+    return out.select("file_id", "content_mark", "done")
 
 
 MAIL_STREAM = """SELECT m.arrival_id, m.message_id, m.ts, m.sender, delivered_to, to_addr, cc, x_original_to, envelope_to, filename, file_size
@@ -204,7 +229,6 @@ MAIL_STREAM = """SELECT m.arrival_id, m.message_id, m.ts, m.sender, delivered_to
 )
 def _(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.sql(MAIL_STREAM, mails=table(spark, sf, "mails"), mail_files=table(spark, sf, "mail_files"))
-    store, marks = scratch_path(spark, "store"), scratch_path(spark, "marks")
-    stream = as_stream(rows, "mails", "arrival_id")
-    jobs.ingest_messages(stream, table(spark, sf, "mail_keys"), table(spark, sf, "users"), store, marks).awaitTermination()
-    return spark.read.parquet(store).select("arrival_id", "user_id", "message_id", "filename", "file_size")
+    keys, users = table(spark, sf, "mail_keys"), table(spark, sf, "users")
+    stored = fold_to_end(sliced(rows, "mails", "arrival_id"), lambda arrivals, *places: jobs.ingest_messages(arrivals, keys, users, *places))
+    return stored.select("arrival_id", "user_id", "message_id", "filename", "file_size")
