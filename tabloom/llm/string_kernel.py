@@ -18,6 +18,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -52,7 +53,8 @@ KEPT_WORDS = 1_000_000
 #: Characters of text that are worked on at once.
 SLICE_CHARS = 1_000_000
 
-_END = re.compile(r"(?<=[.!?])\s+|[\n\r]+")
+_END = re.compile(r"[.!?]\s+|[\n\r]+")
+_EDGES = ".,;:!?()[]|\"'-*"
 _NO_WORD = re.compile(r"[\W_]+")
 
 
@@ -62,25 +64,36 @@ def sentences(text: str | None) -> Iterator[list[str]]:
     Three or more single characters in a row are one word.
     """
     for part in _END.split((text or "").lower()):
-        words: dict[str, None] = {}
-        single: list[str] = []
-        for token in [*part.split(), ""]:
-            word = token if token.isalnum() else _NO_WORD.sub("", token) or token
-            if len(word) == 1:
-                single.append(word)
-                continue
-            if single:
-                words.update(dict.fromkeys(["".join(single)] if len(single) > 2 else single))
-                single = []
-            if len(word) > WORD_CHARS:
-                words.update(dict.fromkeys(word[a : a + WORD_CHARS] for a in range(0, len(word), WORD_CHARS // 2)))
-            elif word:
-                words[word] = None
-        held = list(words)
+        tokens = [t if t.isalnum() else _bare(t) for t in part.split()]
+        if not tokens:
+            continue
+        sizes = list(map(len, tokens))
+        if max(sizes) > WORD_CHARS or sizes.count(1) > 2:
+            tokens = _joined(tokens)
+        held = list(dict.fromkeys(tokens))
         for a in range(0, len(held), SENTENCE_WORDS):
             yield held[a : a + SENTENCE_WORDS]
 
 
+def _bare(token: str) -> str:
+    inner = token.strip(_EDGES)
+    return inner if inner.isalnum() else _NO_WORD.sub("", inner) or token
+
+
+def _joined(tokens: list[str]) -> Iterator[str]:
+    """Words of a sentence with runs of single characters or overlong words."""
+    for short, run in groupby(tokens, key=lambda t: len(t) == 1):
+        held = list(run)
+        if short:
+            yield from ["".join(held)] if len(held) > 2 else held
+            continue
+        for word in held:
+            if len(word) > WORD_CHARS:
+                yield from (word[a : a + WORD_CHARS] for a in range(0, len(word), WORD_CHARS // 2))
+            else:
+                yield word
+
+
 def inserted(word: str, salt: int) -> str:
     """The word with one letter inserted, both chosen by a checksum of the word."""
     told = zlib.crc32(word.encode("utf-8", "surrogatepass"), salt)

