@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -273,30 +275,68 @@ def read_time(df: DataFrame) -> DataFrame:
 
 # --- duplicate risk --------------------------------------------------------------------------------------------------
 
-def similar_sets(left: DataFrame, right: DataFrame, at_least: float) -> DataFrame:
-    """Pairs of distinct token sets (key, tokens) whose Jaccard similarity may reach `at_least`.
+#: Words of 64 bits in the bitmap of a set.
+BITMAP = 4
+
 
-    Sets that similar share one of their rarest tokens: only these meet in the join, on the token. A pair is kept at its
-    first shared token, so no distinct step is needed. Columns: left_key, right_key, left_tokens, right_tokens.
+def _postings(values: DataFrame, rarity: DataFrame, side: str, at_least: float) -> DataFrame:
+    """Index rows of sets (id, tokens): their rarest tokens with place, the set's size and a bitmap of its tokens.
+
+    Rows are narrow: a set's tokens stay with its value.
+    """
+    listed = values.select("id", F.explode("tokens").alias("token")).join(rarity, "token")
+    bit = F.pmod(F.xxhash64("token"), F.lit(64 * BITMAP))
+    words = [
+        F.bit_or(F.when(F.floor(bit / 64) == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int"))).otherwise(F.lit(0).cast("bigint"))).alias(f"{side}_m{k}")
+        for k in range(BITMAP)
+    ]
+    # one set's own tokens, at most the words of one text
+    ranked = listed.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ranked"), *words)
+    size = F.size("ranked")
+    prefix = F.slice(F.transform("ranked", lambda r: r["token"]), F.lit(1), size - F.ceil(size * at_least - 1e-9).cast("int") + 1)
+    return ranked.select(
+        F.col("id").alias(f"{side}_id"), size.alias(f"{side}_size"), *[f"{side}_m{k}" for k in range(BITMAP)],
+        F.floor(F.log(size) / -math.log(at_least)).alias("band"), F.posexplode(prefix).alias(f"{side}_place", "token"),
+    )
+
+
+def candidate_sets(left: DataFrame, right: DataFrame, at_least: float) -> DataFrame:
+    """Pairs (left_id, right_id) of sets (id, tokens) whose Jaccard similarity may reach `at_least`; none that does is missing.
+
+    Sets that similar share one of their rarest tokens and lie in the same or neighbouring bands of size, so rows meet on token and
+    band. What can still be shared from the place of a shared token on, and the bits in which the bitmaps differ, bound the
+    overlap before pairs are grouped; the number of shared rare tokens and the place of the last one bound it after that.
     """
     both = left.select("tokens").unionByName(right.select("tokens"))
     rarity = both.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    a = _postings(left, rarity, "left", at_least)
+    b = _postings(right, rarity, "right", at_least).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    sizes = F.col("left_size") + F.col("right_size")
+    need = F.ceil(sizes * (at_least / (1 + at_least)) - 1e-9)
+    rest = F.least(F.col("left_size") - F.col("left_place"), F.col("right_size") - F.col("right_place")) - 1
+    differ = sum((F.bit_count(F.col(f"left_m{k}").bitwiseXOR(F.col(f"right_m{k}"))) for k in range(BITMAP)), F.lit(0))
+    close = (F.col("left_size") >= F.col("right_size") * at_least - 1e-9) & (F.col("right_size") >= F.col("left_size") * at_least - 1e-9)
+    meet = a.join(b, ["token", "band"]).filter(
+        close & (F.least("left_place", "right_place") + 1 + rest >= need) & (sizes - differ >= need * 2)
+    )
+    grouped = meet.groupBy("left_id", "right_id").agg(
+        F.count("*").alias("shared"), F.max("left_place").alias("left_place"), F.max("right_place").alias("right_place"),
+        F.first("left_size").alias("left_size"), F.first("right_size").alias("right_size"),
+    )
+    return grouped.filter(F.col("shared") + rest >= need).select("left_id", "right_id")
 
-    def prefixed(df: DataFrame, side: str) -> DataFrame:
-        listed = df.select("key", "tokens", F.explode("tokens").alias("token")).join(rarity, "token")
-        # one set's own tokens, at most the words of one text
-        sorted_sets = listed.groupBy("key").agg(
-            F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ranked"), F.first("tokens").alias("tokens")
-        )
-        size = F.size("ranked")
-        prefix = F.slice(F.transform("ranked", lambda r: r["token"]), F.lit(1), size - F.ceil(size * at_least - 1e-9).cast("int") + 1)
-        return sorted_sets.select(F.col("key").alias(f"{side}_key"), F.col("tokens").alias(f"{side}_tokens"), prefix.alias(f"{side}_prefix"))
-
-    a, b = prefixed(left, "left"), prefixed(right, "right")
-    meet = a.withColumn("token", F.explode("left_prefix")).join(b.withColumn("token", F.explode("right_prefix")), "token")
-    close = (F.size("left_tokens") >= F.size("right_tokens") * at_least - 1e-9) & (F.size("right_tokens") >= F.size("left_tokens") * at_least - 1e-9)
-    first = F.get(F.array_intersect("left_prefix", "right_prefix"), F.lit(0)) == F.col("token")
-    return meet.filter(close & first).drop("token", "left_prefix", "right_prefix")
+
+def similar_sets(left: DataFrame, right: DataFrame, at_least: float) -> DataFrame:
+    """Pairs of distinct token sets (key, tokens) whose Jaccard similarity may reach `at_least`, with their tokens."""
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.select(F.md5(F.to_json(F.struct("key")).cast("binary")).alias("id"), "key", "tokens")
+
+    a, b = named(left), named(right)
+    pairs = candidate_sets(a.select("id", "tokens"), b.select("id", "tokens"), at_least)
+    lefts = a.select(F.col("id").alias("left_id"), F.col("key").alias("left_key"), F.col("tokens").alias("left_tokens"))
+    rights = b.select(F.col("id").alias("right_id"), F.col("key").alias("right_key"), F.col("tokens").alias("right_tokens"))
+    return pairs.join(lefts, "left_id").join(rights, "right_id").drop("left_id", "right_id")
 
 
 def _values(df: DataFrame, key: list[Column], tokens: Column) -> DataFrame:

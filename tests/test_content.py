@@ -111,3 +111,25 @@ def test_natural_key_of_long_numbers(spark):
     labels = ["a9", "a10", "a" + "9" * 24, "a1" + "0" * 24, "a007", None]
     rows = spark.createDataFrame([(x,) for x in labels], "x string").withColumn("k", X.natural_key("x")).orderBy("k")
     assert [r.x for r in rows.collect()] == [None, "a007", "a9", "a10", "a" + "9" * 24, "a1" + "0" * 24]
+
+
+def test_candidate_sets_lose_no_pair_and_are_few(spark):
+    import random
+
+    rnd = random.Random(8)
+    texts = []
+    for k in range(500):
+        words = [f"w{min(int(rnd.paretovariate(0.6)), 900)}" for _ in range(rnd.randrange(5, 400))]
+        texts.append(words)
+        for _ in range(k % 3):
+            texts.append([w if rnd.random() > 0.04 else f"x{rnd.randrange(50)}" for w in words])
+    sets = {str(k): sorted(set(t)) for k, t in enumerate(texts)}
+    df = spark.createDataFrame(list(sets.items()), "id string, tokens array<string>")
+    for least in (0.6, 0.75, 0.8):
+        got = {(r.left_id, r.right_id) for r in C.candidate_sets(df, df, least).collect()}
+        held = {k: set(v) for k, v in sets.items()}
+        like = {(a, b): len(held[a] & held[b]) / len(held[a] | held[b]) for a in held for b in held}
+        want = {p for p, j in like.items() if j >= least}
+        assert want <= got
+        # what is compared in full follows the similar pairs, not all pairs
+        assert len(got) < 3 * len(want) + 0.05 * len(like)
