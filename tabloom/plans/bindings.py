@@ -36,7 +36,7 @@ def plain(text: str) -> str:
 
 def spark_text(text: str) -> str:
     """Text for Spark."""
-    return re.sub(r"EACH\(([^()]*)\)", r"explode(array(\1))", text).replace("STR_LIST(", "split(")
+    return re.sub(r"EACH\(([^()]*)\)", r"explode(array(\1))", text).replace("STR_LIST(", "split(").replace("* EXCLUDE (", "* EXCEPT (")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -281,6 +281,27 @@ SELECT doc_id, 'doc-' || CAST(doc_id AS STRING) || CASE WHEN doc_id % 41 = 0 THE
 FROM (SELECT *, replace(text, chr(10), ' ') AS flat, split_part(text, chr(10), 1) AS first_line FROM {documents}) d
 """.replace("@LONG", LONG))
 
+# Resources ready to be decided on: whole documents as bodies, in four sections; only what validation asks for is topped up.
+binding("pub", """
+SELECT * EXCLUDE (slug, title, metaTitle, metaDescription, h1, templateType, searchIntent, summary, whoItsFor, commonChallenges, howItWorksSteps, whyItFits, limitations,
+    relatedResources, relatedProductLinks, trustSignals, faq_q, faq_a, sec_b, canonicalUrl, body, part),
+  'doc-' || CAST(doc_id AS STRING) AS slug, 'https://example.org/resources/doc-' || CAST(doc_id AS STRING) AS canonicalUrl,
+  'How to: ' || primaryKeyword || ' ' || CAST(doc_id AS STRING) AS title, 'About ' || left(primaryKeyword, 70) AS metaTitle,
+  'What to know of it, told in a few plain words: ' || primaryKeyword AS metaDescription, 'How to: ' || primaryKeyword AS h1,
+  CASE WHEN doc_id % 2 = 0 THEN 'guide' ELSE 'use_case' END AS templateType, CASE WHEN doc_id % 2 = 0 THEN 'informational' ELSE 'commercial' END AS searchIntent,
+  primaryKeyword || ': ' || summary || CASE WHEN length(summary) < 100 THEN ' ' || substr(body, 1, 200) ELSE '' END AS summary,
+  coalesce(whoItsFor, STR_LIST('Those who keep such records by hand~Those who check them', '~')) AS whoItsFor,
+  STR_LIST('@LONG@LONG@LONG', '~') AS commonChallenges, STR_LIST('@LONG@LONG@LONG', '~') AS howItWorksSteps, STR_LIST('@LONG@LONG', '~') AS whyItFits,
+  coalesce(limitations, STR_LIST('Only some of them~Not the others', '~')) AS limitations, STR_LIST('a~b', '~') AS relatedResources,
+  STR_LIST('Convert~Upload', '~') AS relatedProductLinks, STR_LIST('one~two', '~') AS trustSignals,
+  STR_LIST('What is it?~Why so?~Who does it?~When is it due?~Where does it go?', '~') AS faq_q,
+  STR_LIST(part || '?' || chr(1) || part || '!' || chr(1) || part || ';' || chr(1) || part || ',' || chr(1) || part || '.', chr(1)) AS faq_a,
+  STR_LIST(substr(body, 1, third) || chr(1) || substr(body, third + 1, third) || chr(1) || substr(body, 2 * third + 1, third) || chr(1) || substr(body, 3 * third + 1, length(body)), chr(1)) AS sec_b
+FROM (SELECT *, CAST(floor(length(body) / 4.0) AS INTEGER) AS third, substr(body, 1, 120) AS part
+  FROM (SELECT *, coalesce(array_join_text, '') || CASE WHEN length(coalesce(array_join_text, '')) < 1300 THEN repeat(' ' || primaryKeyword || ' and what is told of it in full', 40) ELSE '' END AS body
+    FROM (SELECT r.*, replace(replace(d.text, chr(1), ' '), chr(10), ' ') AS array_join_text FROM {res} r JOIN {documents} d ON r.doc_id = d.doc_id) j) b) p
+""".replace("@LONG", LONG).replace("array_join_text", "flat").replace("body, part),", "body, part, third, flat),"))
+
 # Form fields: twelve orders make one form.
 binding("form_fields", """
 SELECT CAST(floor(o_orderkey / 12.0) AS BIGINT) AS form_id, CAST(o_orderkey % 12 AS INTEGER) AS ord,

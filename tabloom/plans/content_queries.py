@@ -16,9 +16,9 @@ from tabloom.sources import readers, sinks
 TODAY, BASE_URL = "2024-03-01", "https://example.org"
 
 
-def resources(spark, sf):
-    """The flat binding with its nested columns put together."""
-    df = table(spark, sf, "res")
+def resources(spark, sf, name="res"):
+    """A flat binding with its nested columns put together."""
+    df = table(spark, sf, name)
     score = (F.col("doc_id") % 110).cast("double")
     return df.withColumns({
         "hero": F.struct(
@@ -45,7 +45,7 @@ def s_missing(names) -> str:
     ) + "], lambda e: e IS NOT NULL)"
 
 
-def s_validate() -> str:
+def s_validate(of: str = "res") -> str:
     c = []
     for name, low, high in C.TEXT_BOUNDS:
         size = f"length(coalesce({name}, ''))"
@@ -64,7 +64,7 @@ def s_validate() -> str:
     faq = "list_transform(faq_a, lambda a, i: CASE WHEN coalesce(a, '') = '' OR coalesce(faq_q[i], '') = '' THEN 'faq[' || (i - 1) || '] missing question or answer' END)"
     sec = ("coalesce(list_transform(sec_b, lambda b, i: CASE WHEN coalesce(b, '') = '' THEN 'sections[' || (i - 1) || '] missing heading or body' "
            "WHEN length(b) < 100 THEN 'sections[' || (i - 1) || '] body too short (min 100 chars, got ' || length(b) || ')' END), [])")
-    return f"""{with_clause('res')}, m AS (SELECT *, CASE WHEN templateType IN ('guide', 'industry_insight') THEN {s_missing(C.REQUIRED_EDITORIAL)} ELSE {s_missing(C.REQUIRED)} END AS absent FROM res)
+    return f"""{with_clause(of)}, m AS (SELECT *, CASE WHEN templateType IN ('guide', 'industry_insight') THEN {s_missing(C.REQUIRED_EDITORIAL)} ELSE {s_missing(C.REQUIRED)} END AS absent FROM {of})
     SELECT slug, array_to_string(CASE WHEN len(absent) > 0 THEN absent ELSE list_filter([{', '.join(c)}] || {faq} || {sec}, lambda e: e IS NOT NULL) END, '; ') AS errors FROM m"""
 
 
@@ -86,7 +86,7 @@ def s_pts(test: str, points: int) -> str:
     return f"CASE WHEN {test} THEN {points} ELSE 0 END"
 
 
-def s_scores() -> str:
+def s_scores(of: str = "res") -> str:
     kw = "lower(coalesce(primaryKeyword, ''))"
     words = f"list_filter(regexp_extract_all({kw}, '[a-z0-9]+'), lambda w: length(w) > 1 AND w NOT IN ({', '.join(map(q, X.KEYWORD_STOP_WORDS))}))"
 
@@ -127,7 +127,7 @@ def s_scores() -> str:
         s_pts(f"NOT {ed} AND {s_len('howItWorksSteps')} >= 3", 8), s_pts(f"NOT {ed} AND {s_len('limitations')} >= 2", 8), s_pts(f"NOT {ed} AND {s_len('exampleUseCases')} >= 2", 5),
         s_pts(f"NOT {ed} AND {s_len('trustSignals')} >= 2", 3), s_pts(f"{s_len('relatedResources')} >= 1", 3), s_pts(f"{reps} > 4", -15)])
     b = lambda e: f"CAST(least(100, greatest(0, {e})) AS INTEGER)"
-    return f"""{with_clause('res')}, t AS (SELECT *, {text} AS txt FROM res) SELECT slug, {b('100 + ' + intent)} AS intent, {b('100 + ' + uniq)} AS uniqueness, {b(thin)} AS thin,
+    return f"""{with_clause(of)}, t AS (SELECT *, {text} AS txt FROM {of}) SELECT slug, {b('100 + ' + intent)} AS intent, {b('100 + ' + uniq)} AS uniqueness, {b(thin)} AS thin,
       {b('100 + ' + truth)} AS truthfulness, {b('60 + ' + help_)} AS helpfulness FROM t"""
 
 
@@ -173,31 +173,39 @@ def _(spark, sf):
     return C.duplicate_risk(df, df).withColumn("signals", F.array_join("signals", ","))
 
 
-@query("publish_decisions")
+S_PAIR = """greatest(CASE WHEN same THEN 90 WHEN kj > 0.85 THEN CASE WHEN st THEN 70 ELSE 60 END WHEN kj > 0.7 THEN CASE WHEN st THEN 45 ELSE 30 END ELSE 0 END,
+      CASE WHEN tj > 0.8 THEN 60 ELSE 0 END, CASE WHEN sj > 0.75 THEN 50 ELSE 0 END, CASE WHEN swap THEN CASE WHEN st THEN 60 ELSE 35 END ELSE 0 END)"""
+S_STRICT = " AND ".join(f"{k} {'<=' if k in ('thin', 'duplication') else '>='} {v}" for k, v in C.GATES.items())
+S_LOOSE = " AND ".join(f"{k} {'<=' if k == 'duplication' else '>='} {v}" for k, v in C.LENIENT.items())
+
+
+def s_publish() -> str:
+    """Candidates one by one: each is compared with what is published and with those accepted before it."""
+    return f"""WITH RECURSIVE v AS MATERIALIZED (SELECT * FROM ({s_validate('pub')})), sc AS MATERIALIZED (SELECT * FROM ({s_scores('pub')})),
+    everyone AS MATERIALIZED (SELECT * FROM ({with_clause('pub')} SELECT doc_id, slug, templateType, primaryKeyword, title, summary, indexationStatus = 'published' AS known FROM pub)),
+    words AS MATERIALIZED (SELECT doc_id, slug, known, templateType AS tt, lower(primaryKeyword) AS kw, {S_CW.format(c='primaryKeyword')} AS kl, list_distinct({S_CW.format(c='primaryKeyword')}) AS k,
+      list_distinct({S_CW.format(c='title')}) AS t, list_distinct({S_CW.format(c='summary')}) AS s FROM everyone),
+    sims AS MATERIALIZED (SELECT a.doc_id, b.doc_id AS other, b.known, a.kw = b.kw AND a.kw <> '' AS same, a.tt = b.tt AS st, {s_jac('a.k', 'b.k')} AS kj, {s_jac('a.t', 'b.t')} AS tj, {s_jac('a.s', 'b.s')} AS sj,
+      len(a.kl) = len(b.kl) AND len(a.k) - len(list_intersect(a.k, b.k)) = 1 AND len(b.k) - len(list_intersect(a.k, b.k)) = 1 AND len(list_intersect(a.k, b.k)) >= 3 AS swap
+      FROM words a JOIN words b ON a.slug <> b.slug WHERE NOT a.known),
+    pairs AS (SELECT doc_id, other, known, {S_PAIR} AS r FROM sims),
+    risks AS (SELECT doc_id, coalesce(max(r) FILTER (known), 0) AS base, coalesce(list({{'o': other, 'r': r}}) FILTER (NOT known AND r > 0), []) AS near FROM pairs GROUP BY doc_id),
+    n AS MATERIALIZED (SELECT e.doc_id, e.slug, v.errors = '' AS valid, intent, uniqueness, thin, truthfulness, helpfulness, base, near, row_number() OVER (ORDER BY e.doc_id) AS pos
+      FROM everyone e JOIN v ON v.slug = e.slug JOIN sc ON sc.slug = e.slug JOIN risks k ON k.doc_id = e.doc_id WHERE NOT known),
+    walk AS (SELECT CAST(0 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS taken, 0 AS indexed, CAST(NULL AS BIGINT) AS doc_id, '' AS slug, 0 AS duplication, '' AS decision
+      UNION ALL SELECT pos, CASE WHEN decision IN ('published', 'noindex') THEN list_append(taken, doc_id) ELSE taken END, CASE WHEN decision = 'published' THEN indexed + 1 ELSE indexed END, doc_id, slug, duplication, decision
+      FROM (SELECT *, CASE WHEN NOT valid THEN 'rejected' WHEN len(taken) >= {C.PUBLISH_QUOTA} THEN 'draft' WHEN {S_STRICT} AND indexed < {C.INDEX_QUOTA} THEN 'published'
+          WHEN {S_LOOSE} THEN 'noindex' WHEN NOT ({S_STRICT}) THEN 'rejected' ELSE 'draft' END AS decision
+        FROM (SELECT n.*, w.taken, w.indexed, greatest(n.base, coalesce(list_max(list_transform(list_filter(n.near, lambda x: list_contains(w.taken, x.o)), lambda x: x.r)), 0)) AS duplication
+          FROM walk w JOIN n ON n.pos = w.pos + 1) a) b)
+    SELECT doc_id, slug, CAST(duplication AS INTEGER) AS duplication, decision FROM walk WHERE pos > 0"""
+
+
+@query("publish_decisions", s_publish())
 def _(spark, sf):
-    # resources in the shape that validation asks for, as far as their keywords and lists allow
-    df = resources(spark, sf)
-    def words(c, least):
-        return F.coalesce(c, F.array(*[F.lit(f"A longer note of number {i} on what is meant here") for i in range(least)]))
-    lists = {c: words(c, 4) for c in ("whoItsFor", "limitations", "relatedResources")}
-    keyword = F.col("primaryKeyword")
-    answer = F.concat(keyword, F.lit(" is answered here in a good many words, so nothing stays open"))
-    fixed = df.withColumns({
-        **lists, "slug": F.concat(F.lit("doc-"), F.col("doc_id").cast("string")), "metaTitle": F.concat(F.lit("About "), F.left(keyword, F.lit(70))),
-        "title": F.concat(F.lit("How to: "), keyword, F.lit(" "), F.col("doc_id").cast("string")), "h1": F.concat(F.lit("How to: "), keyword),
-        "metaDescription": F.concat(F.lit("What to know of it, told in a few plain words: "), keyword),
-        "templateType": F.when(F.col("doc_id") % 2 == 0, "guide").otherwise("use_case"),
-        "searchIntent": F.when(F.col("doc_id") % 2 == 0, "informational").otherwise("commercial"),
-        "commonChallenges": words(F.lit(None).cast("array<string>"), 4), "howItWorksSteps": words(F.lit(None).cast("array<string>"), 4),
-        "whyItFits": words(F.lit(None).cast("array<string>"), 3), "trustSignals": F.array(F.lit("one"), F.lit("two")),
-        "relatedProductLinks": F.array(F.struct(F.lit("Go").alias("label"), F.lit("/").alias("url"))),
-        "summary": F.concat(keyword, F.lit(": "), "summary"),
-        "faq": F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.struct(F.concat(F.lit("Question "), i.cast("string")).alias("question"), answer.alias("answer"))),
-        "sections": F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.struct(F.lit("Part").alias("heading"), F.repeat(answer, 5).alias("body"))),
-        "hero": F.struct(F.lit("One").alias("headline"), F.lit("Two").alias("subheadline"), F.lit("Go").alias("primaryCta")),
-    })
-    corpus = df.filter("indexationStatus = 'published'")
-    return C.publish_decisions(fixed.filter("indexationStatus <> 'published'"), corpus, "doc_id")
+    df = resources(spark, sf, "pub")
+    known = F.col("indexationStatus") == "published"
+    return C.publish_decisions(df.filter(~known), df.filter(known), "doc_id")
 
 
 @query(
