@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import expr as X
 from tabloom.operators.quality import key_columns
-from tabloom.operators.skew import attach_stats
+from tabloom.operators.skew import attach_stats, beside
 from tabloom.schema import MARKERS_SHORT, ORD, RECORD_KEYS, SCOPE
 from tabloom.session import cut_lineage
 
@@ -291,9 +291,11 @@ def null_uniform_unmatched(df: DataFrame, fields: list[str], matches: DataFrame,
         .filter("n >= 3 and kinds = 1")
     )
     suspects = uniform.join(matches.filter("not matched").select(SCOPE, "field"), [SCOPE, "field"], "left_semi")
-    absent = suspects.join(texts.filter("text != ''"), SCOPE).filter(
-        ~F.lower("text").contains(F.lower("value"))
-    )
+    # a scope's suspects, at most one per field, come to its texts, which stay where they lie
+    asked = suspects.groupBy(SCOPE).agg(F.collect_set(F.struct("field", F.lower("value").alias("value"))).alias("asked"))
+    told = beside(texts.filter("text != ''").select(SCOPE, F.lower("text").alias("text")), asked, SCOPE)
+    missing = F.transform(F.filter("asked", lambda a: ~F.col("text").contains(a["value"])), lambda a: a["field"])
+    absent = told.select(SCOPE, F.explode_outer(missing).alias("field")).filter("field is not null")
     return _null_fields(df, fields, absent.select(SCOPE, "field"))
 
 

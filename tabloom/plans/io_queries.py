@@ -269,7 +269,7 @@ def _(spark, sf):
       strftime(day, '%Y%m%d') AS posted, amount, strftime(day, '%Y%m%d') || lpad(CAST(number AS VARCHAR), greatest(5, length(CAST(number AS VARCHAR)))::INTEGER, '0') AS entry_id, name FROM n""",
 )
 def _(spark, sf):
-    return sinks.statement_entries(table(spark, sf, "ledger"), chunk_rows=1000)
+    return sinks.statement_entries(table(spark, sf, "ledger"), run_rows=100)
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions import expr as X
-from tabloom.operators.skew import number_rows
+from tabloom.operators.scan import RUN, counter
 from tabloom.schema import ORD, SCOPE, SOURCE
 
 SOURCE_HEADER = "Source File"
@@ -84,16 +84,18 @@ def write_accounting_csv(df: DataFrame, path: str, mode: str = "errorifexists")
     )
 
 
-def statement_entries(df: DataFrame, chunk_rows: int = 65536) -> DataFrame:
-    """Statement entries per scope: running number in input order, type by sign, id from date and number."""
+def statement_entries(df: DataFrame, run_rows: int = RUN) -> DataFrame:
+    """Statement entries per scope: running number in input order, type by sign, id from date and number.
+
+    Rows are numbered by range of scope and position, in runs, whatever the position is made of: a number, or the list of numbers that
+    merged rows carry.
+    """
     day = X.parse_date("Date")
     rows = df.filter(~X.has_error()).select(
         SCOPE, ORD, day.alias("day"), X.clean_amount("Amount").alias("amount"),
         F.substring(X.strip(X.blank("Description")), 1, 32).alias("name"),
     ).filter("day is not null")
-    # merged rows carry a list of numbers that sorts by its first one first
-    place = F.get(ORD, 0) if rows.schema[ORD].dataType.typeName() == "array" else F.col(ORD)
-    numbered = number_rows(rows, [SCOPE], F.floor(place / chunk_rows), [ORD], "number")
+    numbered = counter(rows, [SCOPE], [ORD], F.lit(1), "number", size=run_rows)
     posted = F.date_format("day", "yyyyMMdd")
     kind = F.when(F.col("amount").cast("double") >= 0, "CREDIT").otherwise("DEBIT")
     number = F.col("number").cast("string")

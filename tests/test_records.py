@@ -129,3 +129,13 @@ def test_scope_without_shared_keys_keeps_its_order(spark):
     twice = frame(spark, fields, [*data, ("A1", "1 Dock Street")])
     order = [r["Unit #"] for r in R.merge_by_identifier(twice, fields, keys).orderBy("row_ord").collect()]
     assert order[-1] is None and set(order[:-1]) == {None, "A1", "B2"}
+
+
+def test_statement_of_many_merged_rows_of_one_scope(spark):
+    n = 120_000
+    rows = spark.range(0, n, 1, 8).select(
+        F.lit("a").alias("scope_id"), F.array(F.lit(0).cast("bigint"), (F.col("id") * 7919) % n).alias("row_ord"), F.lit(None).cast("string").alias("error"),
+        F.lit("2024-01-02").alias("Date"), F.lit("x").alias("Description"), F.lit("5").alias("Amount"),
+    )
+    got = sinks.statement_entries(rows).select("row_ord", "number")
+    assert got.filter(F.col("row_ord")[1] + 1 != F.col("number")).count() == 0 and got.count() == n
