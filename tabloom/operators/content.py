@@ -362,11 +362,22 @@ def duplicate_risk(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
     Columns used: slug, templateType, primaryKeyword, title, summary. Values are compared per distinct value, not per
     resource; per value at most one row per kind and level of risk is kept, so many copies of one text stay cheap.
     """
-    template = X.blank("templateType")
-    keyword = F.lower(X.blank("primaryKeyword"))
+    same_rows = corpus is candidates
+
+    def words_of(df: DataFrame) -> DataFrame:
+        """The words that are compared, worked out once: all that follows reads these few columns."""
+        told = [F.lower(X.blank(c)) for c in ("primaryKeyword", "title", "summary")]
+        return cut_lineage(df.select(
+            "slug", told[0].alias("keyword"), X.blank("templateType").alias("template"), X.content_words(told[0]).alias("keyword_words"),
+            *[F.array_sort(X.content_words(c)).alias(f"{c}_words") for c in ("title", "summary")],
+        ))
+
+    candidates = words_of(candidates)
+    corpus = candidates if same_rows else words_of(corpus)
+    keyword, template = F.col("keyword"), F.col("template")
     kw_key = [keyword, template]
     # word order and repeats matter for the swap test, so the value keeps its own text
-    kw_a, kw_b = (_values(df, kw_key, X.content_words(keyword)) for df in (candidates, corpus))
+    kw_a, kw_b = (_values(df, kw_key, F.col("keyword_words")) for df in (candidates, corpus))
     kw_pairs = similar_sets(kw_a.select("key", "tokens"), kw_b.select("key", "tokens"), 0.6).join(
         kw_b.select(F.col("key").alias("right_key"), "low", "high"), "right_key"
     )
@@ -382,8 +393,8 @@ def duplicate_risk(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
     kw_hits = kw_pairs.select(F.col("left_key").alias("key"), "low", "high", F.inline(F.filter(found, lambda s: s.isNotNull())))
 
     def text_hits(column: str, above: float, risk: int) -> DataFrame:
-        words = X.content_words(column)
-        a, b = (_values(df, [F.array_join(F.array_sort(words), " ")], words) for df in (candidates, corpus))
+        words = F.col(f"{column}_words")
+        a, b = (_values(df, [F.array_join(words, " ")], words) for df in (candidates, corpus))
         a = a.groupBy("key").agg(F.first("tokens").alias("tokens"))
         b = b.groupBy("key").agg(F.first("tokens").alias("tokens"), F.min("low").alias("low"), F.max("high").alias("high"))
         pairs = similar_sets(a, b.select("key", "tokens"), above).join(b.select(F.col("key").alias("right_key"), "low", "high"), "right_key")
@@ -398,7 +409,7 @@ def duplicate_risk(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
     ).select(F.struct(F.col("kw").alias("k0")).alias("key"), F.lit(90).alias("risk"), F.lit("keyword_exact").alias("signal"), "low", "high")
 
     def bag(c: str) -> list[Column]:
-        return [F.array_join(F.array_sort(X.content_words(c)), " ")]
+        return [F.array_join(f"{c}_words", " ")]
 
     risks = (
         _fan_out(candidates, [keyword], exact)
