@@ -345,8 +345,13 @@ def token_budget(field_count: Column | int, expected_rows: Column) -> Column:
     return F.least(F.lit(32768), F.greatest(F.lit(12000), F.lit(2000) + n * rows * 18))
 
 
+# Characters that may not stand in a file name.
+UNSAFE_IN_NAMES = r'[\\/:*?"<>|]'
+
+
 def output_name(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), r'[\\/:*?"<>|]', "_")
+    """A name as file name: unsafe characters are `_`, white space around it goes."""
+    return strip(F.regexp_replace(col(c), UNSAFE_IN_NAMES, "_"))
 
 
 def period_end(payload: Column | str) -> Column:
@@ -393,3 +398,9 @@ def natural_key(c: Column | str) -> Column:
         return F.when(piece.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(piece)
 
     return F.array_join(F.transform(pieces, led), "")
+
+
+def natural_order(c: Column | str, ascending: bool = True) -> Column:
+    """Sort order by natural key, upwards or downwards; nulls count as ''."""
+    key = natural_key(c)
+    return key.asc() if ascending else key.desc()

@@ -70,14 +70,10 @@ def apply_extractor(requests: DataFrame, fn: Callable[[Iterator[pd.DataFrame]],
     return requests.mapInPandas(fn, schema)
 
 
-#: Positions from a table to the next.
-TABLE_STEP = 100_000
-
-
 def extract_from_tables(tables: DataFrame, fields: list[str]) -> DataFrame:
     """Built-in extractor: one record per grid row, each field from the first header cell that fits its name.
 
-    Tables are `TABLE_STEP` positions apart, in a document with a longer grid as many as its longest grid has rows.
+    A position is the table's number in the upper 32 bits and the row's in the lower ones, so rows of any grids never share one.
     """
     lines = F.filter(F.split("markdown", "\n"), lambda s: s.startswith("|"))
     rule = F.array_position(F.transform(lines, lambda s: s.rlike(r"^\|\s*-").cast("int")), 1).cast("int")
@@ -95,15 +91,8 @@ def extract_from_tables(tables: DataFrame, fields: list[str]) -> DataFrame:
     )
     placed = grids.select("doc_id", "table_ord", "lines", F.array(*[place(f) for f in fields]).alias("places"))
     body = F.slice("lines", F.lit(3), F.greatest(F.size("lines") - 2, F.lit(0)))
-    # a grid that long has some hundred thousand characters, so its documents are few for the size of the table
-    long = (
-        tables.filter(F.length("markdown") > TABLE_STEP).select("doc_id", lines.alias("lines"), rule.alias("rule"))
-        .filter("rule = 2").groupBy(F.col("doc_id").alias("_doc")).agg(F.max(F.size("lines") - 2).alias("step"))
-        .filter(F.col("step") > TABLE_STEP)
-    )
-    stepped = placed.join(F.broadcast(long), F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    first = F.col("table_ord").cast("bigint") * F.coalesce("step", F.lit(TABLE_STEP))
-    rows = stepped.select("doc_id", first.alias("first"), "places", F.posexplode(body).alias("line_ord", "line")).withColumn(
+    first = F.shiftleft(F.col("table_ord").cast("bigint"), 32)
+    rows = placed.select("doc_id", first.alias("first"), "places", F.posexplode(body).alias("line_ord", "line")).withColumn(
         "cells", F.array(cut(F.col("line")))
     ).select("doc_id", "first", "places", "line_ord", F.explode("cells").alias("cells"))
 

@@ -129,7 +129,7 @@ def _(spark, sf):
 @query(
     "extract_from_tables",
     """WITH g AS (SELECT o_custkey, o_orderkey, o_orderkey % 3 AS kind, unnest(range(0, CASE WHEN o_orderkey % 3 = 2 THEN o_orderkey % 9 ELSE (o_orderkey % 9) * 2 END)) AS line FROM orders WHERE o_orderkey % 3 > 0)
-    SELECT 'D' || o_custkey AS scope_id, o_orderkey * 100000 + line AS row_ord, CASE WHEN kind = 2 THEN CAST(o_orderkey % 40 AS VARCHAR) END AS location_number,
+    SELECT 'D' || o_custkey AS scope_id, o_orderkey * 4294967296 + line AS row_ord, CASE WHEN kind = 2 THEN CAST(o_orderkey % 40 AS VARCHAR) END AS location_number,
       CASE WHEN kind = 2 THEN 'Rome' END AS city, CASE WHEN kind = 1 AND line % 2 = 0 THEN '$' || (o_orderkey % 7) WHEN kind = 1 THEN '1' END AS limit_amount,
       CASE WHEN kind = 1 AND line % 2 = 0 THEN '5' WHEN kind = 1 THEN '3' END AS deductible FROM g""",
 )

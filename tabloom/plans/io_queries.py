@@ -225,14 +225,27 @@ def _(spark, sf):
     SELECT coalesce(source_file, ''), coalesce(order_number, ''), NULL, 'other' FROM recs""",
 )
 def _(spark, sf):
-    path, recs = scratch_path(spark, "append"), table(spark, sf, "recs")
-    sinks.append_records(recs, ["order_number", "segment"], path)
-    same = sinks.append_records(recs, ["order_number", "segment"], path)
-    other = sinks.append_records(recs, ["order_number"], path)
+    folder, recs = scratch_path(spark, "append"), table(spark, sf, "recs")
+    told = ["order_number", "segment"], folder, "Orders: new/old? "
+    sinks.append_pipeline(recs, *told)
+    same = sinks.append_pipeline(recs, *told)
+    other = sinks.append_pipeline(recs, ["order_number"], *told[1:])
     written = spark.read.parquet(same).withColumn("copy", F.lit("same"))
     return written.unionByName(spark.read.parquet(other).withColumn("copy", F.lit("other")), allowMissingColumns=True)
 
 
+FILE_NAMES = """SELECT p_partkey, ' ' || p_name || CASE CAST(p_partkey % 6 AS INTEGER) WHEN 0 THEN ': a/b' WHEN 1 THEN '?*' WHEN 2 THEN ' <"x">|' WHEN 3 THEN chr(92) || 'y' || chr(10) ELSE '' END AS name FROM {part}"""
+
+
+@query(
+    "output_name",
+    f"""WITH n AS ({FILE_NAMES.replace('{part}', 'part')}) SELECT p_partkey, trim(translate(name, '/:*?"<>|' || chr(92), '_________'), ' ' || chr(10)) AS file_name FROM n""",
+)
+def _(spark, sf):
+    names = spark.sql(FILE_NAMES, part=table(spark, sf, "part"))
+    return names.select("p_partkey", X.output_name("name").alias("file_name"))
+
+
 @query(
     "fields_fingerprint",
     f"{with_clause('fieldsets')} SELECT set_id, left(md5(array_to_string(list_sort(list(field)), ',')), 8) AS fingerprint FROM fieldsets GROUP BY set_id",
@@ -318,4 +331,13 @@ SORT_BY = """SELECT p_partkey, CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE p_bra
 )
 def _(spark, sf):
     labels = spark.sql(SORT_BY, part=table(spark, sf, "part"))
-    return labels.withColumn("sort_key", X.natural_key("label")).orderBy("sort_key", "p_partkey")
+    return labels.withColumn("sort_key", X.natural_key("label")).orderBy(X.natural_order("label"), "p_partkey")
+
+
+@query(
+    "natural_sort_descending",
+    rf"""SELECT label FROM ({ORACLES['natural_sort']}) ORDER BY sort_key DESC, p_partkey LIMIT 40""",
+)
+def _(spark, sf):
+    labels = spark.sql(SORT_BY, part=table(spark, sf, "part"))
+    return labels.orderBy(X.natural_order("label", ascending=False), "p_partkey").limit(40).select("label")

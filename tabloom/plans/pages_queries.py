@@ -55,9 +55,9 @@ def _(spark, sf):
 S_ANCHORS = f"""cand AS (SELECT doc_id, 0 AS stage, row_number() OVER (PARTITION BY doc_id ORDER BY page_num) AS r, page_num FROM scored WHERE statement_hits > 0
       UNION ALL SELECT doc_id, 1, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, word_count DESC, page_num), page_num FROM scored WHERE score > 0
       UNION ALL SELECT doc_id, 2, row_number() OVER (PARTITION BY doc_id ORDER BY word_hits DESC, has_numbers DESC, has_dates DESC, word_count DESC, page_num), page_num FROM scored),
-    line AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY stage, r) AS pos FROM cand),
+    line AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY stage, r) AS pos, count(*) FILTER (stage = 0) OVER (PARTITION BY doc_id) >= 5 AS five FROM cand),
     walk(doc_id, pos, acc) AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT), CAST([] AS INTEGER[]) FROM line
-      UNION ALL SELECT w.doc_id, l.pos, CASE WHEN len(w.acc) < 5 AND len(list_filter(w.acc, lambda p: abs(p - l.page_num) <= CASE WHEN l.stage = 0 THEN 0 ELSE 2 END)) = 0
+      UNION ALL SELECT w.doc_id, l.pos, CASE WHEN len(w.acc) < CASE WHEN l.stage = 1 AND l.five THEN 6 ELSE 5 END AND len(list_filter(w.acc, lambda p: abs(p - l.page_num) <= CASE WHEN l.stage = 0 THEN 0 ELSE 2 END)) = 0
         THEN list_append(w.acc, l.page_num) ELSE w.acc END FROM walk w JOIN line l ON l.doc_id = w.doc_id AND l.pos = w.pos + 1),
     anchors AS MATERIALIZED (SELECT doc_id, unnest(acc) AS page_num FROM (SELECT doc_id, arg_max(acc, pos) AS acc FROM walk GROUP BY doc_id))"""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +51,16 @@ def append_target(path: str, existing: list[str] | None, fields: list[str]) -> s
     return path if existing is None or existing == expected else f"{path}_{fields_fingerprint(fields)}"
 
 
+def pipeline_path(folder: str, name: str) -> str:
+    """Place of a pipeline's output: its name without the characters that may not stand in a file name."""
+    return f"{folder}/{re.sub(X.UNSAFE_IN_NAMES, '_', name).strip()}"
+
+
+def append_pipeline(df: DataFrame, fields: list[str], folder: str, name: str, fmt: str = "parquet") -> str:
+    """Append to the output of the pipeline `name` in `folder`, as `append_records` does. Returns the path written."""
+    return append_records(df, fields, pipeline_path(folder, name), fmt)
+
+
 def append_records(df: DataFrame, fields: list[str], path: str, fmt: str = "parquet") -> str:
     """Append to `path`, or to its fingerprinted sibling when the columns there differ. Returns the path written."""
     spark = df.sparkSession

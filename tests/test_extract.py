@@ -49,6 +49,6 @@ def test_rows_of_long_grids_have_positions_of_their_own(spark):
     for scope, wanted in [("D1", [*(f"a{k}" for k in range(100_005)), "b0", "b1"]), ("null", [*(f"e{k}" for k in range(100_005)), "f0"])]:
         own = got[got.scope_id == scope].sort_values("row_ord")
         assert own.row_ord.is_unique and own.name.tolist() == wanted
-    # documents without a grid that long keep their positions
+    # the table's number is in the upper 32 bits, whatever the length of its grid
     own = got[got.scope_id == "D2"].sort_values("row_ord")
-    assert own.row_ord.tolist() == [*range(100_000, 200_000), 200_000, 200_001]
+    assert own.row_ord.tolist() == [*range(1 << 32, (1 << 32) + 100_000), 2 << 32, (2 << 32) + 1]
