@@ -24,12 +24,16 @@ from tabloom.llm.components import connected_components
 from tabloom.llm.shingles import mix, set_id, shingle_sets
 from tabloom.session import cut_lineage
 
-#: Groups of a point: the first for sets under 512 shingles, the next under 4096, the last for the rest.
-GROUPS = (64, 256, 1024)
+#: A point has a group for every so many shingles, a power of two of groups and LEAST_GROUPS at least. Unrelated sets share some
+#: seven tenths of their counts by chance then, whatever their size; linked ones share six sevenths.
+PER_GROUP = 4
+LEAST_GROUPS = 64
 #: A coordinate of 255 stands for any count from there on.
 FULL = 255
 #: Points of one tree; a larger block or class is cut into cells and every pair of cells gets a tree.
 CELL = 4096
+#: Shingles of the sets of a cell of a class, about (8 bytes each); a class with more is cut into more cells.
+CELL_SHINGLES = 4_000_000
 #: A shingle in so many documents goes to the end of the order. Only speed depends on it.
 FREQUENT = 64
 #: At most so many frequent shingles are told apart; they travel as a bit map of BITS bits, whatever the input.
@@ -48,7 +52,7 @@ def prefix_length(n: int) -> int:
 
 
 def groups_of(n: int) -> int:
-    return GROUPS[0] if n < 512 else GROUPS[1] if n < 4096 else GROUPS[2]
+    return max(LEAST_GROUPS, 1 << max(0, -(-n // PER_GROUP) - 1).bit_length())
 
 
 def point_of(ids: np.ndarray) -> np.ndarray:
@@ -147,7 +151,8 @@ def tree_links(points: list[np.ndarray], sizes: np.ndarray, verify: Callable[[in
     classes = Classes(len(sizes))
     widths = np.array([len(p) for p in points])
     for width in np.unique(widths):
-        names = np.flatnonzero(widths >= width)
+        # linked sets have sizes within three quarters of each other, so at most twice the groups
+        names = np.flatnonzero((widths == width) | (widths == 2 * width))
         if len(names) < 2:
             continue
         folded = np.zeros((len(names), width), dtype=np.int32)
@@ -350,7 +355,9 @@ def jaccard_links(docs: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
         return _wanted_sets(asked.value)(batches)
 
     sets = docs.select(text).mapInArrow(wanted, "node long, shingles binary")
-    sized = classes.join(classes.groupBy("root").agg(F.ceil(F.count("*") / CELL).alias("cells")), "root")
+    weighed = classes.join(points.select(F.col("node").alias("id"), "n"), "id").groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("held"))
+    cells = F.least(F.col("sets"), F.greatest(F.ceil(F.col("sets") / CELL), F.ceil(F.col("held") / CELL_SHINGLES))).cast("long")
+    sized = classes.join(weighed.select("root", cells.alias("cells")), "root")
     cell = F.pmod(F.xxhash64("id"), F.col("cells"))
     # a class of one cell gets one tree; more cells meet in pairs
     placed = sized.withColumn("cell", cell).select(
