@@ -30,14 +30,15 @@ def share_out(leaves: DataFrame, levels: list[str], weights: list[Column], budge
     `weights` gives each level's weight of a node, from the level columns down to it; a null, negative or zero weight gets nothing.
     Windows run over nodes of the tree, never over documents.
     """
-    given = leaves.agg(F.least(budget, F.sum("room")).cast("double").alias("given"))
-    parents = given.withColumn("_all", F.lit(0))
-    above: list[str] = ["_all"]
+    # the room of leaves that get nothing is nobody's room: it counts neither in the budget nor for a node above
     held = leaves.withColumn("_all", F.lit(0))
+    for weight in weights:
+        held = held.filter(F.coalesce(weight.cast("double"), F.lit(0.0)) > 0)
+    parents = held.agg(F.least(budget, F.sum("room")).cast("double").alias("given")).withColumn("_all", F.lit(0))
+    above: list[str] = ["_all"]
     for level, weight in zip(levels, weights, strict=True):
         nodes = held.groupBy(*above, level).agg(F.sum("room").cast("double").alias("room"))
-        nodes = nodes.join(parents, above).withColumn("weight", F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(0.0)))
-        nodes = nodes.filter("weight > 0")
+        nodes = nodes.join(parents, above).withColumn("weight", weight.cast("double"))
         # siblings in the order in which a rising level fills them; those that are full at the final level are a prefix
         line = Window.partitionBy(*above).orderBy(F.col("room") / F.col("weight"), level)
         earlier = line.rowsBetween(Window.unboundedPreceding, -1)
