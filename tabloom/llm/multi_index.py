@@ -244,8 +244,11 @@ def _valid(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         packed, dims = [], []
         for vector in batch.column(1).to_pylist():
-            raw = None if vector is None or None in vector else np.array(vector, dtype=np.float32)
+            raw = None if vector is None or None in vector else np.array(vector, dtype=np.float64)
             usable = raw is not None and len(raw) and np.isfinite(raw).all() and raw.any()
+            if usable:
+                # by a power of two: no cosine changes, and no component leaves the range of floats
+                raw = np.ldexp(raw, -int(np.frexp(np.abs(raw).max())[1])).astype(np.float32)
             packed.append((raw + np.float32(0)).tobytes() if usable else None)
             dims.append(len(raw) if usable else None)
         yield record_batch("id vector dim", batch.column(0), pa.array(packed, pa.binary()), pa.array(dims, pa.int32()))
@@ -256,10 +259,11 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
 
     Vectors that are null, empty, zero, or hold nulls or non-finite components, link with nothing, and so do vectors of
     different lengths and rows without id. Equal vectors are one entry of the index with a weight, so copies cost nothing;
-    rows that repeat an id count as further vectors of that id. Other columns don't matter. An empty table gives an
+    rows that repeat an id count as further vectors of that id. Components count with 24 bits beside the largest one of their vector,
+    all that a float has. Other columns don't matter. An empty table gives an
     empty table.
     """
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<float>").alias("vector"))
+    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("vector"))
     packed = cut_lineage(rows.mapInArrow(_valid, "id long, vector binary, dim int"))
     entries = cut_lineage(
         packed.filter("id is not null and vector is not null").groupBy("vector", "dim").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
