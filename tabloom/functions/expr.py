@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import operator
 import re
+import unicodedata
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -251,18 +252,33 @@ def group_key(email: Column | str) -> Column:
     return F.when(domain(email).isin(*CONSUMER_DOMAINS), F.lower(col(email))).otherwise(domain(email))
 
 
+@functools.cache
+def _ascii_folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose compatibility decomposition has ASCII characters, with these: one for one, and one for several."""
+    single, several = {}, {}
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x30000)):
+        letter = chr(code)
+        if unicodedata.decomposition(letter):
+            plain = unicodedata.normalize("NFKD", letter).encode("ascii", "ignore").decode()
+            if plain:
+                (single if len(plain) == 1 else several)[letter] = plain
+    return single, several
+
+
+def ascii_folded(c: Column | str) -> Column:
+    """Letters with marks, wide and styled forms and ligatures as the ASCII characters they are made of; other characters stay."""
+    single, several = _ascii_folds()
+    folded = F.translate(col(c), "".join(single), "".join(single.values()))
+    letters = F.regexp_extract_all(folded, F.lit("(?s)."), F.lit(0))
+    known = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    spelled = F.array_join(F.transform(letters, lambda x: F.coalesce(F.try_element_at(known, x), x)), "")
+    return F.when(folded.rlike("[" + "".join(several) + "]"), spelled).otherwise(folded)
+
+
 def slug_name(c: Column | str, max_len: int = 12, fallback: str = "user") -> Column:
-    """First name token as a mail-safe slug. Accented Latin letters fold to their base letter."""
-    first = F.get(word_list(c), F.lit(0))
-    folded = F.lower(first)
-    # Base letter and its accented forms.
-    for base, accented in (
-        ("a", "àáâãäåāăą"), ("c", "çćĉċč"), ("d", "ď"), ("e", "èéêëēĕėęě"), ("g", "ĝğġģ"), ("h", "ĥ"),
-        ("i", "ìíîïĩīĭį"), ("j", "ĵ"), ("k", "ķ"), ("l", "ĺļľ"), ("n", "ñńņň"), ("o", "òóôõöōŏő"),
-        ("r", "ŕŗř"), ("s", "śŝşš"), ("t", "ţť"), ("u", "ùúûüũūŭůűų"), ("w", "ŵ"), ("y", "ýÿŷ"), ("z", "źżž"),
-    ):
-        folded = F.regexp_replace(folded, f"[{accented}]", base)
-    cleaned = F.substring(F.regexp_replace(folded, "[^a-z0-9]+", ""), 1, max_len)
+    """First name token as a mail-safe slug, with letters folded to ASCII."""
+    first = F.lower(ascii_folded(F.get(word_list(c), F.lit(0))))
+    cleaned = F.substring(F.regexp_replace(first, "[^a-z0-9]+", ""), 1, max_len)
     return F.when(F.coalesce(cleaned, F.lit("")) == "", F.lit(fallback)).otherwise(cleaned)
 
 

@@ -139,3 +139,19 @@ def test_statement_of_many_merged_rows_of_one_scope(spark):
     )
     got = sinks.statement_entries(rows).select("row_ord", "number")
     assert got.filter(F.col("row_ord")[1] + 1 != F.col("number")).count() == 0 and got.count() == n
+
+
+def test_slugs_fold_by_decomposition(spark):
+    import unicodedata
+
+    names = [
+        "Élodie Durand", "Łukasz Ż", "Ｗｉｄｅ name", "ﬁnn", "𝐉𝐨𝐡𝐧 Doe", "Nguyễn", "Ǆon", "Ⅷ", "½half", "Ωmega", "日本", "İzmir", "ß", "Åse-Lill", "ñ", "①②", "", None, "Ǩate", "ﷺ",
+    ]
+    got = [r.s for r in spark.createDataFrame([(k, n) for k, n in enumerate(names)], "k int, n string").select("k", X.slug_name("n").alias("s")).orderBy("k").collect()]
+
+    def plain(name):
+        first = (name or "").split()[:1]
+        told = unicodedata.normalize("NFKD", first[0]).encode("ascii", "ignore").decode().lower() if first else ""
+        return "".join(ch for ch in told if ch.isalnum())[:12] or "user"
+
+    assert got == [plain(n) for n in names]
