@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,6 +118,17 @@ def merge_groups(df: DataFrame, fields: list[str], group: list[str], rank: Colum
     )
 
 
+def merge_repeated(df: DataFrame, fields: list[str], group: list[str], rank: Column) -> DataFrame:
+    """As `merge_groups`, where most groups have one row: these pass by, and only repeated keys go through the merge.
+
+    `df` is read three times, so it should come from a table or a checkpoint. The group must have no nulls.
+    """
+    repeated = df.groupBy(*group).agg(F.count("*").alias("_n")).filter("_n > 1").select(*group)
+    single = df.join(repeated, group, "left_anti").drop("_v", "_f", "_filled")
+    merged = merge_groups(df.join(repeated, group, "left_semi"), fields, group, rank)
+    return merged.unionByName(single.select(merged.columns))
+
+
 def merge_keys() -> Column:
     """Merge key of a row: id token, address start, and a distinguishing value when the id is missing. Null: none."""
     def low(place: Column) -> Column:
@@ -166,16 +179,19 @@ def merge_by_identifier(df: DataFrame, fields: list[str], keys: DataFrame | None
         F.coalesce(F.min(F.element_at("_d", i + 1)) != F.max(F.element_at("_d", i + 1)), F.lit(False)) for i in range(len(fields))
     )
     verdict = shown_rows.groupBy(SCOPE, "_key").agg(F.min(ORD).alias("_first"), varies.alias("_apart"), F.count("*").alias("_n"))
-    judged = grouped.join(verdict.drop("_n"), [SCOPE, "_key"])
+    judged = grouped.join(verdict, [SCOPE, "_key"])
     zero = F.array(F.lit(0).cast("bigint"))
     apart = judged.filter("_apart").withColumn(ORD, F.concat(zero, "_first", ORD))
     rank = F.struct(-F.col("_filled"), F.col(ORD))
-    together = judged.filter("not _apart").drop("_first", "_apart", "_id", "_address", "_apart_by")
+    # a row that is alone with its key is merged with nothing
+    alone = judged.filter("not _apart and _n = 1").withColumn(ORD, F.concat(zero, ORD, ORD))
+    together = judged.filter("not _apart and _n > 1").drop("_first", "_apart", "_n", "_id", "_address", "_apart_by")
     united = merge_groups(together, fields, [SCOPE, "_key"], rank).withColumn(ORD, F.concat(zero, ORD, ORD))
     # a scope where no key has two rows keeps its order; elsewhere unkeyed rows go last
     shared = verdict.filter("_n > 1").select(SCOPE).distinct().withColumn("_late", F.lit(1).cast("bigint"))
     lone = lone.join(shared, SCOPE, "left").withColumn(ORD, F.concat(F.array(F.coalesce("_late", F.lit(0).cast("bigint"))), ORD, ORD))
-    return apart.select(df.columns).unionByName(united.select(df.columns)).unionByName(lone.select(df.columns))
+    parts = (apart, alone, united, lone)
+    return functools.reduce(DataFrame.unionByName, [part.select(df.columns) for part in parts])
 
 
 def merge_across_documents(df: DataFrame, fields: list[str], id_field: str) -> DataFrame:
@@ -209,7 +225,7 @@ def bucket_merge(df: DataFrame, fields: list[str]) -> DataFrame:
     shared = F.concat(F.lit("loc:"), loc, F.lit("\x00"), address)
     bucket = F.when(X.has_error() | loc.isNull(), own).otherwise(shared)
     tagged = df.withColumn("_bucket", bucket).drop("_id", "_address")
-    return merge_groups(tagged, fields, [SCOPE, "_bucket"], F.col(ORD))
+    return merge_repeated(tagged, fields, [SCOPE, "_bucket"], F.col(ORD))
 
 
 def drop_duplicate_records(df: DataFrame, fields: list[str]) -> DataFrame:
