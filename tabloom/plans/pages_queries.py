@@ -79,7 +79,7 @@ S_FOCUS = """focus AS MATERIALIZED (SELECT DISTINCT p.doc_id, p.page_num FROM do
 
 
 def _focus(spark, sf):
-    pages = table(spark, sf, "doc_pages")
+    pages = P.page_numbers(table(spark, sf, "doc_pages"))
     return pages, P.neighbour_pages(P.select_anchor_pages(P.score_long_doc_pages(pages)), pages)
 
 
