@@ -247,8 +247,9 @@ def _valid(batches) -> Iterator[pa.RecordBatch]:
             raw = None if vector is None or None in vector else np.array(vector, dtype=np.float64)
             usable = raw is not None and len(raw) and np.isfinite(raw).all() and raw.any()
             if usable:
-                # by a power of two: no cosine changes, and no component leaves the range of floats
-                raw = np.ldexp(raw, -int(np.frexp(np.abs(raw).max())[1])).astype(np.float32)
+                # what would leave the range of floats, alone or squared, is scaled by a power of two first: no cosine changes
+                power = int(np.frexp(np.abs(raw).max())[1])
+                raw = (np.ldexp(raw, -power) if abs(power) > 60 else raw).astype(np.float32)
             packed.append((raw + np.float32(0)).tobytes() if usable else None)
             dims.append(len(raw) if usable else None)
         yield record_batch("id vector dim", batch.column(0), pa.array(packed, pa.binary()), pa.array(dims, pa.int32()))
