@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -14,6 +15,10 @@ from tabloom.operators.usage import PERIOD_DAYS
 
 DAY_MS = 86_400_000
 
+#: Groups that the keys of a stream are dealt to. A group's state is read, written and timed at once instead of key by key; a
+#: checkpoint belongs to one number of groups.
+GROUPS = 256
+
 
 def use_keyed_state(spark: SparkSession) -> None:
     """Keyed state lives in the embedded state store, which keeps it on disk and not in the heap."""
@@ -22,77 +27,107 @@ def use_keyed_state(spark: SparkSession) -> None:
     )
 
 
-def _ms(stamp) -> int | None:
-    return None if pd.isna(stamp) else pd.Timestamp(stamp).value // 1_000_000
+def _group(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(GROUPS)).alias("_group")
+
+
+def _whole(value) -> int | None:
+    """A number that came as a number or as text; pandas has NaN for null."""
+    return None if pd.isna(value) else int(value)
 
 
 def _given(value):
     return None if pd.isna(value) else value
 
 
-SUBSCRIPTION = (
-    "customer string, tier string, status string, cancel_at_period_end boolean, period_end timestamp, sub_id string, counters_reset_at timestamp"
-)
+def _events(rows: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple]:
+    for frame in rows:
+        yield from zip(*(frame[c].tolist() for c in columns))
 
 
-class SubscriptionFold(StatefulProcessor):
-    """The open subscription of a customer, and the last setting of each attribute.
+class GroupFold(StatefulProcessor):
+    """State of a group's keys as one text, with one timer at the earliest time of any key.
 
-    An attribute that was set to null is in the map with an empty value; one that was never set isn't in it.
+    Subclasses keep `self.held` (key to values), and say when a key is due in `due`.
     """
 
     def init(self, handle) -> None:
-        self.open = handle.getValueState("open", "sub_id string")
-        self.settings = handle.getMapState("settings", "name string", "value string")
+        self.handle = handle
+        self.store = handle.getValueState("held", "keys string, timer bigint")
+
+    def due(self, values: list) -> int | None:
+        """Time in milliseconds from which a key's timer may go off."""
+        return None
+
+    def _load(self) -> None:
+        text, self.timer = self.store.get() if self.store.exists() else ("[]", None)
+        self.held = {tuple(key): values for key, values in json.loads(text)}
+
+    def _save(self, fired: bool = False) -> None:
+        """Write the state and set the timer; one that has gone off is gone."""
+        following = min((t for t in map(self.due, self.held.values()) if t is not None), default=None)
+        if self.timer is not None and self.timer != following and not fired:
+            self.handle.deleteTimer(self.timer)
+        if following is not None and (fired or following != self.timer):
+            self.handle.registerTimer(following)
+        if self.held:
+            self.store.update((json.dumps(list(self.held.items())), following))
+        elif self.store.exists():
+            self.store.clear()
+
+
+SUBSCRIPTION = "customer string, tier string, status string, cancel_at_period_end boolean, period_end bigint, sub_id string, counters_reset_at bigint"
+
+
+class SubscriptionFold(GroupFold):
+    """The open subscription of a customer, and the last setting of each attribute.
 
-    def _set(self, name: str, value: str | None) -> None:
-        self.settings.updateValue((name,), (value or "",))
+    An attribute that was set to null is in the state as null; one that was never set isn't in it. Times are microseconds.
+    """
 
-    def _get(self, name: str) -> str | None:
-        return self.settings.getValue((name,))[0] or None if self.settings.containsKey((name,)) else None
+    COLUMNS = ["customer", "at", "event_id", "sub_id", "event_type", "tier", "status", "cancel", "end"]
 
-    def _apply(self, event) -> None:
-        kind, now = event.event_type, str(pd.Timestamp(event.ts).value)
+    @staticmethod
+    def _apply(state: dict, event: tuple) -> None:
+        _, now, _, sub_id, kind, tier, status, cancel, end = event
         if kind == "created":
-            self.open.update((event.sub_id,))
-            self._set("sub_id", event.sub_id)
-        elif not self.open.exists() or self.open.get()[0] != event.sub_id:
+            state["open"] = state["sub_id"] = sub_id
+        elif "open" not in state or state["open"] != sub_id:
             return
         if kind in ("created", "updated"):
-            if _given(event.tier):
-                self._set("tier", event.tier)
-            self._set("status", _given(event.status) or "active")
-            self._set("cancel", "yes" if _given(event.cancel) else "no")
+            if tier:
+                state["tier"] = tier
+            state["status"] = status or "active"
+            state["cancel"] = bool(cancel)
         elif kind == "deleted":
-            self._set("tier", "free")
-            self._set("cancel", "no")
-            self._set("sub_id", None)
-            self._set("period_end", None)
-            self.open.clear()
+            state.update(tier="free", cancel=False, sub_id=None, period_end=None)
+            del state["open"]
         if kind in ("deleted", "paid"):
-            self._set("status", "active")
+            state["status"] = "active"
         if kind == "failed":
-            self._set("status", "past_due")
-        if kind in ("created", "updated", "paid") and not pd.isna(event.period_end):
-            self._set("period_end", str(pd.Timestamp(event.period_end).value))
+            state["status"] = "past_due"
+        if kind in ("created", "updated", "paid") and end is not None:
+            state["period_end"] = end
         if kind in ("created", "deleted", "paid"):
-            self._set("reset", now)
+            state["reset"] = now
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self._load()
         # the events of one customer in one trigger, in order
-        for event in sorted((e for frame in rows for e in frame.itertuples(index=False)), key=lambda e: (e.ts, e.event_id)):
-            self._apply(event)
-        cancel = self._get("cancel")
-
-        def stamp(name: str):
-            told = self._get(name)
-            return pd.NaT if told is None else pd.Timestamp(int(told))
-
-        yield pd.DataFrame({
-            "customer": [key[0]], "tier": [self._get("tier")], "status": [self._get("status")],
-            "cancel_at_period_end": [None if cancel is None else cancel == "yes"], "period_end": [stamp("period_end")],
-            "sub_id": [self._get("sub_id")], "counters_reset_at": [stamp("reset")],
-        })
+        told: dict[str, list[tuple]] = {}
+        for customer, at, event_id, sub_id, kind, tier, status, cancel, end in _events(rows, self.COLUMNS):
+            told.setdefault(customer, []).append((
+                customer, _whole(at), _whole(event_id), _given(sub_id), kind, _given(tier), _given(status), _given(cancel), _whole(end)
+            ))
+        out = []
+        for customer, events in told.items():
+            state = self.held.setdefault((customer,), {})
+            for event in sorted(events, key=lambda e: tuple((v is not None, v or 0) for v in e[1:3])):
+                self._apply(state, event)
+            out.append((customer, *(state.get(name) or None for name in ("tier", "status")), state.get("cancel"), state.get("period_end"),
+                        state.get("sub_id") or None, state.get("reset")))
+        self._save()
+        yield pd.DataFrame(out, columns=["customer", "tier", "status", "cancel_at_period_end", "period_end", "sub_id", "counters_reset_at"], dtype=object)
 
 
 def subscription_stream(events: DataFrame, users: DataFrame) -> DataFrame:
@@ -103,45 +138,52 @@ def subscription_stream(events: DataFrame, users: DataFrame) -> DataFrame:
     stored one.
     """
     use_keyed_state(events.sparkSession)
-    known = events.join(users.select("customer").distinct(), "customer", "left_semi")
-    return known.groupBy("customer").transformWithStateInPandas(SubscriptionFold(), SUBSCRIPTION, "Update", "None")
+    known = events.join(users.select("customer").distinct(), "customer", "left_semi").select(
+        _group("customer"), "customer", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").cast("string").alias("event_id"), "sub_id", "event_type",
+        "tier", "status", "cancel", F.unix_micros(F.col("period_end").cast("timestamp")).alias("end"),
+    )
+    told = known.groupBy("_group").transformWithStateInPandas(SubscriptionFold(), SUBSCRIPTION, "Update", "None")
+    return told.withColumns({c: F.timestamp_micros(c) for c in ("period_end", "counters_reset_at")})
 
 
-COUNTERS = "user_id bigint, pages_used bigint, overage_pages bigint, usage_reset_at timestamp, current_period_end timestamp"
+COUNTERS = "user_id string, pages_used bigint, overage_pages bigint, usage_reset_at bigint, current_period_end bigint"
 
 
-class ResetCounters(StatefulProcessor):
-    """Counters of a user; a timer at the reset time sets them to zero and itself anew."""
+class ResetCounters(GroupFold):
+    """Counters of users: used, overage, reset time, end of the period; at the reset time they go to zero and the time anew."""
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("counters", "used bigint, overage bigint, reset bigint, period bigint")
+    COLUMNS = ["user_id", "at", "used", "overage", "reset", "period"]
+
+    def due(self, values: list) -> int | None:
+        return values[2]
 
-    def _row(self, key) -> pd.DataFrame:
-        used, overage, reset, period = self.state.get()
-        return pd.DataFrame({
-            "user_id": [key[0]], "pages_used": [used], "overage_pages": [overage],
-            "usage_reset_at": [pd.NaT if reset is None else pd.Timestamp(reset, unit="ms")],
-            "current_period_end": [pd.NaT if period is None else pd.Timestamp(period, unit="ms")],
-        })
+    @staticmethod
+    def _rows(told: dict) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame(
+            [(*key, *values) for key, values in told.items()],
+            columns=["user_id", "pages_used", "overage_pages", "usage_reset_at", "current_period_end"], dtype=object,
+        )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = max((r for frame in rows for r in frame.itertuples(index=False)), key=lambda r: r.ts)
-        if self.state.exists() and self.state.get()[2] is not None:
-            self.handle.deleteTimer(self.state.get()[2])
-        reset = _ms(last.usage_reset_at)
-        self.state.update((int(last.pages_used), int(last.overage_pages), reset, _ms(last.current_period_end)))
-        if reset is not None:
-            self.handle.registerTimer(reset)
-        yield self._row(key)
+        self._load()
+        last: dict[tuple, tuple] = {}
+        for user, at, *counters in _events(rows, self.COLUMNS):
+            if (user,) not in last or at > last[(user,)][0]:
+                last[(user,)] = (at, counters)
+        told = {user: [_whole(c) for c in counters] for user, (_, counters) in last.items()}
+        self.held.update(told)
+        self._save()
+        yield from self._rows(told)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        period = self.state.get()[3]
-        following = period if period is not None and period > now else now + PERIOD_DAYS * DAY_MS
-        self.state.update((0, 0, following, period))
-        self.handle.registerTimer(following)
-        yield self._row(key)
+        self._load()
+        now, told = timerValues.getCurrentWatermarkInMs(), {}
+        for user, (_, _, reset, period) in self.held.items():
+            if reset is not None and reset <= now:
+                told[user] = [0, 0, period if period is not None and period > now else now + PERIOD_DAYS * DAY_MS, period]
+        self.held.update(told)
+        self._save(fired=True)
+        yield from self._rows(told)
 
 
 def reset_period_stream(users: DataFrame) -> DataFrame:
@@ -149,39 +191,46 @@ def reset_period_stream(users: DataFrame) -> DataFrame:
     whenever the clock, the latest `ts` of the stream, has reached their reset time: then they are zero.
     """
     use_keyed_state(users.sparkSession)
-    clocked = users.withWatermark("ts", "0 seconds")
-    return clocked.groupBy("user_id").transformWithStateInPandas(ResetCounters(), COUNTERS, "Update", "EventTime")
+    # numbers travel as text: pandas would make floats of those with nulls among them
+    clocked = users.withWatermark("ts", "0 seconds").select(
+        _group("user_id"), F.col("user_id").cast("string").alias("user_id"), "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
+        F.col("pages_used").cast("string").alias("used"), F.col("overage_pages").cast("string").alias("overage"),
+        F.unix_millis(F.col("usage_reset_at").cast("timestamp")).alias("reset"), F.unix_millis(F.col("current_period_end").cast("timestamp")).alias("period"),
+    )
+    told = clocked.groupBy("_group").transformWithStateInPandas(ResetCounters(), COUNTERS, "Update", "EventTime")
+    return told.withColumns({"user_id": F.col("user_id").cast("bigint"), **{c: F.timestamp_millis(c) for c in ("usage_reset_at", "current_period_end")}})
 
 
-GONE = "kind string, item_id bigint, expires_at timestamp, clock timestamp"
+GONE = "kind string, item_id string, expires_at bigint, clock bigint"
 
 
-class ExpireItems(StatefulProcessor):
-    """When an item expires and whether a job has taken it; a timer lets it go."""
+class ExpireItems(GroupFold):
+    """When items expire and whether a job has taken them; the timer lets them go."""
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("item", "expires bigint, job string")
+    COLUMNS = ["kind", "item_id", "event", "at", "expires", "job_id"]
 
-    def _keep(self, expires: int, job: str | None) -> None:
-        if self.state.exists():
-            self.handle.deleteTimer(self.state.get()[0] + 1)
-        self.state.update((expires, job))
-        self.handle.registerTimer(expires + 1)
+    def due(self, values: list) -> int | None:
+        return None if values[0] is None else values[0] + 1
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for event in sorted((e for frame in rows for e in frame.itertuples(index=False)), key=lambda e: (e.ts, e.event == "assigned")):
-            if event.event == "stored":
-                self._keep(_ms(event.expires_at), _given(event.job_id))
-            elif event.event == "assigned" and self.state.exists():
-                self._keep(_ms(event.ts) + KEEP_DAYS * DAY_MS, event.job_id)
-        yield pd.DataFrame({"kind": [], "item_id": [], "expires_at": [], "clock": []}).astype({"kind": "object", "item_id": "int64", "expires_at": "datetime64[ns]", "clock": "datetime64[ns]"})
+        self._load()
+        for kind, item, event, at, expires, job in sorted(_events(rows, self.COLUMNS), key=lambda e: (e[3], e[2] == "assigned")):
+            if event == "stored":
+                self.held[(kind, item)] = [_whole(expires), _given(job)]
+            elif event == "assigned" and (kind, item) in self.held:
+                self.held[(kind, item)] = [int(at) // 1000 + KEEP_DAYS * DAY_MS, _given(job)]
+        self._save()
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        expires, job = self.state.get()
-        self.state.clear()
-        rows = [(key[0], key[1], pd.Timestamp(expires, unit="ms"), pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms"))] if job is None else []
-        yield pd.DataFrame(rows, columns=["kind", "item_id", "expires_at", "clock"]).astype({"kind": "object", "item_id": "int64", "expires_at": "datetime64[ns]", "clock": "datetime64[ns]"})
+        self._load()
+        now = timerValues.getCurrentWatermarkInMs()
+        over = [item for item, values in self.held.items() if self.due(values) is not None and self.due(values) <= now]
+        gone = [(item, *self.held.pop(item)) for item in over]
+        self._save(fired=True)
+        deleted = [(*item, expires, now) for item, expires, job in gone if job is None]
+        if deleted:
+            yield pd.DataFrame(deleted, columns=["kind", "item_id", "expires_at", "clock"])
 
 
 def expire_stream(items: DataFrame) -> DataFrame:
@@ -191,5 +240,10 @@ def expire_stream(items: DataFrame) -> DataFrame:
     lives seven days from its assignment and isn't deleted; its state goes then. Times count in whole milliseconds.
     """
     use_keyed_state(items.sparkSession)
-    clocked = items.withWatermark("ts", "0 seconds")
-    return clocked.groupBy("kind", "item_id").transformWithStateInPandas(ExpireItems(), GONE, "Append", "EventTime")
+    # other events move the clock only; a filter here would be pushed below the watermark and hide them from it
+    clocked = items.withWatermark("ts", "0 seconds").select(
+        _group("kind", "item_id"), "kind", F.col("item_id").cast("string").alias("item_id"), "event", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
+        F.unix_millis(F.col("expires_at").cast("timestamp")).alias("expires"), "job_id",
+    )
+    told = clocked.groupBy("_group").transformWithStateInPandas(ExpireItems(), GONE, "Append", "EventTime")
+    return told.select("kind", F.col("item_id").cast("bigint").alias("item_id"), *[F.timestamp_millis(c).alias(c) for c in ("expires_at", "clock")])

@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tabloom.functions import expr as X
@@ -129,3 +130,53 @@ def test_period_end_of_odd_payloads(spark):
     df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(told)], "k long, payload string")
     got = [r.s for r in df.select("k", F.unix_seconds(X.period_end("payload")).alias("s")).orderBy("k").collect()]
     assert got == [s for _, s in told]
+
+
+class Handle:
+    """A state store in memory that counts how often it is asked."""
+
+    def __init__(self):
+        self.kept, self.timers, self.calls = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        self.calls += 1
+        return self.kept is not None
+
+    def get(self):
+        self.calls += 1
+        return self.kept
+
+    def update(self, kept):
+        self.calls += 1
+        self.kept = kept
+
+    def clear(self):
+        self.calls += 1
+        self.kept = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.clock
+
+
+def test_state_of_many_keys_is_read_and_written_at_once():
+    handle, fold = Handle(), keyed.ExpireItems()
+    fold.init(handle)
+    item = [str(k) for k in range(5000)]
+    stored = pd.DataFrame({"kind": "document", "item_id": item, "event": "stored", "at": 1000, "expires": range(5000), "job_id": None})
+    assert list(fold.handleInputRows((3,), iter([stored[:2500], stored[2500:]]), handle)) == []
+    assert handle.calls <= 4 and handle.timers == [1]
+    handle.clock, handle.calls, handle.timers = 4000, 0, []
+    gone = pd.concat(fold.handleExpiredTimer((3,), handle, None))
+    assert list(gone["item_id"]) == item[:4000] and set(gone["clock"]) == {4000}
+    assert handle.calls <= 4 and handle.timers == [4001]
