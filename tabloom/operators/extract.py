@@ -194,14 +194,18 @@ def post_process(
     fill gaps with patches from `backfill`, scope by scope while that gains cells. `matches` are header matches, `label_matches` also
     count labels in the text.
     """
+    # every step reads its rows several times, so each begins with the written rows of the one before
+    matches, label_matches = cut_lineage(matches), cut_lineage(label_matches)
+
     def clean(df: DataFrame) -> DataFrame:
-        return R.null_uniform_unmatched(R.null_duplicate_columns(df, fields, matches), fields, label_matches, texts)
+        apart = cut_lineage(R.null_duplicate_columns(cut_lineage(df), fields, matches))
+        return R.null_uniform_unmatched(apart, fields, label_matches, texts)
 
     out = clean(records)
     if schedule:
-        out = R.finalise_records(out, fields)
+        out = R.finalise_records(cut_lineage(out), fields)
     if dominant:
-        out = R.propagate_dominant(out, fields)
+        out = R.propagate_dominant(cut_lineage(out), fields)
     if backfill is None:
         return out
 

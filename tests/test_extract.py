@@ -52,3 +52,20 @@ def test_rows_of_long_grids_have_positions_of_their_own(spark):
     # the table's number is in the upper 32 bits, whatever the length of its grid
     own = got[got.scope_id == "D2"].sort_values("row_ord")
     assert own.row_ord.tolist() == [*range(1 << 32, (1 << 32) + 100_000), 2 << 32, (2 << 32) + 1]
+
+
+def test_repair_chain_reads_its_records_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    rows = [("a", k, "f", None, f"id {k}", f"{k} Main Street", "x") for k in range(40)]
+    kind = records_type(FIELDS)
+    df = spark.createDataFrame(rows, kind).mapInPandas(counted, kind)
+    matches = spark.createDataFrame([("a", f, True) for f in FIELDS], "scope_id string, field string, matched boolean")
+    texts = spark.createDataFrame([("a", "x")], "scope_id string, text string")
+    out = E.post_process(df, FIELDS, matches, matches, texts, schedule=True)
+    assert out.count() == 40 and read.value == 40
