@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabloom.functions import expr as X
 from tabloom.operators.skew import top_per_key
 from tabloom.schema import LIST_FIELDS
-from tabloom.session import cut_lineage
+from tabloom.session import cut_lineage, written
 
 # Allowed values and requirements of a resource.
 INTENTS = ("informational", "transactional", "commercial", "navigational")
@@ -277,148 +277,205 @@ def read_time(df: DataFrame) -> DataFrame:
 
 #: Words of 64 bits in the bitmap of a set.
 BITMAP = 4
+#: A token in fewer sets counts as rare, whatever the number; the others are told apart by it. Only speed depends on it.
+FREQUENT = 8
+#: Frequent tokens (two numbers each) that are sent to every executor, at most; beyond that they meet the sets by a shuffle.
+SENT_TOKENS = 1_000_000
+
+
+def _sides(df: DataFrame, candidate: bool, corpus: bool) -> DataFrame:
+    """The texts that are compared, one row per resource, marked with the sides that it stands on."""
+    told = [F.lower(X.blank(c)) for c in ("primaryKeyword", "title", "summary")]
+    # a title is the same as another one if its distinct words are
+    texts = [F.array_join(F.array_sort(X.content_words(c)), " ").alias(c) for c in ("title", "summary")]
+    return df.select(
+        "slug", told[0].alias("keyword"), X.blank("templateType").alias("template"), *texts,
+        F.lit(candidate).alias("asked"), F.lit(corpus).alias("given"),
+    )
 
 
-def _postings(values: DataFrame, rarity: DataFrame, side: str, at_least: float) -> DataFrame:
-    """Index rows of sets (id, tokens): their rarest tokens with place, the set's size and a bitmap of its tokens.
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Per distinct value: is it some candidate's, and the least and greatest slug of the corpus that carries it, by their hash.
 
-    Rows are narrow: a set's tokens stay with its value.
+    Only whether a slug differs from another one is asked later, so the numbers stand for the slugs.
     """
-    listed = values.select("id", F.explode("tokens").alias("token")).join(rarity, "token")
-    bit = F.pmod(F.xxhash64("token"), F.lit(64 * BITMAP))
+    slug = F.when(F.col("given") & F.col("slug").isNotNull(), F.xxhash64("slug"))
+    return rows.groupBy(*keys).agg(
+        F.max("asked").alias("asked"), F.max("given").alias("given"), F.min(slug).alias("low"), F.max(slug).alias("high")
+    )
+
+
+def _postings(sets: DataFrame, at_least: float, carried: list[str]) -> DataFrame:
+    """Index rows of sets (id, tokens): their rarest tokens with place, the set's size and band of size, a bitmap of its tokens,
+    and the carried columns."""
+    often = cut_lineage(
+        sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT)
+    )
+    # a set is dealt once: its tokens are opened, counted and put together again where it lies
+    opened = sets.select("id", *carried, "tokens").repartition("id").select("id", *carried, F.explode("tokens").alias("token"))
+    listed = opened.join(F.broadcast(often) if often.count() <= SENT_TOKENS else often, "token", "left")
+    bit = F.pmod(F.col("token"), F.lit(64 * BITMAP))
     words = [
-        F.bit_or(F.when(F.floor(bit / 64) == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int"))).otherwise(F.lit(0).cast("bigint"))).alias(f"{side}_m{k}")
+        F.bit_or(F.when(F.floor(bit / 64) == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int"))).otherwise(F.lit(0).cast("bigint"))).alias(f"m{k}")
         for k in range(BITMAP)
     ]
     # one set's own tokens, at most the words of one text
-    ranked = listed.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ranked"), *words)
+    ranked = listed.groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("ranked"),
+        *words, *[F.first(c).alias(c) for c in carried],
+    )
     size = F.size("ranked")
     prefix = F.slice(F.transform("ranked", lambda r: r["token"]), F.lit(1), size - F.ceil(size * at_least - 1e-9).cast("int") + 1)
     return ranked.select(
-        F.col("id").alias(f"{side}_id"), size.alias(f"{side}_size"), *[f"{side}_m{k}" for k in range(BITMAP)],
-        F.floor(F.log(size) / -math.log(at_least)).alias("band"), F.posexplode(prefix).alias(f"{side}_place", "token"),
+        "id", *carried, size.alias("size"), *[f"m{k}" for k in range(BITMAP)],
+        F.floor(F.log(size) / -math.log(at_least)).alias("band"), F.posexplode(prefix).alias("place", "token"),
     )
 
 
-def candidate_sets(left: DataFrame, right: DataFrame, at_least: float) -> DataFrame:
-    """Pairs (left_id, right_id) of sets (id, tokens) whose Jaccard similarity may reach `at_least`; none that does is missing.
+def _meet(sets: DataFrame, at_least: float, carried: list[str]) -> DataFrame:
+    """Pairs of different sets, one of a candidate and one of the corpus, whose Jaccard similarity may reach `at_least`; none that
+    does is missing. A pair comes once per shared rare token, the smaller set left.
 
     Sets that similar share one of their rarest tokens and lie in the same or neighbouring bands of size, so rows meet on token and
     band. What can still be shared from the place of a shared token on, and the bits in which the bitmaps differ, bound the
-    overlap before pairs are grouped; the number of shared rare tokens and the place of the last one bound it after that.
+    overlap.
     """
-    both = left.select("tokens").unionByName(right.select("tokens"))
-    rarity = both.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    a = _postings(left, rarity, "left", at_least)
-    b = _postings(right, rarity, "right", at_least).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    rows = _postings(sets, at_least, ["asked", "given", *carried])
+    left, right = (rows.select("token", "band", *[F.col(c).alias(f"{s}_{c}") for c in rows.columns if c not in ("token", "band")]) for s in ("left", "right"))
+    right = right.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"))))
     sizes = F.col("left_size") + F.col("right_size")
     need = F.ceil(sizes * (at_least / (1 + at_least)) - 1e-9)
     rest = F.least(F.col("left_size") - F.col("left_place"), F.col("right_size") - F.col("right_place")) - 1
     differ = sum((F.bit_count(F.col(f"left_m{k}").bitwiseXOR(F.col(f"right_m{k}"))) for k in range(BITMAP)), F.lit(0))
-    close = (F.col("left_size") >= F.col("right_size") * at_least - 1e-9) & (F.col("right_size") >= F.col("left_size") * at_least - 1e-9)
-    meet = a.join(b, ["token", "band"]).filter(
-        close & (F.least("left_place", "right_place") + 1 + rest >= need) & (sizes - differ >= need * 2)
+    first = (F.col("left_size") < F.col("right_size")) | ((F.col("left_size") == F.col("right_size")) & (F.col("left_id") < F.col("right_id")))
+    sides = (F.col("left_asked") & F.col("right_given")) | (F.col("left_given") & F.col("right_asked"))
+    return left.join(right, ["token", "band"]).filter(
+        first & sides & (F.col("left_size") >= F.col("right_size") * at_least - 1e-9)
+        & (F.least("left_place", "right_place") + 1 + rest >= need) & (sizes - differ >= need * 2)
+    ).withColumns({"need": need, "rest": rest})
+
+
+def _close(sets: DataFrame, at_least: float) -> DataFrame:
+    """Pairs (left_id, right_id) that may reach `at_least`, each once: the number of shared rare tokens and the place of the last one
+    bound the overlap as well."""
+    grouped = _meet(sets, at_least, []).groupBy("left_id", "right_id").agg(
+        F.count("*").alias("shared"), F.min("rest").alias("rest"), F.first("need").alias("need")
     )
-    grouped = meet.groupBy("left_id", "right_id").agg(
-        F.count("*").alias("shared"), F.max("left_place").alias("left_place"), F.max("right_place").alias("right_place"),
-        F.first("left_size").alias("left_size"), F.first("right_size").alias("right_size"),
+    return grouped.filter(F.col("shared") + F.col("rest") >= F.col("need")).select("left_id", "right_id")
+
+
+def candidate_sets(left: DataFrame, right: DataFrame, at_least: float) -> DataFrame:
+    """Pairs (left_id, right_id) of sets (id, tokens) whose Jaccard similarity may reach `at_least`; none that does is missing.
+
+    Sets of the same tokens are compared once, and come together without a comparison.
+    """
+    def members(df: DataFrame, asked: bool) -> DataFrame:
+        tokens = F.array_sort(F.transform(F.array_distinct("tokens"), lambda w: F.xxhash64(w)))
+        return df.filter(F.size("tokens") > 0).select(
+            F.col("id").alias("member"), tokens.alias("tokens"), F.lit(asked).alias("asked"), F.lit(not asked).alias("given")
+        ).withColumn("id", F.xxhash64("tokens"))
+
+    a, b = members(left, True), members(right, False)
+    sets = written(a.unionByName(b).groupBy("id", "tokens").agg(F.max("asked").alias("asked"), F.max("given").alias("given")), "candidate-sets")
+    close = _close(sets, at_least)
+    ways = close.unionByName(close.select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id")))
+    same = sets.select(F.col("id").alias("left_id"), F.col("id").alias("right_id"))
+    lefts = a.select(F.col("id").alias("left_id"), F.col("member").alias("left_member"))
+    rights = b.select(F.col("id").alias("right_id"), F.col("member").alias("right_member"))
+    return ways.unionByName(same).join(lefts, "left_id").join(rights, "right_id").select(
+        F.col("left_member").alias("left_id"), F.col("right_member").alias("right_id")
     )
-    return grouped.filter(F.col("shared") + rest >= need).select("left_id", "right_id")
 
 
-def similar_sets(left: DataFrame, right: DataFrame, at_least: float) -> DataFrame:
-    """Pairs of distinct token sets (key, tokens) whose Jaccard similarity may reach `at_least`, with their tokens."""
+def _levels(pairs: DataFrame, hits: Column) -> DataFrame:
+    """Least and greatest slug per candidates' value, risk and signal, from pairs and their hits; a pair counts both ways."""
+    ways = F.array(*[
+        F.struct(F.col(f"{a}_id").alias("id"), (F.col(f"{a}_asked") & F.col(f"{b}_given")).alias("counts"), F.col(f"{b}_low").alias("low"), F.col(f"{b}_high").alias("high"))
+        for a, b in (("left", "right"), ("right", "left"))
+    ])
+    found = pairs.select("left_id", "right_id", ways.alias("ways"), F.explode(hits).alias("hit")).select(F.inline("ways"), "hit.risk", "hit.signal")
+    return found.filter("counts").groupBy("id", "risk", "signal").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
-    def named(df: DataFrame) -> DataFrame:
-        return df.select(F.md5(F.to_json(F.struct("key")).cast("binary")).alias("id"), "key", "tokens")
 
-    a, b = named(left), named(right)
-    pairs = candidate_sets(a.select("id", "tokens"), b.select("id", "tokens"), at_least)
-    lefts = a.select(F.col("id").alias("left_id"), F.col("key").alias("left_key"), F.col("tokens").alias("left_tokens"))
-    rights = b.select(F.col("id").alias("right_id"), F.col("key").alias("right_key"), F.col("tokens").alias("right_tokens"))
-    return pairs.join(lefts, "left_id").join(rights, "right_id").drop("left_id", "right_id")
+def _overlap(shared: Column) -> Column:
+    return shared / (F.size("left_tokens") + F.size("right_tokens") - shared)
 
 
-def _values(df: DataFrame, key: list[Column], tokens: Column) -> DataFrame:
-    """Distinct values with the range of slugs that carry them: copies are compared once, whatever their number."""
-    names = [f"k{i}" for i in range(len(key))]
-    keyed = df.select(*[k.alias(n) for k, n in zip(key, names)], tokens.alias("tokens"), "slug").filter(F.size("tokens") > 0)
-    return keyed.groupBy(*names, "tokens").agg(F.min("slug").alias("low"), F.max("slug").alias("high")).select(
-        F.struct(*names).alias("key"), "tokens", "low", "high"
+def _keyword_levels(units: DataFrame) -> DataFrame:
+    """Levels of keywords (with their template): these are short, so their tokens travel with the index rows, pairs are settled
+    where they meet, and only levels are shuffled."""
+    # the generator counts a pair's common tokens once, not in every test
+    pairs = _meet(units, 0.6, ["tokens", "words", "text", "template", "low", "high"]).select(
+        "*", F.explode(F.array(F.size(F.array_intersect("left_tokens", "right_tokens")))).alias("shared")
+    )
+    alike, other_text = _overlap(F.col("shared")), F.col("left_text") != F.col("right_text")
+    same_type = F.col("left_template") == F.col("right_template")
+    only = [F.size(f"{s}_tokens") - F.col("shared") == 1 for s in ("left", "right")]
+    swap = (F.col("left_words") == F.col("right_words")) & only[0] & only[1] & (F.col("shared") >= 3)
+    hits = F.array(
+        F.when(other_text & (alike > 0.85), F.struct(F.when(same_type, 70).otherwise(60).alias("risk"), F.lit("keyword_very_high").alias("signal"))),
+        F.when(other_text & (alike > 0.7) & (alike <= 0.85), F.struct(F.when(same_type, 45).otherwise(30).alias("risk"), F.lit("keyword_moderate").alias("signal"))),
+        F.when(swap, F.struct(F.when(same_type, 60).otherwise(35).alias("risk"), F.lit("keyword_swap").alias("signal"))),
     )
+    return _levels(pairs, F.filter(hits, lambda h: h.isNotNull()))
 
 
-def _fan_out(candidates: DataFrame, key: list[Column], levels: DataFrame) -> DataFrame:
-    """Give each candidate the risk levels of its value, without those that only its own slug causes."""
-    own = candidates.select("slug", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key)]).alias("key"))
-    return own.join(levels, "key").filter((F.col("low") != F.col("slug")) | (F.col("high") != F.col("slug"))).select(
-        "slug", "risk", "signal"
-    )
+def _text_levels(sets: DataFrame, above: float, risk: int, signal: str) -> DataFrame:
+    """Levels of longer texts: pairs are grouped as numbers, then meet the tokens of both sides. Copies of one set are alike
+    without a comparison."""
+    pairs = _close(sets, above)
+    for side in ("left", "right"):
+        pairs = pairs.join(sets.select(*[F.col(c).alias(f"{side}_{c}") for c in ("id", "asked", "given", "low", "high", "tokens")]), f"{side}_id")
+    alike = pairs.filter(_overlap(F.size(F.array_intersect("left_tokens", "right_tokens"))) > above)
+    hit = F.struct(F.lit(risk).alias("risk"), F.lit(signal).alias("signal"))
+    own = sets.filter("asked and given").select("id", F.lit(risk).alias("risk"), F.lit(signal).alias("signal"), "low", "high")
+    return _levels(alike, F.array(hit)).unionByName(own)
 
 
 def duplicate_risk(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
     """Highest duplicate risk of each candidate against all other resources, and the kinds of likeness found.
 
     Columns used: slug, templateType, primaryKeyword, title, summary. Values are compared per distinct value, not per
-    resource; per value at most one row per kind and level of risk is kept, so many copies of one text stay cheap.
+    resource; per value at most one row per kind and level of risk is kept, so many copies of one text stay cheap. Values, words
+    and slugs are told apart by 64-bit hashes. What several steps read is written once, in columns.
     """
-    same_rows = corpus is candidates
-
-    def words_of(df: DataFrame) -> DataFrame:
-        """The words that are compared, worked out once: all that follows reads these few columns."""
-        told = [F.lower(X.blank(c)) for c in ("primaryKeyword", "title", "summary")]
-        return cut_lineage(df.select(
-            "slug", told[0].alias("keyword"), X.blank("templateType").alias("template"), X.content_words(told[0]).alias("keyword_words"),
-            *[F.array_sort(X.content_words(c)).alias(f"{c}_words") for c in ("title", "summary")],
-        ))
-
-    candidates = words_of(candidates)
-    corpus = candidates if same_rows else words_of(corpus)
-    keyword, template = F.col("keyword"), F.col("template")
-    kw_key = [keyword, template]
-    # word order and repeats matter for the swap test, so the value keeps its own text
-    kw_a, kw_b = (_values(df, kw_key, F.col("keyword_words")) for df in (candidates, corpus))
-    kw_pairs = similar_sets(kw_a.select("key", "tokens"), kw_b.select("key", "tokens"), 0.6).join(
-        kw_b.select(F.col("key").alias("right_key"), "low", "high"), "right_key"
-    )
-    alike = X.jaccard(F.col("left_tokens"), F.col("right_tokens"))
-    same_text = F.col("left_key.k0") == F.col("right_key.k0")
-    same_type = F.col("left_key.k1") == F.col("right_key.k1")
-    swap = X.keyword_swap(X.content_words(F.col("left_key.k0"), False), X.content_words(F.col("right_key.k0"), False))
-    found = F.array(
-        F.when(~same_text & (alike > 0.85), F.struct(F.when(same_type, 70).otherwise(60).alias("risk"), F.lit("keyword_very_high").alias("signal"))),
-        F.when(~same_text & (alike > 0.7) & (alike <= 0.85), F.struct(F.when(same_type, 45).otherwise(30).alias("risk"), F.lit("keyword_moderate").alias("signal"))),
-        F.when(swap, F.struct(F.when(same_type, 60).otherwise(35).alias("risk"), F.lit("keyword_swap").alias("signal"))),
-    )
-    kw_hits = kw_pairs.select(F.col("left_key").alias("key"), "low", "high", F.inline(F.filter(found, lambda s: s.isNotNull())))
-
-    def text_hits(column: str, above: float, risk: int) -> DataFrame:
-        words = F.col(f"{column}_words")
-        a, b = (_values(df, [F.array_join(words, " ")], words) for df in (candidates, corpus))
-        a = a.groupBy("key").agg(F.first("tokens").alias("tokens"))
-        b = b.groupBy("key").agg(F.first("tokens").alias("tokens"), F.min("low").alias("low"), F.max("high").alias("high"))
-        pairs = similar_sets(a, b.select("key", "tokens"), above).join(b.select(F.col("key").alias("right_key"), "low", "high"), "right_key")
-        close = pairs.filter(X.jaccard(F.col("left_tokens"), F.col("right_tokens")) > above)
-        return close.select(F.col("left_key").alias("key"), "low", "high", F.lit(risk).alias("risk"), F.lit(column).alias("signal"))
-
-    def levels(hits: DataFrame) -> DataFrame:
-        return hits.groupBy("key", "risk", "signal").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-
-    exact = corpus.select(keyword.alias("kw"), "slug").filter("kw != ''").groupBy("kw").agg(
-        F.min("slug").alias("low"), F.max("slug").alias("high")
-    ).select(F.struct(F.col("kw").alias("k0")).alias("key"), F.lit(90).alias("risk"), F.lit("keyword_exact").alias("signal"), "low", "high")
-
-    def bag(c: str) -> list[Column]:
-        return [F.array_join(f"{c}_words", " ")]
-
-    risks = (
-        _fan_out(candidates, [keyword], exact)
-        .unionByName(_fan_out(candidates, kw_key, levels(kw_hits)))
-        .unionByName(_fan_out(candidates, bag("title"), levels(text_hits("title", 0.8, 60))))
-        .unionByName(_fan_out(candidates, bag("summary"), levels(text_hits("summary", 0.75, 50))))
+    if corpus is candidates:
+        rows = _sides(candidates, True, True)
+    else:
+        rows = _sides(candidates, True, False).unionByName(_sides(corpus, False, True))
+    rows = written(rows, "risk-rows")
+    asked = rows.filter("asked").select("slug", *[F.xxhash64(*c).alias(f"{n}_id") for n, c in (
+        ("exact", ["keyword"]), ("keyword", ["keyword", "template"]), ("title", ["title"]), ("summary", ["summary"]),
+    )])
+
+    exact = _spread(rows.filter("keyword != ''"), "keyword").filter("asked and given").select(
+        F.xxhash64("keyword").alias("id"), F.lit(90).alias("risk"), F.lit("keyword_exact").alias("signal"), "low", "high"
     )
+    # word order and repeats matter for the swap test, so a keyword keeps its number of words
+    units = written(_spread(rows, "keyword", "template").select(
+        F.xxhash64("keyword", "template").alias("id"), "asked", "given", "low", "high", "template", F.xxhash64("keyword").alias("text"),
+        F.size(X.content_words("keyword", False)).alias("words"), F.transform(X.content_words("keyword"), lambda w: F.xxhash64(w)).alias("tokens"),
+    ).filter(F.size("tokens") > 0), "risk-keywords")
+
+    def sets(column: str) -> DataFrame:
+        spread = _spread(rows.filter(F.col(column) != ""), column)
+        tokens = F.transform(F.split(column, " "), lambda w: F.xxhash64(w))
+        return written(spread.select(F.xxhash64(column).alias("id"), "asked", "given", "low", "high", tokens.alias("tokens")), f"risk-{column}")
+
+    levels = {
+        "exact": exact, "keyword": _keyword_levels(units),
+        "title": _text_levels(sets("title"), 0.8, 60, "title"), "summary": _text_levels(sets("summary"), 0.75, 50, "summary"),
+    }
+    own = F.xxhash64("slug")
+    risks = None
+    for name, level in levels.items():
+        # without the levels that only a candidate's own slug causes
+        hits = asked.select("slug", F.col(f"{name}_id").alias("id")).filter(F.col("slug").isNotNull()).join(level, "id").filter(
+            (F.col("low") != own) | (F.col("high") != own)
+        ).select("slug", "risk", "signal")
+        risks = hits if risks is None else risks.unionByName(hits)
     worst = risks.groupBy("slug").agg(F.max("risk").alias("risk"), F.array_sort(F.collect_set("signal")).alias("signals"))
-    joined = candidates.select("slug").distinct().join(worst, "slug", "left")
+    joined = rows.filter("asked").select("slug").distinct().join(worst, "slug", "left")
     return joined.select(
         "slug", F.coalesce("risk", F.lit(0)).alias("duplication"),
         F.coalesce("signals", F.array().cast("array<string>")).alias("signals"),

@@ -56,3 +56,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, not yet existing folder for files, under the shared checkpoint folder."""
     _checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as columns to a new shared folder and continue from there: later steps read only the columns they ask for."""
+    place = scratch_path(df.sparkSession, name)
+    df.write.parquet(place)
+    return df.sparkSession.read.parquet(place)

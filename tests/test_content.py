@@ -51,6 +51,33 @@ def test_duplicate_risk_with_a_third_of_equal_keywords(spark):
     assert got == want
 
 
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_duplicate_risk_of_separate_tables_with_null_and_repeated_slugs(spark):
+    names = "slug string, templateType string, primaryKeyword string, title string, summary string"
+    data = corpus(70)
+    for k in (3, 4, 50):
+        data[k]["slug"] = "s2"
+    data[60]["slug"] = None
+    left, right = data[:40], data[20:]
+    got = {r["slug"]: r["duplication"] for r in C.duplicate_risk(spark.createDataFrame(left, names), spark.createDataFrame(right, names)).collect()}
+    want = {}
+    for x in left:
+        risks = [pair_risk(x, y) for y in right if y["slug"] and y["slug"] != x["slug"]]
+        want[x["slug"]] = max([want.get(x["slug"], 0), *risks])
+    assert got == want
+
+
+def test_duplicate_risk_shuffles_texts_once(spark):
+    names = "slug string, templateType string, primaryKeyword string, title string, summary string"
+    df = spark.createDataFrame(corpus(20), names)
+    # distinct values and their tokens are written; index rows, pairs and levels are what is left to shuffle
+    plan = planned(C.duplicate_risk(df, df))
+    assert plan.count("Exchange hashpartitioning") <= 40 and "regexp_extract_all" not in plan
+
+
 def test_publish_decisions_follow_the_order(spark, sf_dir):
     df = resources(spark, sf_dir).filter("doc_id < 120").cache()
     cand, base = df.filter("doc_id % 3 > 0"), df.filter("doc_id % 3 = 0")
