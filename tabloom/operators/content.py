@@ -482,75 +482,104 @@ def duplicate_risk(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
     )
 
 
-def _risk_against(row) -> Column:
-    """Risk of every resource against one given resource; zero for itself."""
+def _told(df: DataFrame) -> dict[str, Column]:
+    """What a resource is compared by: its keyword, and the words of keyword, title and summary."""
     keyword, title, summary = (F.lower(X.blank(c)) for c in ("primaryKeyword", "title", "summary"))
-    kw, ti, su = ((row[c] or "").lower() for c in ("primaryKeyword", "title", "summary"))
-    same_type = X.blank("templateType") == F.lit(row["templateType"] or "")
+    return {
+        "_keyword": keyword, "_template": X.blank("templateType"), "_all_words": F.size(X.content_words(keyword, False)),
+        "_keyword_words": X.content_words(keyword), "_title_words": X.content_words(title), "_summary_words": X.content_words(summary),
+    }
+
 
-    def likeness(a: Column, b: str) -> Column:
-        return X.jaccard(X.content_words(a), X.content_words(F.lit(b)))
+def _risk_against(row, shared: Column) -> Column:
+    """Risk of every resource against one given resource, from the numbers of words they share; zero for itself."""
+    def likeness(kind: str) -> Column:
+        n, size = shared[kind], len(row[f"_{kind}_words"])
+        own = F.size(f"_{kind}_words")
+        return F.when((own == 0) | F.lit(size == 0), F.lit(0.0)).otherwise(n / (own + size - n))
 
-    near = likeness(keyword, kw)
+    same_type, near, n = F.col("_template") == F.lit(row["_template"]), likeness("keyword"), shared["keyword"]
     by_keyword = (
-        F.when((keyword != "") & (keyword == kw), 90).when(near > 0.85, F.when(same_type, 70).otherwise(60))
-        .when(near > 0.7, F.when(same_type, 45).otherwise(30)).otherwise(0)
+        F.when((F.col("_keyword") != "") & (F.col("_keyword") == F.lit(row["_keyword"])), 90)
+        .when(near > 0.85, F.when(same_type, 70).otherwise(60)).when(near > 0.7, F.when(same_type, 45).otherwise(30)).otherwise(0)
+    )
+    swap = (
+        (F.col("_all_words") == row["_all_words"]) & (F.size("_keyword_words") - n == 1)
+        & (len(row["_keyword_words"]) - n == 1) & (n >= 3)
     )
-    swap = X.keyword_swap(X.content_words(keyword, False), X.content_words(F.lit(kw), False))
     risk = F.greatest(
-        by_keyword, F.when(likeness(title, ti) > 0.8, 60).otherwise(0), F.when(likeness(summary, su) > 0.75, 50).otherwise(0),
+        by_keyword, F.when(likeness("title") > 0.8, 60).otherwise(0), F.when(likeness("summary") > 0.75, 50).otherwise(0),
         F.when(swap, F.when(same_type, 60).otherwise(35)).otherwise(0),
     )
     return F.when(F.col("slug") == F.lit(row["slug"]), 0).otherwise(risk)
 
 
+def _with_risk(rows: DataFrame, accepted: list, order: str) -> DataFrame:
+    """`rows` with `risk` raised by the accepted resources that come before; each pair is compared once, in generators."""
+    def shared(row) -> Column:
+        return F.struct(*[
+            F.size(F.array_intersect(f"_{k}_words", F.array(*map(F.lit, row[f"_{k}_words"])).cast("array<string>"))).alias(k)
+            for k in ("keyword", "title", "summary")
+        ])
+
+    if not accepted:
+        return rows
+    counted = rows.select("*", F.inline(F.array(F.struct(*[shared(row).alias(f"_shared{i}") for i, row in enumerate(accepted)]))))
+    raised = [
+        F.when(F.col(order) > F.lit(row[order]), _risk_against(row, F.col(f"_shared{i}"))) for i, row in enumerate(accepted)
+    ]
+    risk = F.explode(F.array(F.greatest("risk", *raised))).alias("risk")
+    return counted.select(*[c for c in rows.columns if c != "risk"], risk)
+
+
 def publish_decisions(
     candidates: DataFrame, corpus: DataFrame, order: str, publish_quota: int = PUBLISH_QUOTA, index_quota: int = INDEX_QUOTA
 ) -> DataFrame:
     """Decide every candidate in `order`: rejected, draft, published or noindex.
 
     Decisions change later ones only through the few accepted candidates: each adds one resource to compare with and
-    counts for the quotas. So the scores are computed once for all; then the first acceptable candidate is looked up,
-    at most `publish_quota` times, and the others fall into place by position.
+    counts for the quotas. So the scores are computed once for all and written with the words that are compared; then the
+    first acceptable candidate is looked up, at most `publish_quota` times, and the others fall into place by position.
     """
     scored = resource_scores(validate_resources(candidates)).withColumnRenamed("reasons", "score_reasons")
-    base = scored.join(duplicate_risk(candidates, corpus).select("slug", "duplication"), "slug")
-    kept = [order, "slug", "templateType", "primaryKeyword", "title", "summary", "errors", "intent", "uniqueness", "thin", "truthfulness", "helpfulness"]
-    state = cut_lineage(base.select(*kept, F.col("duplication").alias("risk")))
-
-    def gates(risk: Column) -> tuple[Column, Column]:
-        strict = (
-            (F.col("intent") >= GATES["intent"]) & (F.col("uniqueness") >= GATES["uniqueness"]) & (F.col("thin") <= GATES["thin"])
-            & (risk <= GATES["duplication"]) & (F.col("truthfulness") >= GATES["truthfulness"]) & (F.col("helpfulness") >= GATES["helpfulness"])
-        )
-        loose = (
-            (F.col("truthfulness") >= LENIENT["truthfulness"]) & (F.col("helpfulness") >= LENIENT["helpfulness"])
-            & (risk <= LENIENT["duplication"])
-        )
-        return strict, loose
-
-    valid = F.size("errors") == 0
-    risk, accepted, indexed, last = F.col("risk"), [], 0, None
+    strict = (
+        (F.col("intent") >= GATES["intent"]) & (F.col("uniqueness") >= GATES["uniqueness"]) & (F.col("thin") <= GATES["thin"])
+        & (F.col("truthfulness") >= GATES["truthfulness"]) & (F.col("helpfulness") >= GATES["helpfulness"])
+    )
+    loose = (F.col("truthfulness") >= LENIENT["truthfulness"]) & (F.col("helpfulness") >= LENIENT["helpfulness"])
+    texts = ["slug", "templateType", "primaryKeyword", "title", "summary"]
+    told = _told(scored)
+    # the wide candidates are read in this pass only
+    state = written(scored.select(
+        order, *texts, (F.size("errors") == 0).alias("_valid"), strict.alias("_strict"), loose.alias("_loose"),
+        *[c.alias(n) for n, c in told.items()],
+    ), "publish-scores")
+    risks = duplicate_risk(state.select(*texts), corpus).select("slug", F.col("duplication").alias("risk"))
+    state = written(state.select(order, "slug", "_valid", "_strict", "_loose", *told).join(risks, "slug"), "publish-state")
+
+    strict = F.col("_strict") & (F.col("risk") <= GATES["duplication"])
+    loose = F.col("_loose") & (F.col("risk") <= LENIENT["duplication"])
+    accepted, indexed, kinds = [], 0, []
     while len(accepted) < publish_quota:
-        strict, loose = gates(risk)
-        ahead = state if last is None else state.filter(F.col(order) > last)
-        publishable = (strict if indexed < index_quota else F.lit(False)) | loose
-        row = ahead.filter(valid & publishable).select("*", strict.alias("_strict")).orderBy(order).limit(1).collect()
+        open_gates = (strict if indexed < index_quota else F.lit(False)) | loose
+        # risks only rise: who fails now fails later, so few are compared again
+        ahead = state.filter(F.col("_valid") & open_gates)
+        if accepted:
+            ahead = ahead.filter(F.col(order) > accepted[-1][order])
+        row = _with_risk(ahead, accepted, order).filter(open_gates).select("*", strict.alias("_indexed")).orderBy(order).limit(1).collect()
         if not row:
             break
-        row, last = row[0], row[0][order]
-        outcome = "published" if row["_strict"] and indexed < index_quota else "noindex"
+        outcome = "published" if row[0]["_indexed"] and indexed < index_quota else "noindex"
         indexed += outcome == "published"
-        accepted.append((last, outcome))
         # from here on the accepted one is part of what later candidates are compared with
-        risk = F.when(F.col(order) > F.lit(last), F.greatest(risk, _risk_against(row))).otherwise(risk)
-    strict, loose = gates(risk)
-    closed = F.col(order) > F.lit(accepted[-1][0]) if len(accepted) == publish_quota else F.lit(False)
-    outcome = F.when(~valid, "rejected")
-    for at, kind in accepted:
-        outcome = outcome.when(F.col(order) == F.lit(at), kind)
+        accepted.append(row[0])
+        kinds.append(outcome)
+    closed = F.col(order) > F.lit(accepted[-1][order]) if len(accepted) == publish_quota else F.lit(False)
+    outcome = F.when(~F.col("_valid"), "rejected")
+    for row, kind in zip(accepted, kinds, strict=True):
+        outcome = outcome.when(F.col(order) == F.lit(row[order]), kind)
     outcome = outcome.when(closed, "draft").when(~strict, "rejected").otherwise("draft")
-    return state.select(order, "slug", risk.alias("duplication"), outcome.alias("decision"))
+    return _with_risk(state, accepted, order).select(order, "slug", F.col("risk").alias("duplication"), outcome.alias("decision"))
 
 
 # --- listing, ranking, links -----------------------------------------------------------------------------------------

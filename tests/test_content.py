@@ -78,6 +78,18 @@ def test_duplicate_risk_shuffles_texts_once(spark):
     assert plan.count("Exchange hashpartitioning") <= 40 and "regexp_extract_all" not in plan
 
 
+def test_publish_decisions_work_out_words_once(spark, sf_dir):
+    df = resources(spark, sf_dir).filter("doc_id < 120").cache()
+    gates, C.GATES = C.GATES, {"intent": 0, "uniqueness": 0, "thin": 100, "duplication": 100, "truthfulness": 0, "helpfulness": 0}
+    valid, C.validate_resources = C.validate_resources, lambda d: d.withColumn("errors", C.F.array().cast("array<string>"))
+    try:
+        found = C.publish_decisions(df.filter("doc_id % 3 > 0"), df.filter("doc_id % 3 = 0"), "doc_id")
+    finally:
+        C.GATES, C.validate_resources = gates, valid
+    assert {"published"} <= {r["decision"] for r in found.collect()}
+    assert "regexp_extract_all" not in planned(found)
+
+
 def test_publish_decisions_follow_the_order(spark, sf_dir):
     df = resources(spark, sf_dir).filter("doc_id < 120").cache()
     cand, base = df.filter("doc_id % 3 > 0"), df.filter("doc_id % 3 = 0")
