@@ -169,12 +169,12 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", keep: float
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<expected_grade double, top_probability double>")
-    def rate(texts):
-        import pandas as pd
-
-        below = shared.value.at_most(shared.value.scores(list(texts)))
-        return pd.DataFrame({"expected_grade": (1 - below).sum(axis=1), "top_probability": 1 - below[:, -1]})
+    @F.arrow_udf("struct<expected_grade double, top_probability double>")
+    def rate(texts: pa.Array) -> pa.Array:
+        below = shared.value.at_most(shared.value.scores(texts.to_pylist()))
+        return pa.StructArray.from_arrays(
+            [pa.array((1 - below).sum(axis=1)), pa.array(1 - below[:, -1])], names=["expected_grade", "top_probability"]
+        )
 
     rated = docs.withColumn("_rated", rate(F.col(text)))
     top: Column = F.col("_rated.top_probability")

@@ -20,8 +20,8 @@ _STEPS = np.array(
 )
 _LOW = np.uint64((1 << 56) - 1)
 _LONG = 127
-#: Bytes of text that are worked on at once; a longer text is worked on alone.
-SLICE_BYTES = 2_000_000
+#: Bytes of text that are worked on at once; a longer text is worked on alone. A byte takes some 80 bytes while it is hashed.
+SLICE_BYTES = 500_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -36,13 +36,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def slices(texts: list[str | None]) -> Iterator[list[bytes]]:
+def slices(texts: list[str | None], most: int = SLICE_BYTES) -> Iterator[list[bytes]]:
     """Encoded texts in runs of bounded size; a null is empty."""
     run: list[bytes] = []
     held = 0
     for text in texts:
         data = (text or "").encode("utf-8", "surrogatepass")
-        if run and held + len(data) > SLICE_BYTES:
+        if run and held + len(data) > most:
             yield run
             run, held = [], 0
         run.append(data)

@@ -17,6 +17,8 @@ from tabloom.llm.shingles import hash_spans, slices
 
 #: Different pieces that are kept; beyond, all are forgotten and learnt anew.
 KEPT = 1_500_000
+#: Bytes of text that are worked on at once; all kept pieces are sorted again where such a run brings new ones.
+RUN_BYTES = 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -119,7 +121,7 @@ class TokenCache:
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text; a null is empty."""
-        for run in slices(texts):
+        for run in slices(texts, RUN_BYTES):
             yield from self._run(run)
 
 
