@@ -13,7 +13,8 @@ from tabloom.functions import expr as X
 from tabloom.operators import pages as P
 from tabloom.operators import records as R
 from tabloom.schema import ERROR, ORD, SCOPE, SOURCE, FieldSpec
-from tabloom.session import cut_lineage
+from tabloom.operators.skew import beside
+from tabloom.session import discard, settled, step
 
 
 def field_block(fields: list[FieldSpec]) -> str:
@@ -194,18 +195,26 @@ def post_process(
     fill gaps with patches from `backfill`, scope by scope while that gains cells. `matches` are header matches, `label_matches` also
     count labels in the text.
     """
+    spark = records.sparkSession
+
+    def then(before: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """One step on, from rows that no later step reads: their files go."""
+        after = step(spark, "repaired", lambda: make(before))
+        discard(before)
+        return after
+
     # every step reads its rows several times, so each begins with the written rows of the one before
-    matches, label_matches = cut_lineage(matches), cut_lineage(label_matches)
+    matches, label_matches = (step(spark, "matches", lambda m=m: m) for m in (matches, label_matches))
 
     def clean(df: DataFrame) -> DataFrame:
-        apart = cut_lineage(R.null_duplicate_columns(cut_lineage(df), fields, matches))
-        return R.null_uniform_unmatched(apart, fields, label_matches, texts)
+        apart = then(df, lambda d: R.null_duplicate_columns(d, fields, matches))
+        return then(apart, lambda d: R.null_uniform_unmatched(d, fields, label_matches, texts))
 
-    out = clean(records)
+    out = clean(step(spark, "records", lambda: records))
     if schedule:
-        out = R.finalise_records(cut_lineage(out), fields)
+        out = then(out, lambda d: R.finalise_records(d, fields))
     if dominant:
-        out = R.propagate_dominant(cut_lineage(out), fields)
+        out = then(out, lambda d: R.propagate_dominant(d, fields))
     if backfill is None:
         return out
 
@@ -213,16 +222,18 @@ def post_process(
         missing = F.sum(F.when(~X.has_error(), len(fields) - X.filled_count(fields)).otherwise(0))
         return df.groupBy(SCOPE).agg(missing.alias("_gaps")).filter("_gaps > 0")
 
-    out = cut_lineage(out)
-    open_scopes = cut_lineage(gaps(out))
+    open_scopes = step(spark, "gaps", lambda: gaps(out))
     for _ in range(rounds):
         if open_scopes.isEmpty():
             break
-        active = out.join(open_scopes.select(SCOPE), SCOPE, "left_semi").select(out.columns)
-        closed = out.join(open_scopes.select(SCOPE), SCOPE, "left_anti").select(out.columns)
-        patched = cut_lineage(clean(R.apply_patches(active, backfill(active), fields)).select(out.columns))
+        # the rows a round began with stay: `backfill` has seen them, and the result has those of its closed scopes
+        active = beside(out, open_scopes.select(SCOPE), SCOPE, "left_semi").select(out.columns)
+        closed = beside(out, open_scopes.select(SCOPE), SCOPE, "left_anti").select(out.columns)
+        patches = backfill(active)
+        patched = clean(step(spark, "patched", lambda: R.apply_patches(active, patches, fields))).select(out.columns)
         out = closed.unionByName(patched)
         # a scope goes on while it has gaps, fewer than before
         before = open_scopes.withColumnRenamed("_gaps", "_before")
-        open_scopes = cut_lineage(gaps(patched).join(before, SCOPE).filter("_gaps < _before").select(SCOPE, "_gaps"))
+        left = step(spark, "gaps", lambda: gaps(patched).join(before, SCOPE).filter("_gaps < _before").select(SCOPE, "_gaps"))
+        open_scopes = left
     return out

@@ -21,14 +21,14 @@ def attach_stats(df: DataFrame, keys: list[str], **stats: Column) -> DataFrame:
 BESIDE_BYTES = 64 << 20
 
 
-def beside(rows: DataFrame, lists: DataFrame, key: str) -> DataFrame:
-    """`rows` (wide, such as whole texts) with the one list of their key.
+def beside(rows: DataFrame, lists: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """`rows` (wide, such as whole texts) with the one list of their key, or left, semi or anti joined with it.
 
     The lists' size is measured: up to BESIDE_BYTES they are sent to the rows, which then aren't shuffled; beyond that both
     sides are dealt by key, and Spark splits hot keys.
     """
     size = lists.agg(F.sum(F.octet_length(F.to_json(F.struct(*lists.columns))))).first()[0] or 0
-    return rows.join(F.broadcast(lists) if size <= BESIDE_BYTES else lists, key)
+    return rows.join(F.broadcast(lists) if size <= BESIDE_BYTES else lists, key, how)
 
 
 def running(

@@ -10,10 +10,12 @@ from tabloom.operators import extract as E
 from tabloom.operators import forms as M
 from tabloom.operators import pages as P
 from tabloom.operators import quality as Q
+from tabloom.operators.skew import beside
 from tabloom.plans.bindings import ENTITY_FIELDS, table, with_clause
 from tabloom.plans.catalog import query
 from tabloom.plans.sqltext import q, s_any, s_blank, s_filled, s_strip
 from tabloom.schema import MARKERS_FORM, FieldSpec
+from tabloom.session import settled
 from tabloom.sources import mail
 
 S_V = "coalesce(value, '')"
@@ -157,10 +159,10 @@ def _(spark, sf):
     labels = P.match_fields_to_headers(asked, heads, texts)
     # what a second look finds: of half the fields, the least value that the scope's rows have
     asked_again = ENTITY_FIELDS[::2]
-    known = records.filter(~X.has_error()).groupBy("scope_id").agg(*[F.min(F.when(X.is_filled(f), F.col(f))).alias(f"_k_{f}") for f in asked_again])
+    known = settled(records.filter(~X.has_error()).groupBy("scope_id").agg(*[F.min(F.when(X.is_filled(f), F.col(f))).alias(f"_k_{f}") for f in asked_again]), "known")
 
     def second_look(active):
-        found = active.filter(~X.has_error()).join(known, "scope_id").select("scope_id", "row_ord", F.explode(F.array(*[
+        found = beside(active.filter(~X.has_error()), known, "scope_id").select("scope_id", "row_ord", F.explode(F.array(*[
             F.struct(F.lit(f).alias("field"), F.when(~X.is_filled(f), F.col(f"_k_{f}")).alias("value")) for f in asked_again
         ])).alias("p"))
         return found.select("scope_id", "row_ord", "p.*", F.lit(1).alias("patch_ord")).filter("value is not null")

@@ -1,10 +1,17 @@
 """Back-fill rounds, scope by scope."""
 
+import time
+from pathlib import Path
+from urllib.parse import urlparse
+
 from pyspark.sql import functions as F
 
 from tabloom.operators import extract as E
+from tabloom.operators import records as R
+from tabloom.operators import skew
 from tabloom.operators import usage as G
 from tabloom.schema import records_type
+from tabloom.session import scratch_path
 
 FIELDS = ["A", "B", "C"]
 
@@ -69,3 +76,60 @@ def test_repair_chain_reads_its_records_once(spark):
     texts = spark.createDataFrame([("a", "x")], "scope_id string, text string")
     out = E.post_process(df, FIELDS, matches, matches, texts, schedule=True)
     assert out.count() == 40 and read.value == 40
+
+
+FILED = ["Unit", "Address", "Kind", "Note"]
+
+
+def filed(spark, rows):
+    """Records of three scopes and none: repeated ids, exact copies, a copied column, a uniform one, gaps, errors."""
+    data = []
+    for k in range(rows):
+        cells = (None if k % 7 == 0 else f"U-{k // 3}", None if k % 5 == 0 else f"{k // 3} Main  Street", "same", f"note {k % 11}" if k % 2 else None)
+        data.append((None if k % 50 == 3 else f"s{k % 3}", k, "f", "bad" if k % 31 == 0 else None, *cells))
+    data += [(scope, rows + i, *rest) for i, (scope, _, *rest) in enumerate(data[::20])]
+    names = "scope_id string, row_ord bigint, source_file string, error string, "
+    return spark.createDataFrame(data, names + ", ".join(f"{f} string" for f in FILED))
+
+
+def test_repair_chain_leaves_little_on_disk(spark):
+    def held(folder):
+        return sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+
+    def shuffled():
+        places = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {p for place in places for p in Path(place).rglob("shuffle_*.data")}
+
+    def backfill(active):
+        return active.select("scope_id", "row_ord", F.lit("Note").alias("field"), F.lit("found").alias("value"), F.lit(0).alias("patch_ord"))
+
+    matches = spark.createDataFrame([(f"s{i}", f, f != "Kind") for i in range(3) for f in FILED], "scope_id string, field string, matched boolean")
+    texts = spark.createDataFrame([("s0", "other"), ("s1", "the same"), ("s2", "")], "scope_id string, text string")
+    place = Path(urlparse(scratch_path(spark, "x")).path).parent
+    before, files = held(place), shuffled()
+    out = E.post_process(filed(spark, 6000), FILED, matches, matches, texts, schedule=True, backfill=backfill, rounds=1)
+    left = held(place) - before
+    alone = Path(urlparse(scratch_path(spark, "alone")).path)
+    out.write.option("compression", "zstd").parquet(str(alone))
+    # the rows that the round began with, those that it ended with, and small lists
+    assert left < 3 * held(alone)
+    # files go a moment after their query; those of two lists of two tasks, and what runs now, may be there
+    until = time.time() + 20
+    while len(shuffled() - files) > 20 and time.time() < until:
+        time.sleep(0.2)
+    assert len(shuffled() - files) <= 20
+
+
+def test_entities_merge_whatever_hashes_and_sizes_say(spark, monkeypatch):
+    def rows():
+        return sorted(map(repr, R.finalise_records(filed(spark, 300), FILED).collect()))
+
+    wanted = rows()
+    assert 100 < len(wanted) < 300
+    with monkeypatch.context() as m:
+        # hashes that always agree: keys decide
+        m.setattr(F, "xxhash64", lambda *columns: F.lit(7).cast("bigint"))
+        assert rows() == wanted
+    # lists too long to be sent
+    monkeypatch.setattr(skew, "BESIDE_BYTES", -1)
+    assert rows() == wanted
